@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, sharding
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, sharding
 
 
 def queries() -> dict:
@@ -11,9 +11,10 @@ def queries() -> dict:
         "op3_sharding": sharding.op3_sharding,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_jaccard_join": jaccard_join.OP9_SQL}
