@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, sharding
+from . import exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, packing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
         "op3_sharding": sharding.op3_sharding,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Text bytes handled at once by the vectorised scans; a longer text is handled alone.
 SLICE_BYTES = 2_000_000
 
+#: The bytes that part words: ``[\x20\x09-\x0D]``.
+SPACES = [32, 9, 10, 11, 12, 13]
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -110,9 +113,9 @@ class Scanner:
 
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self) -> None:
+    def __init__(self, separators=None) -> None:
         self.space = np.zeros(256, bool)
-        self.space[[32, 9, 10, 11, 12, 13]] = True
+        self.space[SPACES if separators is None else separators] = True
         lower = np.arange(256)
         lower[65:91] += 32
         self.value = mixed(lower.astype(np.uint64) + np.uint64(0x51ED270B))
@@ -143,6 +146,7 @@ class Scanner:
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.value[data] * self.powers[:n], dtype=np.uint64, out=sums[1:])
+        self.sums = sums
         h = mixed((sums[end] - sums[start]) * self.inverse[start])
         return h, np.searchsorted(offsets, start, "right") - 1, start, end
 
