@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_BYTES, mixed, shuffle_partitions, slices
+from .shared import SLICE_BYTES, kept_by_worker, mixed, shuffle_partitions, slices, small
 
 SLOTS = 128
 FIRST_LEVEL = 2
@@ -165,8 +165,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fingerprint of every row; no shuffle."""
 
     def scan(batches):
-        parser = Parser()
-        for batch in batches:
+        parser = kept_by_worker(Parser)
+        for batch in small(batches):
             prints = fingerprint_texts(parser, [(x or "").encode() for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes().hex() for x in prints], pa.string())], ["doc_id", "fingerprint"])
 
@@ -206,9 +206,9 @@ def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def scan(batches):
-        parser = Parser()
+        parser = kept_by_worker(Parser)
         held = None  # the last row, whose successor is in the next batch
-        for batch in batches:
+        for batch in small(batches):
             where, extra, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             texts = batch.column(3).to_pylist()
             if held is not None:

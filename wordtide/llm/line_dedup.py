@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shuffle_partitions, stored
+from .shared import shuffle_partitions, small, stored
 
 MIN_CHARS = 10
 KEYS_A_SHARD = 500_000
@@ -138,7 +138,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     """high, low, doc_id: the distinct keys of every document."""
 
     def emit(batches):
-        for batch in batches:
+        for batch in small(batches):
             found, ids, counts = [], batch.column(0).to_numpy(zero_copy_only=False), []
             for text in batch.column(1).to_pylist():
                 keys = set(line_hashes(text, min_chars))
@@ -188,7 +188,7 @@ def _outcome(docs: DataFrame, text_col: str, apply) -> DataFrame:
     spots = [names.index(n) for n in kept_names]
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, (hashes, drops) in zip(batch.column(at).to_pylist(), apply(batch), strict=True):
                 out = [x not in drops or x is None for x in hashes] if drops else ()

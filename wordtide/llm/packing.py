@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import stored
+from .shared import kept_by_worker, small, stored
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks whose ids a task remembers.
-CACHED = 400_000
 
 
 def vocabulary_path() -> str:
@@ -40,20 +38,16 @@ def vocabulary_path() -> str:
 class ByteBpe:
     """Little-endian 32-bit ids of a text, as the ``tokenizers`` file gives them.
 
-    The file's split pattern always starts a token at a single space between two other
-    characters, so a text can be cut there and the ids of each chunk be remembered.  The
-    same ranks in ``tiktoken`` give the same ids several times as fast; texts that hold one
-    of the file's special strings go to ``tokenizers`` itself.
+    ``tiktoken`` with the same ranks and split pattern gives the same ids several times as
+    fast; texts that hold one of the file's special strings go to ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
         import json
 
-        import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {}
@@ -66,28 +60,15 @@ class ByteBpe:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.uneven = regex.compile(r"(?:^|\s) | (?:\s|$)").search
-        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.uneven(text):
-            return self.fast.encode_to_numpy(text).astype("<u4").tobytes()
-        first, *rest = text.split(" ")
-        known = self.known
-        try:
-            return self.fast.encode_to_numpy(first).astype("<u4").tobytes() + b"".join([known[x] for x in rest])
-        except KeyError:
-            out = [self.fast.encode_to_numpy(first).astype("<u4").tobytes()]
-            if len(known) > CACHED:
-                known.clear()
-            for x in rest:
-                got = known.get(x)
-                if got is None:
-                    got = known[x] = self.fast.encode_to_numpy(" " + x).astype("<u4").tobytes()
-                out.append(got)
-            return b"".join(out)
+        if not any(x in text for x in self.special):
+            return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class OpenBins:
@@ -159,9 +140,9 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
     """One row per piece, with its task and its number among the task's pieces of that length."""
 
     def cut(batches):
-        encoder, seen, part = ByteBpe(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, part = kept_by_worker(ByteBpe, path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             rows: list[list[int]] = [[], [], [], [], [], []]
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.ids(text or "") + end

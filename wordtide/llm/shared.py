@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -93,6 +95,22 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         i = j
 
 
+def small(batches, rows: int = 512):
+    """The batches in pieces of a few rows, so that Python objects exist for these alone."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
+def kept_by_worker(make, *args):
+    """``make(*args)``, made once in each Python worker and used again by its later tasks."""
+    state = sys.modules.setdefault("wordtide_worker_state", types.ModuleType("wordtide_worker_state")).__dict__
+    key = (make.__name__, args)
+    if key not in state:
+        state[key] = make(*args)
+    return state[key]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h.astype(np.uint64, copy=True)
