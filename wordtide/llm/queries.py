@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, packing, sharding, toxicity
+from . import chat, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, packing, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
         "op3_sharding": sharding.op3_sharding,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_chat_format": chat.op5_chat_format,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_mixing": mixing.op10_mixing,
@@ -19,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op9_jaccard_join": jaccard_join.OP9_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op5_chat_format": chat.OP5_SQL,
+        "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op9_jaccard_join": jaccard_join.OP9_SQL,
+    }
