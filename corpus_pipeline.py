@@ -1,8 +1,74 @@
-"""The corpus pipeline; its stages follow as their operators are written."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
 
-STAGES: list = []
+Each stage is (name, function); the function takes (spark, docs, sf_dir), works on all rows
+its predecessor kept and returns a DataFrame.  All but the last return the columns of
+documents.  Tables between stages live in the shared folder of ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from wordtide.llm import jaccard_join, line_dedup, mixing, packing, toxicity
+from wordtide.llm.shared import forget, stored
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that score ``toxicity.CUT`` or more go; learnt from ``labels`` outside the held-out third."""
+    field = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, field)
+
+
+def drop_lines(spark, docs, sf_dir):
+    """Lines that an earlier document holds too leave the texts; all documents stay."""
+    return line_dedup.drop_repeated_lines(docs).select(*docs.columns)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Of each class of near duplicates the document of the smallest doc_id stays."""
+    classes = jaccard_join.linked_components(docs)
+    gone = stored(classes.where("component_id != doc_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark, docs, sf_dir):
+    """All documents in the order of the mix to ``mixing.WEIGHTS``: the files' order and the rows' order in them."""
+    return mixing.mixed_order(docs, mixing.WEIGHTS)
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces in sequences; ``sequence_order`` grows with the place in the mix of a sequence's first document."""
+    try:
+        file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+        order = F.coalesce(file.try_cast("long"), F.lit(0)) * (1 << 36) + F.col("_metadata.row_index")
+        docs = docs.select("doc_id", "text", order.alias("wordtide_order"))
+    except AnalysisException:  # not read from files: the order is that of the partitions
+        docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("wordtide_order"))
+    placed = stored(packing.packed(docs, more=("wordtide_order",)))
+    first = placed.groupBy("sequence_id").agg(F.min("wordtide_order").alias("sequence_order"))
+    return placed.join(first, "sequence_id").drop("wordtide_order")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("mixing", mix),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can't express a trained field or a tokeniser; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            forget(last)
+        last = docs
+    return docs

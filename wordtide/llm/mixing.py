@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .shared import shuffle_partitions
+
 #: Slots of a period that weights are rounded to; a period has one slot for each source at least.
 RESOLUTION = 1000
 #: Sources that the driver schedules; more are an error, not a cut.
 MOST_SOURCES = 5000
 BLOCK_ROWS = 16
-ROWS_A_BUCKET = 200_000
+ROWS_A_RANGE = 20_000
 #: Target weights of op10 and of the pipeline; other sources have weight 1.
 WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 3.0, "src3": 2.0, "src4": 2.0}
 
@@ -89,40 +91,51 @@ def phases(blocks: dict, weights: dict, resolution: int = RESOLUTION) -> dict[ob
 
 
 def numbered(rows: DataFrame, group: str, order: str, buckets: int) -> DataFrame:
-    """``rows`` with ``number``, gapless from 0 in each group along ``order``, a 64-bit hash.
+    """``rows`` with ``wordtide_number``, gapless from 0 in each group along ``order``, a 64-bit hash.
 
-    A group is cut into ranges of the hash, each numbered in a window of its own.
+    A group is cut into ranges of the hash, each numbered in a window of its own; a group's
+    own window runs over one row for each range.
     """
-    rows = rows.withColumn("wordtide_bucket", F.floor(F.shiftrightunsigned(order, 33).cast("double") / F.lit(float(1 << 31)) * buckets))
-    counts = rows.groupBy(group, "wordtide_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col(group).alias("wordtide_group"), F.col("wordtide_bucket").alias("b"), (F.sum("n").over(W.partitionBy(group).orderBy("wordtide_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    own = F.row_number().over(W.partitionBy(group, "wordtide_bucket").orderBy(F.shiftrightunsigned(order, 33), order))
-    rows = rows.withColumn("own", own.cast("long") - 1)
-    out = rows.join(before, rows[group].eqNullSafe(before["wordtide_group"]) & (rows["wordtide_bucket"] == before["b"]))
-    return out.withColumn("number", F.col("own") + F.col("before")).drop("wordtide_group", "wordtide_bucket", "b", "own", "before")
+    top = F.shiftrightunsigned(order, 33)
+    rows = rows.withColumn("wordtide_range", F.floor(top.cast("double") / F.lit(float(1 << 31)) * buckets))
+    counts = rows.groupBy(group, "wordtide_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy(group).orderBy("wordtide_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    before = counts.select(F.col(group).alias("wordtide_group"), F.col("wordtide_range").alias("wordtide_at"), before.alias("wordtide_before"))
+    own = F.row_number().over(W.partitionBy(group, "wordtide_range").orderBy(top, order)).cast("long") - 1
+    rows = rows.withColumn("wordtide_own", own)
+    out = rows.join(before, rows[group].eqNullSafe(before["wordtide_group"]) & (rows["wordtide_range"] == before["wordtide_at"]))
+    return out.withColumn("wordtide_number", F.col("wordtide_own") + F.col("wordtide_before"))
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, default_weight: float = 1.0, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", resolution: int = RESOLUTION) -> DataFrame:
-    """doc_id, source, slot (of the row's block in the mix) and place (within the block)."""
+    """The columns of ``docs``, and ``wordtide_slot`` (of the row's block in the mix) and ``wordtide_place`` (in the block)."""
     spark = docs.sparkSession
-    counted = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    counted = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     counts = {r["source"]: r["n"] for r in counted}
-    weights = {k: (weights or {}).get(k, default_weight) for k in counts}
-    plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, weights, resolution)
+    plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, {k: (weights or {}).get(k, default_weight) for k in counts}, resolution)
     phase = "array<struct<first: long, end: long, start: long, total: long, slots: array<int>>>"
-    table = spark.createDataFrame(list(plan.items()), f"planned string, phases {phase}")
-    buckets = max(16, -(-sum(counts.values()) // ROWS_A_BUCKET))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(17), F.col(id_col)).alias("at"))
-    rows = numbered(rows, "source", "at", buckets).withColumn("block", F.floor(F.col("number") / block_rows))
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("planned")))
-    rows = rows.withColumn("p", F.filter("phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["end"]))[0])
-    ahead, each = F.col("block") - F.col("p.first"), F.size("p.slots")
-    slot = F.col("p.start") + F.floor(ahead / each) * F.col("p.total") + F.element_at("p.slots", (ahead % each + 1).cast("int"))
-    return rows.select("doc_id", "source", slot.alias("slot"), (F.col("number") % block_rows).alias("place"))
+    table = spark.createDataFrame(list(plan.items()), f"wordtide_planned string, wordtide_phases {phase}")
+    ranges = max(64, -(-sum(counts.values()) // ROWS_A_RANGE))
+    rows = docs.withColumn("wordtide_source", F.col(source_col).cast("string")).withColumn("wordtide_hash", F.xxhash64(F.lit(17), F.col(id_col)))
+    rows = numbered(rows, "wordtide_source", "wordtide_hash", ranges)
+    block = F.floor(F.col("wordtide_number") / block_rows)
+    rows = rows.join(F.broadcast(table), F.col("wordtide_source").eqNullSafe(F.col("wordtide_planned")))
+    phase = F.filter("wordtide_phases", lambda p: (p["first"] <= block) & (block < p["end"]))[0]
+    ahead, each = block - phase["first"], F.size(phase["slots"])
+    slot = phase["start"] + F.floor(ahead / each) * phase["total"] + F.element_at(phase["slots"], (ahead % each + 1).cast("int"))
+    return rows.select(*docs.columns, slot.alias("wordtide_slot"), (F.col("wordtide_number") % block_rows).alias("wordtide_place"))
+
+
+def mixed_order(docs: DataFrame, weights: dict | None = None, **options) -> DataFrame:
+    """The rows and columns of ``docs`` in the order of the mix: partitions are ranges of it, sorted."""
+    out = schedule(docs, weights, **options)
+    at = ["wordtide_slot", "wordtide_place"]
+    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), *at).sortWithinPartitions(*at).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """``documents`` interleaved to the weights ``WEIGHTS``: each row's block slot and place in the block."""
-    return schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"), WEIGHTS)
+    out = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), WEIGHTS)
+    return out.select("doc_id", "source", F.col("wordtide_slot").alias("slot"), F.col("wordtide_place").alias("place"))

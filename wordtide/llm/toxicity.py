@@ -35,6 +35,8 @@ BITS = 20
 PREFIXES = (4, 5, 6)
 BLOCK = 64
 CUT = 0.7
+#: Words from this probability on count towards a document's chance of holding a toxic one.
+SUSPICIOUS = 0.2
 #: All ASCII bytes that are neither letters nor digits part words here.
 SEPARATORS = [i for i in range(128) if not chr(i).isalnum()]
 
@@ -144,12 +146,13 @@ class Field:
         self.weights[used] = w
 
 
-def token_labels(features: np.ndarray, row: np.ndarray, toxic: np.ndarray, least: int = 3, least_odds: float = 3.0) -> np.ndarray:
+def token_labels(features: np.ndarray, row: np.ndarray, toxic: np.ndarray, least_surprise: float = 11.0, least_odds: float = 3.0) -> np.ndarray:
     """Tags of the words of training documents, from the documents' labels.
 
     A feature's evidence compares the contexts (word before, word after) it has in toxic and
     in other documents; counting contexts, not documents, keeps copies of one toxic document
-    from making all its words look toxic.
+    from making all its words look toxic.  ``least_surprise`` is the log likelihood ratio
+    against chance from which evidence counts, so that few contexts don't suffice.
     """
     evidence = np.full(len(features), -np.inf)
     word = features[:, 0].astype(np.uint64) + np.uint64(1)
@@ -163,7 +166,9 @@ def token_labels(features: np.ndarray, row: np.ndarray, toxic: np.ndarray, least
         keys = context | feature << np.uint64(64 - BITS)
         a, b = (np.bincount((np.unique(keys[x]) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS) for x in (bad, ~bad))
         odds = np.log((a + 0.5) / (a.sum() + 1)) - np.log((b + 0.5) / (b.sum() + 1))
-        odds[a < least] = -np.inf
+        n, share = np.maximum(a + b, 1), (a.sum() + 1) / (a.sum() + b.sum() + 2)
+        surprise = a * np.log(np.maximum(a, 1) / (n * share)) + b * np.log(np.maximum(b, 1) / (n * (1 - share)))
+        odds[surprise < least_surprise] = -np.inf
         evidence = np.maximum(evidence, odds[features[:, k]])
     best = np.full(len(toxic), -np.inf)
     np.maximum.at(best, row, evidence)
@@ -207,45 +212,72 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return field
 
 
-def scored(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and spans (start and end in characters, and probability) of every row; no shuffle."""
-    spark = docs.sparkSession
+def score_texts(scanner: Scanner, field: Field, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score and spans of every text of a column."""
+    data, offsets = utf8(column)
+    scores, spans = np.zeros(len(offsets) - 1), [[] for _ in range(len(offsets) - 1)]
+    for i, j in slices(offsets):
+        part, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        features, row, start, end = token_features(scanner, part, edges)
+        if not len(row):
+            continue
+        p = field.marginals(features, np.append(True, row[1:] != row[:-1]))
+        high, clean = np.zeros(j - i), np.zeros(j - i)
+        np.maximum.at(high, row, p)
+        some = p >= SUSPICIOUS
+        np.add.at(clean, row[some], np.log1p(-np.minimum(p[some], 1 - 1e-12)))
+        scores[i:j] = np.maximum(high, 1 - np.exp(clean))
+        bad = np.flatnonzero(p >= 0.5)
+        if len(bad):
+            chars = np.append(0, np.cumsum((part & 0xC0) != 0x80))
+            for k in bad:
+                base = chars[edges[row[k]]]
+                spans[i + row[k]].append({"start": int(chars[start[k]] - base), "end": int(chars[end[k]] - base), "p": float(p[k])})
+    return scores, spans
+
+
+def _sent(spark, field: Field):
+    """The field as a broadcast of its used weights, and how a task opens it."""
     used = np.flatnonzero(field.weights)
     sent = spark.sparkContext.broadcast((used.astype(np.uint32), field.weights[used].astype(np.float32), field.bias, field.step, field.init))
 
-    def scan(batches):
-        scanner, one = Scanner(SEPARATORS), Field()
+    def opened() -> tuple[Scanner, Field]:
+        one = Field()
         at, weights, one.bias, one.step, one.init = sent.value
         one.weights = np.zeros(1 << BITS, np.float32)
         one.weights[at] = weights
+        return Scanner(SEPARATORS), one
+
+    return opened
+
+
+def scored(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score and spans (start and end in characters, and probability) of every row; no shuffle."""
+    opened = _sent(docs.sparkSession, field)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
+
+    def scan(batches):
+        scanner, one = opened()
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            scores, spans = np.zeros(len(offsets) - 1), [[] for _ in range(len(offsets) - 1)]
-            for i, j in slices(offsets):
-                part, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                features, row, start, end = token_features(scanner, part, edges)
-                if not len(row):
-                    continue
-                first = np.append(True, row[1:] != row[:-1])
-                p = one.marginals(features, first)
-                high = np.zeros(j - i)
-                np.maximum.at(high, row, p)
-                clean = np.zeros(j - i)
-                some = p >= 0.2
-                np.add.at(clean, row[some], np.log1p(-np.minimum(p[some], 1 - 1e-12)))
-                scores[i:j] = np.maximum(high, 1 - np.exp(clean))
-                bad = np.flatnonzero(p >= 0.5)
-                if len(bad):
-                    chars = np.append(0, np.cumsum((part & 0xC0) != 0x80))
-                    for k in bad:
-                        base = chars[edges[row[k]]]
-                        spans[i + row[k]].append({"start": int(chars[start[k]] - base), "end": int(chars[end[k]] - base), "p": float(p[k])})
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
+            scores, spans = score_texts(scanner, one, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(scan, "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
 
 
+def without_toxic(docs: DataFrame, field: Field, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose texts score under ``cut``; no shuffle."""
+    opened = _sent(docs.sparkSession, field)
+    at = docs.columns.index(text_col)
+
+    def scan(batches):
+        scanner, one = opened()
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(scanner, one, batch.column(at))[0] < cut))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all ``documents``, learnt from ``labels`` outside the held-out third."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
