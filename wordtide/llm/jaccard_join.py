@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scanner, forget, shuffle_partitions, slices, stored, utf8
+from .shared import Scanner, kept_by_worker, mixed, release, shuffle_partitions, slices, stored, utf8
 
 WORDS, THRESHOLD = 5, 75
 #: 2**SKETCH_BITS counters order the shingles; the sketch is sent to all tasks and has one byte for each.
@@ -46,13 +46,20 @@ SKETCH_BITS = 24
 SIEVE_BITS = 22
 LEAF = 128
 CHUNK = 1 << 18
+#: Rows of one region that a task holds; those of a larger one pass through it.
+HELD = 50_000
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with all their first bytes together, then all their second bytes and so on: small ones pack well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def summaries(docs: DataFrame, k: int) -> DataFrame:
     """One pass: for each document its number of shingles and set hash, and for each task its part of the sketch."""
 
     def scan(batches):
-        scanner = Scanner()
+        scanner = kept_by_worker(Scanner)
         parts: list[np.ndarray] = []
         codec = pa.Codec("zstd", 1)
 
@@ -60,7 +67,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
             at, n = np.unique(np.concatenate(parts), return_counts=True)
             parts.clear()
             edges = np.searchsorted(at, np.arange(0, (1 << SKETCH_BITS) + 1, CHUNK))
-            rows = [(i, codec.compress(np.concatenate([at[a:b].astype("<u4"), n[a:b].astype("<u4")]).tobytes(), asbytes=True), 2 * (b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            rows = [(i, codec.compress(planes(np.concatenate([np.diff(at[a:b], prepend=i * CHUNK), n[a:b] - 1])), asbytes=True), 2 * (b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
             none = pa.nulls(len(rows), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "n", "high", "low", "chunk", "body", "cells"])
 
@@ -93,10 +100,9 @@ def sketch(parts: DataFrame) -> np.ndarray:
         codec, totals = pa.Codec("zstd", 1), {}
         for batch in batches:
             for chunk, body, cells in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.frombuffer(codec.decompress(body, 4 * cells), "<u4")
-                at, n = x[: cells // 2], x[cells // 2 :]
+                x = np.frombuffer(codec.decompress(body, 4 * cells), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
                 total = totals.setdefault(chunk, np.zeros(CHUNK, np.int64))
-                total[at - chunk * CHUNK] += n
+                total[np.cumsum(x[: cells // 2])] += x[cells // 2 :] + 1
         rows = [(c, np.minimum(8 * np.log2(t + 1.0), 255).astype(np.uint8).tobytes()) for c, t in totals.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "body"])
 
@@ -111,7 +117,7 @@ def region_entries(docs: DataFrame, counts: np.ndarray, k: int, threshold: int)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def scan(batches):
-        scanner, rank, seen = Scanner(), sent.value, set()
+        scanner, rank, seen = kept_by_worker(Scanner), sent.value, set()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -151,67 +157,115 @@ def runs(batches, columns):
         yield held
 
 
-def shared_regions(entries: DataFrame) -> DataFrame:
-    """The entries of regions with two members or more, with the region's pivot and its size."""
+def shared_regions(entries: DataFrame, threshold: int) -> DataFrame:
+    """What the regions with two members or more give, the first member (n, doc_id) of each being its pivot:
+
+    rows without a region: the pairs of a pivot and another member that sizes allow to link;
+    rows with one: the members of regions of three or more. Regions of the same members are one.
+    """
     spark = entries.sparkSession
     dealt = entries.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region", "n", "doc_id")
-
-    def pair_up(batches):
-        last = None  # region, pivot, its size: nothing else is kept of a region, however large
-        waiting = None
-        for batch in batches:
-            region, n, doc = (batch.column(c).to_numpy() for c in range(3))
-            if not len(region):
-                continue
-            first = np.ones(len(region), bool)
-            first[1:] = region[1:] != region[:-1]
-            first[0] = last is None or region[0] != last[0]
-            start = np.maximum.accumulate(np.where(first, np.arange(len(region)), -1))
-            pivot, size = np.where(start >= 0, doc[start], last[1] if last else 0), np.where(start >= 0, n[start], last[2] if last else 0)
-            alone = first.copy()
-            alone[:-1] &= first[1:]
-            if not first[0] and waiting is not None:
-                yield waiting
-            waiting = None
-            keep = ~alone
-            if first[-1]:  # its region may go on in the next batch
-                keep[-1] = False
-                waiting = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (region, n, doc, pivot, size)], names)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (region, n, doc, pivot, size)], names)
-            last = (region[-1], pivot[-1], size[-1])
-
     names = ["region", "n", "doc_id", "pivot", "pivot_n"]
-    return dealt.mapInArrow(pair_up, "region long, n long, doc_id long, pivot long, pivot_n long")
 
+    def star(n, doc, pivot, size):
+        ok = (doc != pivot) & (100 * size >= threshold * n)
+        n, doc, pivot, size = (x[ok] for x in (n, doc, pivot, size))
+        _, one = np.unique(mixed(pivot.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc.view(np.uint64)), return_index=True)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(one), pa.int64()), *(pa.array(x[one]) for x in (n, doc, pivot, size))], names)
+
+    def gather(batches):
+        seen: set[int] = set()
+        held = [np.zeros(0, np.int64)] * 3
+        wide = None  # a region of more rows than are held: its id, pivot and the pivot's size
+
+        def finished(region, n, doc):
+            start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+            size = np.diff(start, append=len(region))
+            if wide is not None and region[0] == wide[0]:
+                first, first_n = np.append(wide[1], doc[start[1:]]), np.append(wide[2], n[start[1:]])
+            else:
+                first, first_n = doc[start], n[start]
+            pivot, pivot_n = np.repeat(first, size), np.repeat(first_n, size)
+            yield star(n, doc, pivot, pivot_n)
+            name = np.add.reduceat(mixed(doc.view(np.uint64)), start) ^ mixed(size.astype(np.uint64))
+            many = size > 2
+            if wide is not None and region[0] == wide[0]:
+                name[0], many[0] = mixed(region[:1].view(np.uint64))[0], True
+            for i in np.flatnonzero(many):
+                if (x := int(name[i])) in seen:
+                    many[i] = False
+                seen.add(x)
+            rows = np.repeat(many, size)
+            if rows.any():
+                region = np.repeat(name, size)[rows].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region, n[rows], doc[rows], pivot[rows], pivot_n[rows])], names)
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """doc_id, body: the sets of the documents that ``wanted`` (doc_id) names, and a few others that the sieve lets pass."""
-    sieve = np.zeros(1 << SIEVE_BITS, bool)
-    at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SIEVE_BITS)
-    sieve[wanted.select(at.cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, range(3), strict=True)]
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from finished(*(x[:cut] for x in held))
+                wide = None if wide is None or wide[0] != held[0][-1] else wide
+                held = [x[cut:] for x in held]
+            if len(held[0]) > HELD:
+                region, n, doc = held
+                if wide is None or wide[0] != region[0]:
+                    wide = (region[0], doc[0], n[0])
+                pivot, pivot_n = np.full(len(doc), wide[1]), np.full(len(doc), wide[2])
+                yield star(n, doc, pivot, pivot_n)
+                name = mixed(region.view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, n, doc, pivot, pivot_n)], names)
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield from finished(*held)
+
+    return dealt.mapInArrow(gather, "region long, n long, doc_id long, pivot long, pivot_n long")
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ``doc_id``: the driver gets 2**SIEVE_BITS numbers at most."""
+    out = np.zeros(1 << SIEVE_BITS, bool)
+    out[ids.select(sieve_bit().alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
+    return np.packbits(out)
+
+
+def sieve_bit():
+    return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SIEVE_BITS).cast("int")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, pivots: DataFrame, k: int) -> DataFrame:
+    """doc_id, pivot, body: the sets of the documents that ``wanted`` (doc_id) names and whether ``pivots`` names them;
+    a few others that the sieves let pass do no harm. A set is the upper 48 bits of its hashes, sorted."""
+    sent = docs.sparkSession.sparkContext.broadcast((sieve(wanted), sieve(pivots)))
 
     def scan(batches):
-        scanner, sieve = Scanner(), np.unpackbits(sent.value).view(bool)
+        scanner = kept_by_worker(Scanner)
+        some, lead = (np.unpackbits(x).view(bool) for x in sent.value)
         for batch in batches:
-            batch = batch.filter(pa.array(sieve[batch.column(2).to_numpy()]))
+            batch = batch.filter(pa.array(some[batch.column(2).to_numpy()]))
             data, offsets = utf8(batch.column(1))
-            bodies = [s.tobytes() for i, j in slices(offsets) for s in scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+            bodies = [s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for i, j in slices(offsets) for s in scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lead[batch.column(2).to_numpy()]), pa.array(bodies, pa.binary())], ["doc_id", "pivot", "body"])
+
+    return docs.withColumn("at", sieve_bit()).mapInArrow(scan, "doc_id long, pivot boolean, body binary").dropDuplicates(["doc_id"])
 
-    return docs.withColumn("at", at).mapInArrow(scan, "doc_id long, body binary").dropDuplicates(["doc_id"])
 
+def verified(pairs: DataFrame, leads: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """a, b, distance, linked of every pair; the sets of a are in ``leads``."""
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """a, b, distance, linked of every pair."""
+    def opened(body):
+        packed = np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, 6)
+        out = np.zeros((len(packed), 8), np.uint8)
+        out[:, 2:] = packed
+        return out.view(np.uint64).ravel()
 
     def compare(batches):
         for batch in batches:
             far, linked = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([opened(x), opened(y)])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 union = len(both) - common
@@ -219,7 +273,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 linked.append(100 * common >= threshold * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
 
-    one, two = sets.select(F.col("doc_id").alias("b"), F.col("body").alias("y")), sets.select(F.col("doc_id").alias("a"), F.col("body").alias("x"))
+    one, two = sets.select(F.col("doc_id").alias("b"), F.col("body").alias("y")), leads.select(F.col("doc_id").alias("a"), F.col("body").alias("x"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, linked boolean")
 
 
@@ -274,20 +328,25 @@ def reopened(regions: DataFrame, threshold: int, pivots: int) -> DataFrame:
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of ``docs``."""
+    spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = given.where("doc_id IS NOT NULL")
     seen = stored(summaries(given, words))
     counted = seen.where("chunk IS NULL").select("doc_id", "n", "high", "low")
     counts = sketch(seen.where("chunk IS NOT NULL").select("chunk", "body", "cells"))
-    entries = stored(shared_regions(region_entries(named, counts, words, threshold)))
-    sets = stored(shingle_sets(named, entries.select("doc_id"), words))
+    found = stored(shared_regions(region_entries(named, counts, words, threshold), threshold))
+    entries = found.where("region IS NOT NULL").select("region", "n", "doc_id", "pivot").distinct()
+    star = found.where("region IS NULL").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    ids = found.select("doc_id").union(found.select("pivot"))
+    release(spark)
+    sets = stored(shingle_sets(named, ids, found.select(F.col("pivot").alias("doc_id")), words))
 
     sized = counted.where("n > 0 AND doc_id IS NOT NULL")
     equal = sized.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most").select("high", "low", "least")
     links = stored(sized.join(equal, ["high", "low"]).where("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
-    star = entries.where(f"doc_id != pivot AND 100 * pivot_n >= {threshold} * n").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    done = stored(verified(star, sets, threshold))
-    regions = entries.select("region", "n", "doc_id", "pivot")
+    done = stored(verified(star, sets.where("pivot"), sets, threshold))
+    release(spark)
+    regions = stored(entries)
     groups = components(links.union(done.where("linked").select("a", "b")))
 
     pivots = 16
@@ -296,7 +355,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         labelled = regions.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         opened = stored(reopened(boundary(labelled, far, threshold), threshold, pivots))
         pairs = opened.where("region IS NULL").select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        more = stored(verified(pairs, sets, threshold))
+        more = stored(verified(pairs, sets, sets, threshold))
         if not more.isEmpty():
             done = stored(done.union(more))
             if not more.where("linked").isEmpty():

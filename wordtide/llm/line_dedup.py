@@ -16,7 +16,8 @@ their lines but those of the smallest doc_id that holds them.
 
 Two keys are taken for one only if 128 bits of hash agree.  Defined results: null or empty
 text is one empty line; rows that repeat a doc_id count as one document; a null doc_id
-counts as the largest one; empty tables give empty results; other columns pass through.
+counts as the largest one; empty tables give empty results; other columns pass through, but
+for those of the reserved prefix ``wordtide_``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shuffle_partitions, small, stored
+from .shared import shuffle_partitions, small, stored, unreserved
 
 MIN_CHARS = 10
 KEYS_A_SHARD = 500_000
@@ -172,6 +173,7 @@ def shard_of(high: np.ndarray, shards: int) -> np.ndarray:
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The columns of ``docs``, ``text_col`` without its dropped lines (null stays null), and two more:
     ``wordtide_n_lines`` (before dropping) and ``wordtide_n_dropped``."""
+    docs = unreserved(docs)
     index = line_index(line_rows(docs, id_col, text_col, min_chars))
     size = index.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     if size <= broadcast_bytes:

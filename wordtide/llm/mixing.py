@@ -12,7 +12,8 @@ start a new phase with their weights among themselves: every row goes out exactl
 
 Defined results: a null source is a source like any other; a source without a weight gets
 ``default_weight``; rows of equal id follow each other in no set order; an empty table gives
-an empty result; columns of the input pass through; a source's last block may be short.
+an empty result; columns of the input pass through, but for those of the reserved prefix
+``wordtide_``; a source's last block may be short.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import shuffle_partitions
+from .shared import shuffle_partitions, unreserved
 
 #: Slots of a period that weights are rounded to; a period has one slot for each source at least.
 RESOLUTION = 1000
@@ -109,7 +110,7 @@ def numbered(rows: DataFrame, group: str, order: str, buckets: int) -> DataFrame
 
 def schedule(docs: DataFrame, weights: dict | None = None, default_weight: float = 1.0, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", resolution: int = RESOLUTION) -> DataFrame:
     """The columns of ``docs``, and ``wordtide_slot`` (of the row's block in the mix) and ``wordtide_place`` (in the block)."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, unreserved(docs)
     counted = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -132,7 +133,7 @@ def mixed_order(docs: DataFrame, weights: dict | None = None, **options) -> Data
     """The rows and columns of ``docs`` in the order of the mix: partitions are ranges of it, sorted."""
     out = schedule(docs, weights, **options)
     at = ["wordtide_slot", "wordtide_place"]
-    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), *at).sortWithinPartitions(*at).select(*docs.columns)
+    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), *at).sortWithinPartitions(*at).drop(*at)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

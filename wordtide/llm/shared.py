@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import types
@@ -63,6 +64,17 @@ def forget(df: DataFrame) -> None:
     _written[:] = [x for x in _written if x[1] != path]
 
 
+def unreserved(df: DataFrame) -> DataFrame:
+    """``df`` without columns of the prefix ``wordtide_``, which the operators use for their own."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("wordtide_")))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of queries that are over; it does so when they are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

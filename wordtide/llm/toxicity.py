@@ -116,7 +116,7 @@ class Field:
         both = ahead * back
         return both[:, 1] / both.sum(1)
 
-    def fit(self, features: np.ndarray, first: np.ndarray, tags: np.ndarray, rounds: int = 40, rate: float = 0.5, decay: float = 1e-3) -> None:
+    def fit(self, features: np.ndarray, first: np.ndarray, tags: np.ndarray, rounds: int = 20, rate: float = 0.5, decay: float = 1e-3) -> None:
         """AdaGrad on the log-likelihood of the tagged chains."""
         used, at = np.unique(features, return_inverse=True)
         at = at.reshape(features.shape)
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
                 bodies.append(features.tobytes() if len(features) <= SAMPLE_TOKENS else b"")
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bodies, pa.binary())], ["toxic", "body"])
 
-    rows = docs.join(few, F.col(id_col) == F.col("wordtide_id")).select(text_col, "wordtide_toxic").mapInArrow(scan, "toxic boolean, body binary").where("octet_length(body) > 0").limit(2 * sample).collect()
+    rows = docs.select(id_col, text_col).join(few, F.col(id_col) == F.col("wordtide_id")).select(text_col, "wordtide_toxic").mapInArrow(scan, "toxic boolean, body binary").where("octet_length(body) > 0").limit(2 * sample).collect()
     field = Field()
     rows = sorted((bytes(r["body"]), r["toxic"]) for r in rows)
     if not any(t for _, t in rows):
