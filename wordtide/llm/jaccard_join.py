@@ -9,7 +9,9 @@ nothing.  The regions are therefore opened in two kinds of steps:
    share a shingle among the first ``n - ceil(threshold * n) + 1`` of each, so a document is
    replicated to that window of regions and every link lies inside some region.  The order
    comes from a count sketch of fixed size: any order is exact, a rare-first one keeps
-   regions small.
+   regions small.  At the first shingle that two documents share, all others they share
+   come later in both; so two members of a region are candidates only if the shingles that
+   each has left from there on (``left``) could make a link.
 2. *Recursion on document pivots.*  In each region its first document is the pivot, and the
    distances of all members to it are computed (a star, not all pairs).  Members within the
    link distance join the pivot's component.  A region whose members all have one component
@@ -113,7 +115,8 @@ def sketch(parts: DataFrame) -> np.ndarray:
 
 
 def region_entries(docs: DataFrame, counts: np.ndarray, k: int, threshold: int) -> DataFrame:
-    """region, n, doc_id: each document in the regions of its window. A set seen before in a task is not repeated."""
+    """region, n, doc_id, left: each document in the regions of its window, and its shingles from that one on.
+    A set seen before in a task is not repeated."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def scan(batches):
@@ -122,22 +125,43 @@ def region_entries(docs: DataFrame, counts: np.ndarray, k: int, threshold: int)
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
-                regions, rows, sizes = [], [], []
+                regions, rows, sizes, left = [], [], [], []
                 for row, s in enumerate(scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k), i):
                     n = len(s)
                     if not n or (mark := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                         continue
                     seen.add(mark)
                     window = n - (threshold * n + 99) // 100 + 1
-                    order = rank[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
-                    regions.append(np.partition(order, window - 1)[:window] if window < n else order)
+                    order = rank[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(55) | s >> np.uint64(9)  # positive as int64: sorting keeps the order
+                    order = np.partition(order, window - 1)[:window] if window < n else order
+                    order.sort()
+                    regions.append(order)
+                    left.append(np.arange(n, n - window, -1))
                     rows.append(row)
                     sizes.append(n)
                 if rows:
                     times = [len(r) for r in regions]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.repeat(np.array(sizes), times)), pa.array(np.repeat(ids[rows].astype(np.int64), times))], ["region", "n", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.repeat(np.array(sizes), times)), pa.array(np.repeat(ids[rows].astype(np.int64), times)), pa.array(np.concatenate(left))], ["region", "n", "doc_id", "left"])
 
-    return docs.mapInArrow(scan, "region long, n long, doc_id long")
+    return docs.mapInArrow(scan, "region long, n long, doc_id long, left long")
+
+
+def may_link(n: np.ndarray, m: np.ndarray, left: np.ndarray, left_m: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles, whose first common one has ``left`` and ``left_m`` from itself on, can link."""
+    return (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & ((100 + threshold) * np.minimum(left, left_m) >= threshold * (n + m))
+
+
+def has_partner(region: np.ndarray, n: np.ndarray, left: np.ndarray, threshold: int) -> np.ndarray:
+    """Of rows sorted by region and n, those that have another member of a size ``may_link`` allows."""
+    if not len(region):
+        return np.zeros(0, bool)
+    at = np.cumsum(np.append(False, region[1:] != region[:-1]))
+    span = int(n.max()) + 2
+    key = at * span + n
+    most = np.minimum((100 + threshold) * left // threshold - n, 100 * n // threshold)
+    low = np.searchsorted(key, at * span + (threshold * n + 99) // 100)
+    high = np.searchsorted(key, at * span + np.minimum(most, span - 1), "right")
+    return high - low > (n <= most)
 
 
 def runs(batches, columns):
@@ -160,36 +184,43 @@ def runs(batches, columns):
 def shared_regions(entries: DataFrame, threshold: int) -> DataFrame:
     """What the regions with two members or more give, the first member (n, doc_id) of each being its pivot:
 
-    rows without a region: the pairs of a pivot and another member that sizes allow to link;
-    rows with one: the members of regions of three or more. Regions of the same members are one.
+    rows without a region: the pairs of a pivot and another member that ``may_link``;
+    rows with one: the members of regions of three or more. Regions of the same members are one, the first in order.
     """
     spark = entries.sparkSession
     dealt = entries.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region", "n", "doc_id")
-    names = ["region", "n", "doc_id", "pivot", "pivot_n"]
+    names = ["region", "n", "doc_id", "left", "pivot"]
 
-    def star(n, doc, pivot, size):
-        ok = (doc != pivot) & (100 * size >= threshold * n)
-        n, doc, pivot, size = (x[ok] for x in (n, doc, pivot, size))
+    def star(n, doc, left, pivot, pivot_n, pivot_left):
+        ok = (doc != pivot) & may_link(n, pivot_n, left, pivot_left, threshold)
+        n, doc, left, pivot = (x[ok] for x in (n, doc, left, pivot))
         _, one = np.unique(mixed(pivot.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc.view(np.uint64)), return_index=True)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(one), pa.int64()), *(pa.array(x[one]) for x in (n, doc, pivot, size))], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(one), pa.int64()), *(pa.array(x[one]) for x in (n, doc, left, pivot))], names)
 
     def gather(batches):
         seen: set[int] = set()
-        held = [np.zeros(0, np.int64)] * 3
-        wide = None  # a region of more rows than are held: its id, pivot and the pivot's size
-
-        def finished(region, n, doc):
+        held = [np.zeros(0, np.int64)] * 4
+        wide = None  # a region of more rows than are held: its id, and its pivot's n, doc_id and left
+
+        def finished(region, n, doc, left):
+            goes_on = wide is not None and region[0] == wide[0]
+            stay = has_partner(region, n, left, threshold)
+            if goes_on:
+                stay |= region == wide[0]
+            region, n, doc, left = (x[stay] for x in (region, n, doc, left))
+            if not len(region):
+                return
             start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
             size = np.diff(start, append=len(region))
-            if wide is not None and region[0] == wide[0]:
-                first, first_n = np.append(wide[1], doc[start[1:]]), np.append(wide[2], n[start[1:]])
-            else:
-                first, first_n = doc[start], n[start]
-            pivot, pivot_n = np.repeat(first, size), np.repeat(first_n, size)
-            yield star(n, doc, pivot, pivot_n)
+            first = [x[start] for x in (n, doc, left)]
+            if goes_on:
+                for x, y in zip(first, wide[1:], strict=True):
+                    x[0] = y
+            pivot_n, pivot, pivot_left = (np.repeat(x, size) for x in first)
+            yield star(n, doc, left, pivot, pivot_n, pivot_left)
             name = np.add.reduceat(mixed(doc.view(np.uint64)), start) ^ mixed(size.astype(np.uint64))
             many = size > 2
-            if wide is not None and region[0] == wide[0]:
+            if goes_on:
                 name[0], many[0] = mixed(region[:1].view(np.uint64))[0], True
             for i in np.flatnonzero(many):
                 if (x := int(name[i])) in seen:
@@ -198,10 +229,10 @@ def shared_regions(entries: DataFrame, threshold: int) -> DataFrame:
             rows = np.repeat(many, size)
             if rows.any():
                 region = np.repeat(name, size)[rows].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region, n[rows], doc[rows], pivot[rows], pivot_n[rows])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region, n[rows], doc[rows], left[rows], pivot[rows])], names)
 
         for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, range(3), strict=True)]
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, range(4), strict=True)]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))
@@ -210,18 +241,18 @@ def shared_regions(entries: DataFrame, threshold: int) -> DataFrame:
                 wide = None if wide is None or wide[0] != held[0][-1] else wide
                 held = [x[cut:] for x in held]
             if len(held[0]) > HELD:
-                region, n, doc = held
+                region, n, doc, left = held
                 if wide is None or wide[0] != region[0]:
-                    wide = (region[0], doc[0], n[0])
-                pivot, pivot_n = np.full(len(doc), wide[1]), np.full(len(doc), wide[2])
-                yield star(n, doc, pivot, pivot_n)
+                    wide = (region[0], n[0], doc[0], left[0])
+                pivot_n, pivot, pivot_left = (np.full(len(doc), x) for x in wide[1:])
+                yield star(n, doc, left, pivot, pivot_n, pivot_left)
                 name = mixed(region.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, n, doc, pivot, pivot_n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, n, doc, left, pivot)], names)
                 held = [x[:0] for x in held]
         if len(held[0]):
             yield from finished(*held)
 
-    return dealt.mapInArrow(gather, "region long, n long, doc_id long, pivot long, pivot_n long")
+    return dealt.mapInArrow(gather, "region long, n long, doc_id long, left long, pivot long")
 
 
 def sieve(ids: DataFrame) -> np.ndarray:
@@ -289,25 +320,25 @@ def boundary(labelled: DataFrame, far: DataFrame, threshold: int) -> DataFrame:
     left = left.join(home, "region", "left").withColumn("outside", F.col("home").isNull() | (F.col("component") != F.col("home")))
     nearest = left.where("outside").groupBy("region").agg(F.min(F.coalesce("distance", F.lit(0.0))).alias("nearest"))
     reach = F.col("outside") | F.col("distance").isNull() | (F.col("distance") >= F.col("nearest") - eps)
-    return left.join(nearest, "region").where(reach).select("region", "n", "doc_id", "component", "distance", "pivot")
+    return left.join(nearest, "region").where(reach).select("region", "n", "doc_id", "component", "distance", "left", "pivot")
 
 
 def reopened(regions: DataFrame, threshold: int, pivots: int) -> DataFrame:
     """For regions that are not closed: the pairs (a, b) to compare next; of those with over ``LEAF`` members also the
-    rows (region, n, b: member, a: first pivot) that stay after their new pivots."""
+    rows (region, n, left, b: member, a: first pivot) that stay after their new pivots."""
     eps = 1 - threshold / 100 + 1e-9
     dealt = regions.repartition(shuffle_partitions(regions.sparkSession), "region").sortWithinPartitions("region", "n", "doc_id")
 
-    def pairs_of(left, right, n, doc, comp, dist):
-        """left, right: positions, the left of smaller size."""
-        ok = (comp[left] != comp[right]) & (100 * n[left] >= threshold * n[right]) & ~(np.abs(dist[left] - dist[right]) > eps)
-        return doc[left[ok]], doc[right[ok]]
+    def pairs_of(x, y, n, doc, comp, dist, left):
+        """x, y: positions, that of the smaller document first."""
+        ok = (comp[x] != comp[y]) & may_link(n[x], n[y], left[x], left[y], threshold) & ~(np.abs(dist[x] - dist[y]) > eps)
+        return doc[x[ok]], doc[y[ok]]
 
     def open_(batches):
-        for region, n, doc, comp, dist, pivot in runs(batches, range(6)):
+        for region, n, doc, comp, dist, left, pivot in runs(batches, range(7)):
             edges = [0, *(np.flatnonzero(np.diff(region)) + 1), len(region)]
             for s, e in zip(edges, edges[1:], strict=False):
-                m, one = e - s, [x[s:e] for x in (n, doc, comp, dist)]
+                m, one = e - s, [x[s:e] for x in (n, doc, comp, dist, left)]
                 if m <= LEAF:
                     a, b = pairs_of(*np.triu_indices(m, 1), *one)
                     rest = np.zeros(0, np.int64)
@@ -319,11 +350,11 @@ def reopened(regions: DataFrame, threshold: int, pivots: int) -> DataFrame:
                     rest = np.setdiff1d(np.arange(m), chosen)
                 if len(a):
                     none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], ["a", "b", "region", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], ["a", "b", "region", "n", "left"])
                 if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pivot[s:e][rest], one[1][rest], region[s:e][rest], one[0][rest])], ["a", "b", "region", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pivot[s:e][rest], one[1][rest], region[s:e][rest], one[0][rest], one[4][rest])], ["a", "b", "region", "n", "left"])
 
-    return dealt.mapInArrow(open_, "a long, b long, region long, n long")
+    return dealt.mapInArrow(open_, "a long, b long, region long, n long, left long")
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -335,7 +366,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counted = seen.where("chunk IS NULL").select("doc_id", "n", "high", "low")
     counts = sketch(seen.where("chunk IS NOT NULL").select("chunk", "body", "cells"))
     found = stored(shared_regions(region_entries(named, counts, words, threshold), threshold))
-    entries = found.where("region IS NOT NULL").select("region", "n", "doc_id", "pivot").distinct()
+    entries = found.where("region IS NOT NULL").groupBy("region", "n", "doc_id", "pivot").agg(F.max("left").alias("left"))
     star = found.where("region IS NULL").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     ids = found.select("doc_id").union(found.select("pivot"))
     release(spark)
@@ -360,7 +391,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             done = stored(done.union(more))
             if not more.where("linked").isEmpty():
                 groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where("linked").select("a", "b")))
-        regions = opened.where("region IS NOT NULL").select("region", "n", F.col("b").alias("doc_id"), F.col("a").alias("pivot"))
+        regions = opened.where("region IS NOT NULL").select("region", "n", F.col("b").alias("doc_id"), F.col("a").alias("pivot"), "left")
         if regions.isEmpty():
             break
         pivots *= 4

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the vectorised scans; a longer text is handled alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 #: The bytes that part words: ``[\x20\x09-\x0D]``.
 SPACES = [32, 9, 10, 11, 12, 13]
@@ -153,7 +153,7 @@ class Scanner:
 
     def grow(self, n: int) -> None:
         if len(self.powers) < n:
-            size = max(n, 2 * SLICE_BYTES)
+            size = max(n, SLICE_BYTES)
             for name, base in (("powers", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
