@@ -35,6 +35,8 @@ BITS = 20
 PREFIXES = (4, 5, 6)
 BLOCK = 64
 CUT = 0.7
+#: Words of training documents whose marginals the driver holds at once.
+FIT_WORDS = 100_000
 #: Words from this probability on count towards a document's chance of holding a toxic one.
 SUSPICIOUS = 0.2
 #: All ASCII bytes that are neither letters nor digits part words here.
@@ -117,33 +119,34 @@ class Field:
         return both[:, 1] / both.sum(1)
 
     def fit(self, features: np.ndarray, first: np.ndarray, tags: np.ndarray, rounds: int = 20, rate: float = 0.5, decay: float = 1e-3) -> None:
-        """AdaGrad on the log-likelihood of the tagged chains."""
-        used, at = np.unique(features, return_inverse=True)
-        at = at.reshape(features.shape)
-        w, w2, other2 = self.weights[used], np.full(len(used), 1e-6), np.full((3, 2, 2), 1e-6)
-        tag = tags.astype(np.int64)
+        """AdaGrad on the log-likelihood of the tagged chains; gradients are summed over blocks of whole chains."""
+        w, w2, other2 = self.weights, np.full(1 << BITS, 1e-6), np.full((3, 2, 2), 1e-6)
+        tag, starts = tags.astype(np.int8), np.flatnonzero(first)
         inside = np.flatnonzero(~first)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (tag[inside - 1], tag[inside]), 1)
+        seen = np.bincount(2 * tag[inside - 1] + tag[inside], minlength=4).reshape(2, 2).astype(float)
+        edges = np.unique(np.append(starts[np.searchsorted(starts, np.arange(0, len(tags), FIT_WORDS), "right") - 1], len(tags)))
         for _ in range(rounds):
-            odds = np.exp(np.clip(w[at].sum(1) + self.bias, -30, 30))
-            step = np.exp(self.step)
-            ahead, back = forward_backward(odds, first, step, np.exp(self.init))
-            both = ahead * back
-            p = both[:, 1] / both.sum(1)
-            miss = tags - p
-            g = np.bincount(at.ravel(), np.repeat(miss, at.shape[1]), len(used)) - decay * w
+            step, g, pairs, misses, heads = np.exp(self.step), -decay * w, np.zeros((2, 2)), 0.0, 0.0
+            for i, j in zip(edges, edges[1:], strict=False):
+                own, head = features[i:j], first[i:j]
+                odds = self.odds(own)
+                ahead, back = forward_backward(odds, head, step, np.exp(self.init))
+                both = ahead * back
+                miss = tags[i:j] - both[:, 1] / both.sum(1)
+                for k in range(own.shape[1]):
+                    g += np.bincount(own[:, k], miss, 1 << BITS)
+                at = np.flatnonzero(~head)
+                pair = ahead[at - 1][:, :, None] * step[None] * np.stack([back[at, 0], back[at, 1] * odds[at]], 1)[:, None, :]
+                pair /= pair.sum((1, 2), keepdims=True)
+                pairs, misses, heads = pairs + pair.sum(0), misses + miss.sum(), heads + miss[head].sum()
             w2 += g * g
             w += rate * g / np.sqrt(w2)
-            pair = ahead[inside - 1][:, :, None] * step[None] * np.stack([back[inside, 0], back[inside, 1] * odds[inside]], 1)[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            for k, (name, g) in enumerate((("step", seen - pair.sum(0)), ("bias", miss.sum()), ("init", np.array([-1, 1]) * miss[first].sum()))):
-                g = np.broadcast_to(g, (2, 2)) / len(p)
+            for k, (name, g) in enumerate((("step", seen - pairs), ("bias", misses), ("init", np.array([-1, 1]) * heads))):
+                g = np.broadcast_to(g, (2, 2)) / len(tags)
                 other2[k] += g * g
                 change = 0.2 * g / np.sqrt(other2[k])
                 value = getattr(self, name) + (change if name == "step" else change[0, 0] if name == "bias" else change[0])
                 setattr(self, name, value)
-        self.weights[used] = w
 
 
 def token_labels(features: np.ndarray, row: np.ndarray, toxic: np.ndarray, least_surprise: float = 11.0, least_odds: float = 3.0) -> np.ndarray:
@@ -204,11 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     if not any(t for _, t in rows):
         return field
     parts = [np.frombuffer(b, np.uint32).reshape(-1, 1 + len(PREFIXES)) for b, _ in rows]
-    features, sizes = np.concatenate(parts), [len(x) for x in parts]
-    row = np.repeat(np.arange(len(parts)), sizes)
+    features, sizes, toxic = np.concatenate(parts), [len(x) for x in parts], np.array([t for _, t in rows])
+    del rows, parts
+    row = np.repeat(np.arange(len(sizes)), sizes)
     first = np.zeros(len(features), bool)
     first[np.append(0, np.cumsum(sizes)[:-1])] = True
-    field.fit(features, first, token_labels(features, row, np.array([t for _, t in rows])))
+    field.fit(features, first, token_labels(features, row, toxic))
     return field
 
 
