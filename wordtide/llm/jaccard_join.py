@@ -21,7 +21,8 @@ nothing.  The regions are therefore opened in two kinds of steps:
    pivots, as many more each round.  No pair is given up; the recursion ends when every
    region is closed.
 
-Equal shingle sets are joined by a hash of the whole set.  Words are ``[^\\x20\\x09-\\x0D]+``
+Equal shingle sets are joined by a hash of the whole set; of each such class only the smallest
+doc_id goes through regions and comparisons.  Words are ``[^\\x20\\x09-\\x0D]+``
 with A-Z lower-cased; shingles are compared by 64-bit hashes.
 
 Defined results: a document of fewer words than a shingle is one shingle of all its words;
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scanner, kept_by_worker, mixed, release, shuffle_partitions, slices, stored, utf8
+from .shared import Scanner, forget, kept_by_worker, mixed, release, shuffle_partitions, slices, stored, utf8
 
 WORDS, THRESHOLD = 5, 75
 #: 2**SKETCH_BITS counters order the shingles; the sketch is sent to all tasks and has one byte for each.
@@ -283,6 +284,26 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, pivots: DataFrame, k: int)
     return docs.withColumn("at", sieve_bit()).mapInArrow(scan, "doc_id long, pivot boolean, body binary").dropDuplicates(["doc_id"])
 
 
+def among(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that ``ids`` (doc_id) names, before they are shuffled; a few others pass too."""
+    sent = sets.sparkSession.sparkContext.broadcast(sieve(ids))
+
+    def scan(batches):
+        some = np.unpackbits(sent.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(some[batch.column(3).to_numpy()])).select([0, 1, 2])
+
+    return sets.withColumn("at", sieve_bit()).mapInArrow(scan, "doc_id long, pivot boolean, body binary")
+
+
+def representatives(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` with every document and pivot replaced by the one that stands for its class of equal sets."""
+    named = links.groupBy("b").agg(F.min("a").alias("rep"))
+    for c in ("doc_id", "pivot"):
+        found = found.join(named.withColumnRenamed("b", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+    return found.where("region IS NOT NULL OR doc_id != pivot").select("region", "n", "doc_id", "left", "pivot")
+
+
 def verified(pairs: DataFrame, leads: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """a, b, distance, linked of every pair; the sets of a are in ``leads``."""
 
@@ -365,16 +386,17 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     seen = stored(summaries(given, words))
     counted = seen.where("chunk IS NULL").select("doc_id", "n", "high", "low")
     counts = sketch(seen.where("chunk IS NOT NULL").select("chunk", "body", "cells"))
-    found = stored(shared_regions(region_entries(named, counts, words, threshold), threshold))
+    sized = counted.where("n > 0 AND doc_id IS NOT NULL")
+    equal = sized.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most").select("high", "low", "least")
+    links = stored(sized.join(equal, ["high", "low"]).where("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
+    given_regions = stored(shared_regions(region_entries(named, counts, words, threshold), threshold))
+    release(spark)
+    found = stored(representatives(given_regions, links))
+    forget(given_regions)
     entries = found.where("region IS NOT NULL").groupBy("region", "n", "doc_id", "pivot").agg(F.max("left").alias("left"))
     star = found.where("region IS NULL").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     ids = found.select("doc_id").union(found.select("pivot"))
-    release(spark)
     sets = stored(shingle_sets(named, ids, found.select(F.col("pivot").alias("doc_id")), words))
-
-    sized = counted.where("n > 0 AND doc_id IS NOT NULL")
-    equal = sized.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most").select("high", "low", "least")
-    links = stored(sized.join(equal, ["high", "low"]).where("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
     done = stored(verified(star, sets.where("pivot"), sets, threshold))
     release(spark)
     regions = stored(entries)
@@ -385,12 +407,15 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         far = done.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "distance")
         labelled = regions.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         opened = stored(reopened(boundary(labelled, far, threshold), threshold, pivots))
-        pairs = opened.where("region IS NULL").select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        more = stored(verified(pairs, sets, sets, threshold))
-        if not more.isEmpty():
+        known = done.select("a", "b").union(done.select("b", "a"))
+        pairs = stored(opened.where("region IS NULL").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            wanted = among(sets, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+            more = stored(verified(pairs, wanted, wanted, threshold))
             done = stored(done.union(more))
             if not more.where("linked").isEmpty():
                 groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where("linked").select("a", "b")))
+        release(spark)
         regions = opened.where("region IS NOT NULL").select("region", "n", F.col("b").alias("doc_id"), F.col("a").alias("pivot"), "left")
         if regions.isEmpty():
             break
