@@ -267,9 +267,10 @@ def sieve_bit():
     return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SIEVE_BITS).cast("int")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, pivots: DataFrame, k: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, pivots: DataFrame, k: int, repeated: bool) -> DataFrame:
     """doc_id, pivot, body: the sets of the documents that ``wanted`` (doc_id) names and whether ``pivots`` names them;
-    a few others that the sieves let pass do no harm. A set is the upper 48 bits of its hashes, sorted."""
+    a few others that the sieves let pass do no harm. Only ``repeated`` ids need a shuffle. A set is the upper 48 bits of its
+    hashes, sorted: their differences, all lowest bytes first, then the next ones; the highest are mostly 0 and pack well."""
     sent = docs.sparkSession.sparkContext.broadcast((sieve(wanted), sieve(pivots)))
 
     def scan(batches):
@@ -278,10 +279,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, pivots: DataFrame, k: int)
         for batch in batches:
             batch = batch.filter(pa.array(some[batch.column(2).to_numpy()]))
             data, offsets = utf8(batch.column(1))
-            bodies = [s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for i, j in slices(offsets) for s in scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)]
+            bodies = [np.diff(s >> np.uint64(16), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() for i, j in slices(offsets) for s in scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lead[batch.column(2).to_numpy()]), pa.array(bodies, pa.binary())], ["doc_id", "pivot", "body"])
 
-    return docs.withColumn("at", sieve_bit()).mapInArrow(scan, "doc_id long, pivot boolean, body binary").dropDuplicates(["doc_id"])
+    sets = docs.withColumn("at", sieve_bit()).mapInArrow(scan, "doc_id long, pivot boolean, body binary")
+    return sets.dropDuplicates(["doc_id"]) if repeated else sets
 
 
 def among(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -308,10 +310,10 @@ def verified(pairs: DataFrame, leads: DataFrame, sets: DataFrame, threshold: int
     """a, b, distance, linked of every pair; the sets of a are in ``leads``."""
 
     def opened(body):
-        packed = np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, 6)
+        packed = np.frombuffer(body.as_buffer(), np.uint8).reshape(6, -1).T
         out = np.zeros((len(packed), 8), np.uint8)
-        out[:, 2:] = packed
-        return out.view(np.uint64).ravel()
+        out[:, :6] = packed
+        return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
     def compare(batches):
         for batch in batches:
@@ -396,7 +398,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = found.where("region IS NOT NULL").groupBy("region", "n", "doc_id", "pivot").agg(F.max("left").alias("left"))
     star = found.where("region IS NULL").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     ids = found.select("doc_id").union(found.select("pivot"))
-    sets = stored(shingle_sets(named, ids, found.select(F.col("pivot").alias("doc_id")), words))
+    repeated = not sized.groupBy("doc_id").count().where("count > 1").isEmpty()
+    sets = stored(shingle_sets(named, ids, found.select(F.col("pivot").alias("doc_id")), words, repeated))
     done = stored(verified(star, sets.where("pivot"), sets, threshold))
     release(spark)
     regions = stored(entries)
