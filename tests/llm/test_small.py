@@ -109,6 +109,46 @@ def test_periods_deviate_less_than_a_block(seed):
             assert abs(n - (t + 1) * w / total) < 1
 
 
+def slot_sources(blocks, weights):
+    """The source of each slot, by the arithmetic of ``schedule`` in plain Python."""
+    out = {}
+    for k, parts in mixing.phases(blocks, weights).items():
+        for first, end, start, total, slots in parts:
+            for i in range(end - first):
+                slot = start + i // len(slots) * total + slots[i % len(slots)]
+                assert out.setdefault(slot, k) == k
+    return [out[t] for t in range(len(out))]
+
+
+UNEVEN = {f"s{i}": 1 + i % 7 for i in range(1500)}
+
+
+@pytest.mark.parametrize(("weights", "blocks"), [
+    ({f"src{i}": mixing.WEIGHTS.get(f"src{i}", 1.0) for i in range(20)}, lambda w, i: 500 * w),
+    ({f"src{i}": mixing.WEIGHTS.get(f"src{i}", 1.0) for i in range(500)}, lambda w, i: 20 * w + i % 3),
+    (UNEVEN, lambda w, i: 3 * w),
+    ({"a": 0.1, "b": 0.3, None: 1 / 3, "c": 1e-5}, lambda w, i: 400 + 90 * i),
+    ({f"s{i}": 1.0 for i in range(300)}, lambda w, i: 1 + i % 5),
+])
+def test_mixing_keeps_the_stated_weights(weights, blocks):
+    left = {k: int(blocks(w, i)) for i, (k, w) in enumerate(weights.items())}
+    dealt = slot_sources(left, weights)
+    assert len(dealt) == sum(left.values())
+    alive, since, sent = dict(weights), 0, dict.fromkeys(weights, 0)
+    total = sum(alive.values())
+    for t, k in enumerate(dealt, 1):
+        sent[k] += 1
+        left[k] -= 1
+        step = t - since
+        if step % 17 == 0 or not left[k]:
+            assert all(abs(sent[x] - step * w / total) < 1 + 1e-9 for x, w in alive.items())
+        assert abs(sent[k] - step * alive[k] / total) < 1 + 1e-9
+        if not left[k]:  # a new phase
+            del alive[k]
+            since, sent, total = t, dict.fromkeys(alive, 0), sum(alive.values())
+    assert not alive
+
+
 def best_fit(lengths, capacity):
     bins: list[int] = []
     for n in sorted(lengths, reverse=True):

@@ -5,10 +5,11 @@ With weight w out of W, block i of a source may go out from slot floor(i * W / w
 be out by slot ceil((i + 1) * W / w).  Earliest deadline first over these windows fills every
 slot, and after any number of slots each source is less than one block off its target share.
 
-Integer weights repeat the schedule every W slots, so the driver computes one period (W is
-bounded by ``RESOLUTION`` and the number of sources) and every row finds its slot by
-arithmetic from its number within its source.  When a source has no blocks left, the rest
-start a new phase with their weights among themselves: every row goes out exactly once.
+Weights are scaled to integers in exactly their proportions.  These repeat the schedule every
+W slots, so the driver computes one period, or no more than the input's blocks where that is
+less, and every row finds its slot by arithmetic from its number within its source.  When a
+source has no blocks left, the rest start a new phase with their weights among themselves:
+every row goes out exactly once.
 
 Defined results: a null source is a source like any other; a source without a weight gets
 ``default_weight``; rows of equal id follow each other in no set order; an empty table gives
@@ -18,7 +19,11 @@ an empty result; columns of the input pass through, but for those of the reserve
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +31,6 @@ from pyspark.sql import Window as W
 
 from .shared import shuffle_partitions, unreserved
 
-#: Slots of a period that weights are rounded to; a period has one slot for each source at least.
-RESOLUTION = 1000
 #: Sources that the driver schedules; more are an error, not a cut.
 MOST_SOURCES = 5000
 BLOCK_ROWS = 16
@@ -36,57 +39,106 @@ ROWS_A_RANGE = 20_000
 WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 3.0, "src3": 2.0, "src4": 2.0}
 
 
-def whole_weights(weights: dict, resolution: int = RESOLUTION) -> dict:
-    """Integer weights of at least 1 that sum to ``resolution`` or the number of sources, by largest remainder."""
-    total, most = sum(weights.values()), max(resolution, len(weights))
-    if any(w <= 0 for w in weights.values()):
+def whole_weights(weights: dict) -> dict:
+    """The smallest integers in the proportions of ``weights``; a float counts as the decimal it is written as."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
         raise ValueError("weights must be positive")
-    spare = most - len(weights)
-    exact = {k: spare * w / total for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], str(k)))[: most - sum(out.values())]:
-        out[k] += 1
-    return out
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {k: int(w * scale) for k, w in exact.items()}
+    common = math.gcd(*whole.values())
+    return {k: w // common for k, w in whole.items()}
 
 
-def period(weights: dict) -> dict[object, list[int]]:
-    """The slots of each source in one period: earliest deadline first among released blocks."""
-    total = sum(weights.values())
-    order = {k: i for i, k in enumerate(sorted(weights, key=str))}
-    waiting = [(0, order[k], k, 0) for k in weights]
-    heapq.heapify(waiting)
+def dealt(first, after: list, whole: list, total: int):
+    """The source of each slot, without end: earliest deadline first among released blocks.
+
+    Sources are numbers by falling weight, linked from ``first`` on by ``after``; None ends them.
+    First blocks are all released at once and due in this order, so none is touched before its turn.
+    """
+    waiting: list = []
     ready: list = []
-    slots: dict = {k: [] for k in weights}
-    for slot in range(total):
+    for slot in itertools.count():
         while waiting and waiting[0][0] <= slot:
-            _, rank, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * total // weights[k]), rank, k, i))
-        deadline, rank, k, i = heapq.heappop(ready)
+            _, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // whole[k]), k, i))
+        if first is not None and (not ready or -(-total // whole[first]) <= ready[0][0]):
+            deadline, k, i = -(-total // whole[first]), first, 0
+            first = after[first]
+        else:
+            deadline, k, i = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError("a block missed its deadline")
-        slots[k].append(slot)
-        if i + 1 < weights[k]:
-            heapq.heappush(waiting, ((i + 1) * total // weights[k], rank, k, i + 1))
+        yield k
+        heapq.heappush(waiting, ((i + 1) * total // whole[k], k, i + 1))
+
+
+def ranked(weights: dict) -> list:
+    """Sources by falling weight, then name."""
+    return sorted(weights, key=lambda k: (-weights[k], k is not None, str(k)))
+
+
+def period(weights: dict) -> dict[object, list[int]]:
+    """The slots of each source in one period of integer weights."""
+    names, total = ranked(weights), sum(weights.values())
+    slots: dict = {k: [] for k in names}
+    after = [*range(1, len(names)), None]
+    for slot, k in enumerate(itertools.islice(dealt(0, after, [weights[k] for k in names], total), total)):
+        slots[names[k]].append(slot)
     return slots
 
 
-def phases(blocks: dict, weights: dict, resolution: int = RESOLUTION) -> dict[object, list[tuple]]:
-    """For each source its phases (first block, end block, first slot, slots a period, slots of the source in it)."""
+def phases(blocks: dict, weights: dict) -> dict[object, list[tuple]]:
+    """For each source the phases in which it sends (first block, end block, first slot, slots a period, slots of the source in it).
+
+    A phase is dealt to the end of its first period or to the first source's last block,
+    whichever is sooner; all phases together are dealt over no more slots than there are blocks.
+    """
     left = {k: n for k, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    out: dict = {k: [] for k in left}
-    start = 0
-    while left:
-        whole = whole_weights({k: weights[k] for k in left}, resolution)
-        total, slots = sum(whole.values()), period(whole)
-        length = 1 + min((n - 1) // whole[k] * total + slots[k][(n - 1) % whole[k]] for k, n in left.items())
-        for k in list(left):
-            sent = length // total * whole[k] + sum(s < length % total for s in slots[k])
-            out[k].append((done[k], done[k] + sent, start, total, slots[k]))
+    if not left:
+        return {}
+    by_name = whole_weights({k: weights[k] for k in left})
+    names = ranked(by_name)
+    whole, n = [by_name[k] for k in names], [left[k] for k in names]
+    after, ahead = [*range(1, len(names)), None], [None, *range(len(names) - 1)]
+    first, alive, total, start = 0, len(names), sum(whole), 0
+    done = [0] * len(names)
+    out: dict = {k: [] for k in names}
+
+    def linked():
+        k = first
+        while k is not None:
+            yield k
+            k = after[k]
+
+    while alive:
+        slots: dict = {}
+        span, length, common = total, None, 1
+        for slot, k in enumerate(dealt(first, after, whole, total)):
+            if slot == alive:  # paid for by the slots so far
+                common = math.gcd(*(whole[x] for x in linked()))
+                span = total // common
+            if slot == span:
+                break
+            slots.setdefault(k, []).append(slot)
+            if len(slots[k]) == n[k]:
+                length = slot + 1
+                break
+        if length is None:
+            length = 1 + min((n[k] - 1) // len(at) * span + at[(n[k] - 1) % len(at)] for k, at in slots.items())
+        for k, at in slots.items():
+            sent = length // span * len(at) + bisect.bisect_left(at, length % span) if length >= span else len(at)
+            out[names[k]].append((done[k], done[k] + sent, start, span if length > span else 0, at))
             done[k] += sent
-            left[k] -= sent
-            if not left[k]:
-                del left[k]
+            n[k] -= sent
+            if not n[k]:
+                alive, total = alive - 1, total - whole[k]
+                if ahead[k] is None:
+                    first = after[k]
+                else:
+                    after[ahead[k]] = after[k]
+                if after[k] is not None:
+                    ahead[after[k]] = ahead[k]
         start += length
     return out
 
@@ -108,15 +160,15 @@ def numbered(rows: DataFrame, group: str, order: str, buckets: int) -> DataFrame
     return out.withColumn("wordtide_number", F.col("wordtide_own") + F.col("wordtide_before"))
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, default_weight: float = 1.0, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", resolution: int = RESOLUTION) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, default_weight: float = 1.0, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The columns of ``docs``, and ``wordtide_slot`` (of the row's block in the mix) and ``wordtide_place`` (in the block)."""
     spark, docs = docs.sparkSession, unreserved(docs)
     counted = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     counts = {r["source"]: r["n"] for r in counted}
-    plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, {k: (weights or {}).get(k, default_weight) for k in counts}, resolution)
-    phase = "array<struct<first: long, end: long, start: long, total: long, slots: array<int>>>"
+    plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, {k: (weights or {}).get(k, default_weight) for k in counts})
+    phase = "array<struct<first: long, end: long, start: long, total: long, slots: array<long>>>"
     table = spark.createDataFrame(list(plan.items()), f"wordtide_planned string, wordtide_phases {phase}")
     ranges = max(64, -(-sum(counts.values()) // ROWS_A_RANGE))
     rows = docs.withColumn("wordtide_source", F.col(source_col).cast("string")).withColumn("wordtide_hash", F.xxhash64(F.lit(17), F.col(id_col)))
