@@ -1,11 +1,13 @@
 """Operators against hand-made rows."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from wordtide.annotate import base
 from wordtide.functions import fixed
 from wordtide.operators import activity, frequency, phrases, tiers, titles
-from wordtide.plans import pipelines
+from wordtide.plans import catalogue, pipelines
 
 
 def rows(df, *columns):
@@ -115,3 +117,15 @@ def test_title_decisions(spark):
     assert [r[0] for r in df.select(issue).collect()] == [None, "not_found", "year_mismatch", "ambiguous", "uncertain"]
     ranked = titles.ranked(spark.createDataFrame([("dune",)], "query string"), spark.createDataFrame([("Dune",), ("Dune part two",), ("June",)], "title string"))
     assert [r["title"] for r in ranked.orderBy("place").collect()] == ["Dune", "June", "Dune part two"]
+
+
+def test_examples_of_all_phrases(spark, tmp_path):
+    names = [f"{a} {b} {c}" for a, b, c in zip("amber birch cedar delta ember frost grape hazel".split(), "river stone table under valley water yellow zebra".split(), "north ocean paper quiet round south tower urban".split(), strict=True)]
+    spoken = [f"They saw the {p} again" for p in names] + [f"Nobody liked {p}s at all" for p in names] + [f"Later the {p} was gone" for p in names]
+    docs(spark, ". ".join(spoken), "nothing here is said twice").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for p in {r["phrase"] for r in catalogue.phrase_subsume(spark, str(tmp_path)).collect()}:
+        held = [(not re.search(rf"\b{p}\b", s.lower()), i, s) for i, s in enumerate(spoken) if p in s.lower()]
+        want += [(0, p, place, s) for place, (_, _, s) in enumerate(sorted(held)[:2], 1)]
+    got = rows(catalogue.QUERIES["phrase_examples_whole"](spark, str(tmp_path)), "doc_id", "phrase", "place", "sentence")
+    assert got == sorted(want) and len({r[1] for r in got}) >= len(names)

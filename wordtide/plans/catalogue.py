@@ -342,6 +342,12 @@ def phrase_examples_ranked(spark, sf_dir):
     return phrases.phrase_examples(table(spark, sf_dir, "documents"), asked)
 
 
+@query()
+def phrase_examples_whole(spark, sf_dir):
+    """Example sentences of all phrases that ``phrase_subsume`` leaves, whatever their place."""
+    return phrases.phrase_examples(table(spark, sf_dir, "documents"), phrase_subsume(spark, sf_dir).select("doc_id", "phrase"))
+
+
 @query(f"WITH {S_SENT} SELECT doc_id, CAST(spot AS INTEGER) AS pos, sentence FROM st")
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
