@@ -149,6 +149,29 @@ def test_mixing_keeps_the_stated_weights(weights, blocks):
     assert not alive
 
 
+def test_mixing_of_many_sources(spark):
+    most = 6000
+    own = F.when(F.col("id") < 3 * most, F.col("id") % most).otherwise(F.lit(most) + F.col("id") % 40)
+    data = spark.range(5 * most).select(F.col("id").alias("doc_id"), F.when(own > 0, own.cast("string")).alias("source"))
+    plan = mixing.lookup({str(i): 1 + i % 300 for i in range(most)}, {str(i): 1.0 + i % 5 for i in range(most)})
+    assert sum(x.nbytes for x in plan[1:]) < 6 * 8 * sum(1 + i % 300 for i in range(most))
+    out = mixing.schedule(data, {"7": 3.0}, block_rows=2).collect()
+    assert {r["doc_id"] for r in out} == set(range(5 * most))
+    held: dict = {}
+    for r in out:
+        held.setdefault(r["wordtide_slot"], []).append((r["wordtide_place"], r["source"]))
+    assert sorted(held) == list(range(len(held)))
+    assert all(len({k for _, k in x}) == 1 and sorted(p for p, _ in x) == list(range(len(x))) for x in held.values())
+    few = {"a": 90, None: 30, "b": 7}
+    table, want = mixing.lookup(few, dict.fromkeys(few, 1.5)), mixing.phases(few, dict.fromkeys(few, 1.5))
+    names, blocks = [k for k, n in few.items() for _ in range(n)], [i for n in few.values() for i in range(n)]
+    slots = mixing.slots_of(pa.array(names, pa.string()), pa.array(blocks), table).to_pylist()
+    assert sorted(slots) == list(range(127))
+    for k, parts in want.items():
+        exact = [start + i // len(at) * span + at[i % len(at)] for first, end, start, span, at in parts for i in range(end - first)]
+        assert [s for s, name in zip(slots, names, strict=True) if name == k] == exact
+
+
 def best_fit(lengths, capacity):
     bins: list[int] = []
     for n in sorted(lengths, reverse=True):

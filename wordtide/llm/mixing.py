@@ -19,20 +19,21 @@ an empty result; columns of the input pass through, but for those of the reserve
 
 from __future__ import annotations
 
+import array
 import bisect
 import heapq
 import itertools
 import math
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .shared import shuffle_partitions, unreserved
 
-#: Sources that the driver schedules; more are an error, not a cut.
-MOST_SOURCES = 5000
 BLOCK_ROWS = 16
 ROWS_A_RANGE = 20_000
 #: Target weights of op10 and of the pipeline; other sources have weight 1.
@@ -120,7 +121,7 @@ def phases(blocks: dict, weights: dict) -> dict[object, list[tuple]]:
                 span = total // common
             if slot == span:
                 break
-            slots.setdefault(k, []).append(slot)
+            slots.setdefault(k, array.array("q")).append(slot)
             if len(slots[k]) == n[k]:
                 length = slot + 1
                 break
@@ -160,25 +161,51 @@ def numbered(rows: DataFrame, group: str, order: str, buckets: int) -> DataFrame
     return out.withColumn("wordtide_number", F.col("wordtide_own") + F.col("wordtide_before"))
 
 
+def lookup(blocks: dict, weights: dict) -> tuple:
+    """The schedule, flat: the number of each source's first block among all sources' blocks; by that number, for each
+    phase of each source, the first block, blocks a period, first slot, slots a period and place in the last array; slots.
+    """
+    names = list(blocks)
+    base = np.cumsum([0, *blocks.values()])[: len(names)]
+    at = dict(zip(names, base.tolist(), strict=True))
+    parts, slots = array.array("q"), array.array("q")
+    dealt_out = phases(blocks, weights)
+    for k in names:
+        for first, _, start, span, own in dealt_out.pop(k, ()):
+            parts.extend((at[k] + first, len(own), start, span, len(slots)))
+            slots.extend(own)
+    table = np.array(parts, np.int64).reshape(-1, 5).T
+    return at, *np.ascontiguousarray(table), np.array(slots, np.int64)
+
+
+def slots_of(source: pa.Array, block: pa.Array, plan: tuple) -> pa.Array:
+    """The slot of each row's block."""
+    at, first, each, start, span, place, slots = plan
+    coded = source.dictionary_encode()
+    base = np.array([*(at[k] for k in coded.dictionary.to_pylist()), at.get(None, 0)], np.int64)
+    number = block.to_numpy(zero_copy_only=False) + base[coded.indices.fill_null(len(base) - 1).to_numpy(zero_copy_only=False)]
+    part = np.searchsorted(first, number, "right") - 1
+    periods, ahead = np.divmod(number - first[part], each[part])
+    return pa.array(start[part] + periods * span[part] + slots[place[part] + ahead], pa.int64())
+
+
 def schedule(docs: DataFrame, weights: dict | None = None, default_weight: float = 1.0, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The columns of ``docs``, and ``wordtide_slot`` (of the row's block in the mix) and ``wordtide_place`` (in the block)."""
     spark, docs = docs.sparkSession, unreserved(docs)
-    counted = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(counted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counted = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r["source"]: r["n"] for r in counted}
-    plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, {k: (weights or {}).get(k, default_weight) for k in counts})
-    phase = "array<struct<first: long, end: long, start: long, total: long, slots: array<long>>>"
-    table = spark.createDataFrame(list(plan.items()), f"wordtide_planned string, wordtide_phases {phase}")
+    plan = lookup({k: -(-n // block_rows) for k, n in counts.items()}, {k: (weights or {}).get(k, default_weight) for k in counts})
+    sent = spark.sparkContext.broadcast(plan)
+
+    @F.arrow_udf("long")
+    def slot(source: pa.Array, block: pa.Array) -> pa.Array:
+        return slots_of(source, block, sent.value)
+
     ranges = max(64, -(-sum(counts.values()) // ROWS_A_RANGE))
     rows = docs.withColumn("wordtide_source", F.col(source_col).cast("string")).withColumn("wordtide_hash", F.xxhash64(F.lit(17), F.col(id_col)))
     rows = numbered(rows, "wordtide_source", "wordtide_hash", ranges)
     block = F.floor(F.col("wordtide_number") / block_rows)
-    rows = rows.join(F.broadcast(table), F.col("wordtide_source").eqNullSafe(F.col("wordtide_planned")))
-    phase = F.filter("wordtide_phases", lambda p: (p["first"] <= block) & (block < p["end"]))[0]
-    ahead, each = block - phase["first"], F.size(phase["slots"])
-    slot = phase["start"] + F.floor(ahead / each) * phase["total"] + F.element_at(phase["slots"], (ahead % each + 1).cast("int"))
-    return rows.select(*docs.columns, slot.alias("wordtide_slot"), (F.col("wordtide_number") % block_rows).alias("wordtide_place"))
+    return rows.select(*docs.columns, slot("wordtide_source", block).alias("wordtide_slot"), (F.col("wordtide_number") % block_rows).alias("wordtide_place"))
 
 
 def mixed_order(docs: DataFrame, weights: dict | None = None, **options) -> DataFrame:
