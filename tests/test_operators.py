@@ -129,3 +129,10 @@ def test_examples_of_all_phrases(spark, tmp_path):
         want += [(0, p, place, s) for place, (_, _, s) in enumerate(sorted(held)[:2], 1)]
     got = rows(catalogue.QUERIES["phrase_examples_whole"](spark, str(tmp_path)), "doc_id", "phrase", "place", "sentence")
     assert got == sorted(want) and len({r[1] for r in got}) >= len(names)
+
+
+def test_examples_of_two_words_inside_longer_ones(spark):
+    told = docs(spark, "We look forward to it. They overlook forms daily. Please look for the key. Nothing of the kind here", "I look forward to that")
+    asked = spark.createDataFrame([(0, "look for"), (0, "give up"), (1, "look for")], "doc_id long, phrase string")
+    got = rows(phrases.phrase_examples(told, asked), "doc_id", "phrase", "place", "sentence")
+    assert got == [(0, "look for", 1, "Please look for the key"), (0, "look for", 2, "We look forward to it"), (1, "look for", 1, "I look forward to that")]

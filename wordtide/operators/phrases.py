@@ -121,6 +121,8 @@ def phrase_examples(docs: DataFrame, phrases: DataFrame, k: int = 2, least: int
     asked = phrases.where(F.size(F.split("phrase", " ")) > 2).withColumn("inner", inner(F.col("phrase")))
     spots = told.select("doc_id", "at", "sentence", F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("inner"))
     loose = spots.join(asked, ["doc_id", "inner"]).where(F.lower("sentence").contains(F.col("phrase"))).select("doc_id", "phrase", "sentence", "at", F.lit(1).alias("loose"))
-    best = bounded.unionByName(loose).groupBy("doc_id", "phrase", "sentence").agg(F.min(F.struct("loose", "at")).alias("found"))
+    pairs = phrases.where(F.size(F.split("phrase", " ")) == 2)
+    pairs = told.join(pairs, "doc_id").where(F.lower("sentence").contains(F.col("phrase"))).select("doc_id", "phrase", "sentence", "at", F.lit(1).alias("loose"))
+    best = bounded.unionByName(loose).unionByName(pairs).groupBy("doc_id", "phrase", "sentence").agg(F.min(F.struct("loose", "at")).alias("found"))
     order = W.partitionBy("doc_id", "phrase").orderBy("found.loose", "found.at")
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("doc_id", "phrase", "place", "sentence")
