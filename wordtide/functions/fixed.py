@@ -38,7 +38,6 @@ fill in, fill out, fill up, end up, wind up,
 catch up, catch on, catch out,
 deal with, do with, do without, go with, go without,
 come up with, put up with, keep up with,
-come up with, put up with, keep up with,
 give in, give out, give away, give back, give off,
 let in, let out, let down, let up, let go,
 pass away, pass out, pass on, pass by, pass through,
@@ -89,3 +88,53 @@ TITLE_HIGH, TITLE_LEAST, TITLE_GAP, TITLE_CLEAR_GAP = 0.88, 0.70, 0.12, 0.15
 RECENT_ALL, RECENT_USER = 120, 30
 DAILY_DOWNLOADS, DAILY_SHOWS, DAILY_MOVIES, FAILURE_STREAK = 80, 20, 40, 8
 SIMPLE_WORD_FREQ = 2_000_000
+
+# What a file name's release carries beside the title, removed in this order; True: in any case.
+RELEASE_NOISE = [
+    (r"\s*\(\d{4}\)", "", False),
+    (r"\.\d{4}\.", ".", False),
+    (r"s\d+e\d+", "", True),
+    (r"season\s*\d+", "", True),
+    (r"episode\s*\d+", "", True),
+    (r"\d+p", "", True),
+    (r"WEB[- ]?DL", "", True),
+    (r"HDTV", "", True),
+    (r"BluRay", "", True),
+    (r"DVDrip", "", True),
+    (r"AMZN", "", True),
+    (r"x264", "", True),
+    (r"H\.?264", "", True),
+    (r"DDP?5\.?1", "", True),
+    (r"Atmos", "", True),
+    (r"-[A-Z0-9-]+$", "", False),
+    (r"\([A-Z0-9-]+\)$", "", False),
+]
+KNOWN_SERIES = ["Game of Thrones", "The Boys", "Fallout", "Friends"]
+# How a season and an episode are typed at the end of a title; True: the season comes first.
+TYPED_EPISODES = [
+    (r"\b[sS](?:eason)?\s*(\d+)\s*[eE](?:p(?:isode)?)?\s*(\d+)\s*$", True),
+    (r"\b[eE](?:p(?:isode)?)?\s*(\d+)\s*[sS](?:eason)?\s*(\d+)\s*$", False),
+]
+TYPED_YEAR = r"\(?(19\d{2}|20\d{2})\)?\s*$"
+# Names of the translation modes, and words that tell an API error's kind, the first kind that fits.
+MODES = {"russian": ["russian", "ru", "rus"], "english_dictionary": ["english_dictionary", "english", "en", "dictionary", "dict", "english_dict"]}
+ERROR_KINDS = {
+    "quota": ["quota", "insufficient_quota", "billing", "payment", "credit", "exceeded"],
+    "rate_limit": ["rate limit", "rate_limit", "too many requests", "429"],
+    "authentication": ["invalid", "unauthorized", "401", "403", "authentication", "api key"],
+}
+# Watermarks that example lines lose, and words that mark a line as metadata.
+WATERMARKS = [r"(?i)downloaded\s+from\s+www\.[^\s]+", r"(?i)www\.[^\s]+", r"(?i)http[s]?://[^\s]+", r"(?i)subtitle[s]?\s+by\s+[^\n]+", r"(?i)sync[ed]?\s+by\s+[^\n]+"]
+METADATA = r"(?i)(downloaded|www\.|http|subtitle\s+by|sync)"
+# Levels shown to a user, levels that names pass with, levels of the bypass filter.
+SHOWN_LEVELS = {"A": None, "B": ["B1", "B2", "C1", "C2", "N/A", ""], "C": ["C1", "C2", "N/A", ""]}
+BYPASS_LEVELS, ALLOWED_LEVELS = ["B1", "B2", "C1", "C2"], ["B2", "C1", "C2", "N/A", ""]
+# Files of an episode's parts.
+PART_FILES = {
+    "frequent_c": ["tier_1_hard_usable_translations.csv"],
+    "frequent_b": ["tier_b1_words_translations.csv", "tier_b2_words_translations.csv"],
+    "rare_c": ["tier_4_rare_c_translations.csv"],
+    "rare_b": ["tier_4_rare_b_translations.csv"],
+    "phrasal": ["phrasal_verbs.csv"],
+    "idioms": ["idiomatic_expressions.csv"],
+}

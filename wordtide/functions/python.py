@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,3 +42,59 @@ def message_chunks(text, most: int = 4096):
         return texts.map(lambda x: split_message(x or "", most))
 
     return chunks(text)
+
+
+class Tokens:
+    """The token arrays of some rows as numbers: ``code`` and ``row`` of every token, all rows laid end to end."""
+
+    def __init__(self, column: pa.Array) -> None:
+        lists = column.cast(pa.large_list(pa.string()))
+        encoded = lists.flatten().dictionary_encode()
+        self.words, self.code = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+    def among(self, words) -> np.ndarray:
+        """For each token whether it is one of ``words``."""
+        wanted = set(words)
+        return np.array([x in wanted for x in self.words.to_pylist()], bool)[self.code] if len(self.code) else np.zeros(0, bool)
+
+    def joined(self, at: np.ndarray, size: int) -> list[str]:
+        """The ``size`` tokens from each position of ``at`` on, parted by spaces."""
+        parts = [self.words.take(pa.array(self.code[at + k])).to_pylist() for k in range(size)]
+        return [" ".join(x) for x in zip(*parts, strict=True)]
+
+    def counted(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the n-grams at the positions ``at``: for each, the first position of its like in its row and how many there are."""
+        key = self.row[at]
+        for k in range(size):
+            _, key = np.unique(key * (len(self.words) + 1) + self.code[at + k], return_inverse=True)
+        _, first, own, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        return at[first], own, n
+
+    def starts(self, size: int) -> np.ndarray:
+        """Positions from which a row has ``size`` tokens."""
+        at = np.arange(max(len(self.code) - size + 1, 0))
+        return at[self.row[at] == self.row[at + size - 1]]
+
+    def repeated(self, least: int, most: int, occurrences: int):
+        """(first positions, size, counts) of n-grams that a row holds ``occurrences`` times: only such can be longer ones' heads."""
+        at = self.starts(1)
+        for size in range(1, most + 1):
+            at = at[(at + size <= len(self.code))]
+            at = at[self.row[at] == self.row[at + size - 1]]
+            first, own, n = self.counted(at, size)
+            often = n >= occurrences
+            if size >= least:
+                yield first[often], size, n[often]
+            at = at[often[own]]
+
+
+def token_slices(batches, column: int, most: int = 2_000_000):
+    """The batches in slices of some rows, of about ``most`` tokens in all."""
+    for batch in batches:
+        sizes = np.append(0, np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + most, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j

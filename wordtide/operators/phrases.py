@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..functions.python import Tokens, token_slices
 
 
 def grams(tokens: Column, least: int, most: int) -> Column:
@@ -16,10 +21,17 @@ def grams(tokens: Column, least: int, most: int) -> Column:
 
 
 def repeated_ngrams(docs: DataFrame, least: int = fixed.NGRAM_LEAST, most: int = fixed.NGRAM_MOST, occurrences: int = fixed.NGRAM_OCCURRENCES) -> DataFrame:
-    """doc_id, phrase, n_tokens, n of n-grams that a document repeats."""
-    found = docs.select("doc_id", text.tokens(F.col("text")).alias("t")).select("doc_id", F.explode(grams(F.col("t"), least, most)).alias("phrase"))
-    out = found.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= occurrences)
-    return out.withColumn("n_tokens", F.size(F.split("phrase", " ")))
+    """doc_id, phrase, n, n_tokens of n-grams that a document (one row) repeats: counted within the row, without a shuffle."""
+
+    def count(batches):
+        for batch in token_slices(batches, 1):
+            tokens = Tokens(batch.column(1))
+            for at, size, n in tokens.repeated(least, most, occurrences):
+                if len(at):
+                    ids = batch.column(0).take(pa.array(tokens.row[at]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(tokens.joined(at, size), pa.string()), pa.array(n), pa.array(np.full(len(at), size, np.int32))], ["doc_id", "phrase", "n", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long"), text.tokens(F.col("text")).alias("t")).mapInArrow(count, "doc_id long, phrase string, n long, n_tokens int")
 
 
 def stop_words_in(phrase: Column) -> Column:
@@ -52,36 +64,57 @@ def to_phrase(phrase: Column) -> Column:
     return phrase.contains(" to ") | phrase.endswith(" to") | phrase.startswith("to ")
 
 
-def dictionary(spark) -> DataFrame:
-    """phrase, times: the listed phrasal verbs; a phrase listed twice counts twice. A fixed, small table."""
-    listed = spark.createDataFrame([(x,) for x in fixed.PHRASAL_VERBS], "phrase string")
-    return listed.where(~to_phrase(F.col("phrase"))).groupBy("phrase").agg(F.count(F.lit(1)).alias("times"))
+def phrasal_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, phrase, n, size: occurrences in each document (one row), from one pass over its tokens.
+
+    size 0: listed phrases, tokens parted by one space; 2: unlisted pairs of a word and a particle; 3: such pairs with a
+    third word. Particles and lists choose the positions before any phrase is put together.
+    """
+    times = Counter(fixed.PHRASAL_VERBS)
+    particles, thirds = fixed.PARTICLES, fixed.THIRD_WORDS
+
+    def count(batches):
+        for batch in token_slices(batches, 1):
+            found = []
+            spaced, plain = Tokens(batch.column(2)), Tokens(batch.column(1))
+            for size in (2, 3):
+                asked = [x.split(" ") for x in times if x.count(" ") == size - 1]
+                at = spaced.starts(size)
+                for k in range(size):
+                    at = at[spaced.among(x[k] for x in asked)[at + k]]
+                found.append((spaced, at, size, 0))
+                at = plain.starts(size)
+                at = at[plain.among(particles)[at + 1]]
+                found.append((plain, at if size == 2 else at[plain.among(thirds)[at + 2]], size, size))
+            for tokens, at, size, kind in found:
+                if not len(at):
+                    continue
+                first, _, n = tokens.counted(at, size)
+                words = tokens.joined(first, size)
+                weight = np.array([times[x] if not kind else x not in times and (kind == 2 or x.rsplit(" ", 1)[0] not in times) for x in words], np.int64)
+                keep = np.flatnonzero(weight)
+                ids = batch.column(0).take(pa.array(tokens.row[first[keep]]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.string()).take(pa.array(keep)), pa.array((n * weight)[keep]), pa.array(np.full(len(keep), kind, np.int32))], ["doc_id", "phrase", "n", "size"])
+
+    both = docs.select(F.col("doc_id").cast("long"), text.tokens(F.col("text")).alias("t"), text.spaced_tokens(F.col("text")).alias("s"))
+    return both.mapInArrow(count, "doc_id long, phrase string, n long, size int")
 
 
 def dictionary_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, phrase, n: occurrences of listed phrases, tokens parted by one space."""
-    spaced = docs.select("doc_id", text.spaced_tokens(F.col("text")).alias("t"))
-    found = spaced.select("doc_id", F.explode(grams(F.col("t"), 2, 3)).alias("phrase"))
-    hits = found.join(F.broadcast(dictionary(docs.sparkSession)), "phrase")
-    return hits.groupBy("doc_id", "phrase").agg(F.sum("times").alias("n"))
+    """doc_id, phrase, n: occurrences of listed phrases without ``to``."""
+    return phrasal_counts(docs).where((F.col("size") == 0) & ~to_phrase(F.col("phrase"))).drop("size")
 
 
 def dynamic_counts(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, phrase, n: unlisted word + particle pairs (size 2), and those followed by a third word (size 3)."""
-    listed = list(dict.fromkeys(fixed.PHRASAL_VERBS))
-    found = docs.select("doc_id", text.tokens(F.col("text")).alias("t")).select("doc_id", F.explode(grams(F.col("t"), size, size)).alias("phrase"))
-    parts = F.split("phrase", " ")
-    keep = parts[1].isin(fixed.PARTICLES) & ~F.col("phrase").isin(listed)
-    keep &= ~to_phrase(F.col("phrase")) if size == 2 else parts[2].isin(fixed.THIRD_WORDS) & ~F.concat_ws(" ", parts[0], parts[1]).isin(listed)
-    return found.where(keep).groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    """doc_id, phrase, n: unlisted word + particle pairs (size 2) without ``to``, and those followed by a third word (size 3)."""
+    out = phrasal_counts(docs).where(F.col("size") == size).drop("size")
+    return out.where(~to_phrase(F.col("phrase"))) if size == 2 else out
 
 
 def phrasal_verbs(docs: DataFrame) -> DataFrame:
     """doc_id, phrase, n, from_dictionary: listed and dynamic counts together, none with ``to``."""
-    parts = dictionary_counts(docs).withColumn("listed", F.lit(True))
-    for size in (2, 3):
-        parts = parts.unionByName(dynamic_counts(docs, size).withColumn("listed", F.lit(False)))
-    return parts.where(~to_phrase(F.col("phrase"))).groupBy("doc_id", "phrase").agg(F.sum("n").alias("n"), F.bool_or("listed").alias("from_dictionary"))
+    parts = phrasal_counts(docs).where(~to_phrase(F.col("phrase")))
+    return parts.groupBy("doc_id", "phrase").agg(F.sum("n").alias("n"), F.bool_or(F.col("size") == 0).alias("from_dictionary"))
 
 
 def phrasal_candidates(phrases: DataFrame) -> DataFrame:
@@ -126,3 +159,32 @@ def phrase_examples(docs: DataFrame, phrases: DataFrame, k: int = 2, least: int
     best = bounded.unionByName(loose).unionByName(pairs).groupBy("doc_id", "phrase", "sentence").agg(F.min(F.struct("loose", "at")).alias("found"))
     order = W.partitionBy("doc_id", "phrase").orderBy("found.loose", "found.at")
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("doc_id", "phrase", "place", "sentence")
+
+
+def legacy_examples(lines: DataFrame, words: DataFrame, k: int = 3, least: int = 10) -> DataFrame:
+    """word, place, line: as ``word_examples`` of whole lines, repeats and all; watermarks go, lines of metadata are left out."""
+    clean = F.col("line")
+    for pattern in (r"<[^>]+>", r"\[.*?\]", *fixed.WATERMARKS):
+        clean = F.regexp_replace(clean, pattern, "")
+    shown = lines.select("at", clean.alias("line")).where(~F.col("line").rlike(fixed.METADATA))
+    shown = shown.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).where(F.length("line") > least)
+    tokens = shown.select("at", "line", F.explode(F.array_distinct(text.tokens(F.col("line")))).alias("word"))
+    order = W.partitionBy("word").orderBy("at", "line")
+    found = tokens.join(words.select("word").distinct(), "word")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("word", "place", "line")
+
+
+def judge_examples(lines: DataFrame, phrases: DataFrame, k: int = 2, least: int = 8, most: int = 220) -> DataFrame:
+    """phrase, place, line: for each phrase of one to ``fixed.NGRAM_MOST`` words its first ``k`` distinct lines, cut to ``most``."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"<[^>]+>", ""), r"\[.*?\]", ""), r"\s+", " "))
+    shown = lines.select("at", clean.alias("line")).where(F.length("line") >= least)
+    own = shown.select("at", "line", F.explode(F.array_distinct(grams(text.joined_tokens(F.col("line")), 1, fixed.NGRAM_MOST))).alias("phrase"))
+    own = own.withColumn("line", F.substring("line", 1, most))
+    first = own.join(phrases.select("phrase").distinct(), "phrase").groupBy("phrase", "line").agg(F.min("at").alias("at"))
+    order = W.partitionBy("phrase").orderBy("at", "line")
+    return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("phrase", "place", "line")
+
+
+def longest_first(phrases: DataFrame) -> DataFrame:
+    """Phrases with their ``place`` in their document: more words first, then more frequent, then by letters."""
+    return phrases.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n_tokens"), F.desc("n"), "phrase")))
