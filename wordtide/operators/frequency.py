@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -23,26 +24,46 @@ def word_counts(words: DataFrame, *keys: str) -> DataFrame:
     return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
-def english_counts(words: DataFrame) -> DataFrame:
-    """word, english_frequency over all English documents."""
-    return words.where("lang = 'en'").groupBy("word").agg(F.count(F.lit(1)).alias("english_frequency"))
+def doc_counts(docs: DataFrame, singular: bool = True) -> DataFrame:
+    """doc_id, source, word, n, english (n in English documents): the one pass over the texts that counts, frequencies and
+    thresholds are derived from."""
+    words = doc_lemmas(docs) if singular else doc_words(docs)
+    return words.groupBy("doc_id", "source", "word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("english"))
 
 
-def order_statistics(values: str) -> tuple:
-    """Threshold v[min(2n div 3, n - 1)] and upper median v[n div 2] of a group's values, which a group has few of
-    (one for each distinct word of an episode); nulls are left out, and none gives 1."""
-    v = F.array_sort(F.collect_list(values))
-    n = F.size(v)
-    at = lambda i: F.when(n == 0, F.lit(1).cast("long")).otherwise(F.get(v, i.cast("int")))
-    return at(F.least(F.floor(n * 2 / 3), n - 1)), at(F.floor(n / 2))
+def summed(counts: DataFrame, *keys: str) -> DataFrame:
+    """n of each word within ``keys``, from ``doc_counts``."""
+    return counts.groupBy(*keys, "word").agg(F.sum("n").alias("n"))
+
+
+def english_counts(counts: DataFrame) -> DataFrame:
+    """word, english_frequency over all English documents, from ``doc_counts``."""
+    return counts.where("english > 0").groupBy("word").agg(F.sum("english").alias("english_frequency"))
+
+
+def order_statistics(rows: DataFrame, *keys: str, **values) -> DataFrame:
+    """For each of ``values`` (name=column) of a group the threshold v[min(2n div 3, n - 1)] (``name_threshold``) and the
+    upper median v[n div 2] (``name_median``); nulls are left out, and a group of none gives 1.
+
+    Equal values are counted first; running sums over a group's distinct values find the places, so no group is collected.
+    """
+    one = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("long").alias("value")) for k, v in values.items()))).alias("one")
+    counts = rows.select(*keys, one).select(*keys, "one.*").groupBy(*keys, "kind", "value").agg(F.count("value").alias("c")).repartition(*keys)
+    own = W.partitionBy(*keys, "kind")
+    upto = F.sum("c").over(own.orderBy(F.col("value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(own))
+
+    def at(kind, i):
+        here = (F.col("kind") == kind) & (i >= F.col("upto") - F.col("c")) & (i < F.col("upto"))
+        return F.coalesce(F.max(F.when(here, F.col("value"))), F.lit(1).cast("long"))
+
+    third, half = F.least(F.floor(F.col("n") * 2 / 3), F.col("n") - 1), F.floor(F.col("n") / 2)
+    return counts.groupBy(*keys).agg(*(at(k, i).alias(f"{k}_{name}") for name, i in (("threshold", third), ("median", half)) for k in values))
 
 
 def thresholds(counts: DataFrame, *keys: str) -> DataFrame:
     """Series and English thresholds and medians of each group of (keys, word, n, english_frequency)."""
-    positive = counts.withColumn("positive", F.when(F.col("english_frequency") > 0, F.col("english_frequency")))
-    s, sm = order_statistics("n")
-    e, em = order_statistics("positive")
-    return positive.groupBy(*keys).agg(s.alias("series_threshold"), e.alias("english_threshold"), sm.alias("series_median"), em.alias("english_median"))
+    return order_statistics(counts, *keys, series=F.col("n"), english=F.when(F.col("english_frequency") > 0, F.col("english_frequency")))
 
 
 def long_enough(words: DataFrame, least: int = fixed.MIN_LENGTH) -> DataFrame:

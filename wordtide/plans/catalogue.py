@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..functions.python import html_unescaped, message_chunks
+from ..functions.scratch import stored
 from ..operators import activity, frequency, phrases, tiers, titles
 from ..sources import files
 from . import pipelines
@@ -68,16 +69,16 @@ t AS (SELECT *, CASE WHEN NOT he AND n < 3 THEN 'tier_2_random' WHEN filter_reas
   WHEN NOT he AND vocabulary_level = 'B2' THEN 'tier_b2_words' WHEN NOT he AND hs THEN 'tier_1_hard_usable' WHEN NOT he THEN 'tier_2_random' WHEN hs THEN 'tier_3_common' ELSE 'tier_4_rare_in_series' END AS tier FROM p)"""
 S_GRAMS = r"""tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS a FROM documents),
 g AS (SELECT doc_id, array_to_string(a[i:i + k - 1], ' ') AS phrase, k AS n_tokens FROM (SELECT doc_id, a, k, unnest(range(1, len(a) - k + 2)) AS i FROM tk, (VALUES (3), (4), (5), (6)) AS z(k))),
-rep AS (SELECT doc_id, phrase, CAST(n_tokens AS INTEGER) AS n_tokens, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2)"""
+rep AS MATERIALIZED (SELECT doc_id, phrase, CAST(n_tokens AS INTEGER) AS n_tokens, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 def listed(values) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in values)
 
 
-S_STOP = f"len(list_filter(string_split(phrase, ' '), lambda x: regexp_full_match(x, '{'|'.join(fixed.STOP_WORDS)}')))"
+S_STOP = f"len(list_filter(string_split(phrase, ' '), lambda x: list_contains([{listed(fixed.STOP_WORDS)}], x)))"
 S_CANDIDATES = f"""{S_GRAMS},
-cand AS (SELECT * FROM rep WHERE NOT regexp_full_match(phrase, '{'|'.join(fixed.BORING_NGRAMS)}') AND string_split(phrase, ' ')[1] NOT IN ({listed(fixed.FRAGMENTS)})
+cand AS (SELECT * FROM rep WHERE phrase NOT IN ({listed(fixed.BORING_NGRAMS)}) AND string_split(phrase, ' ')[1] NOT IN ({listed(fixed.FRAGMENTS)})
   AND NOT (n_tokens >= 4 AND string_split(phrase, ' ')[-1] IN ({listed(fixed.TRAILING_JUNK)})) AND {S_STOP} / n_tokens <= 0.65)"""
 S_TOP = f"""{S_CANDIDATES},
 topk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, n_tokens DESC, phrase) AS place FROM cand QUALIFY place <= 220)"""
@@ -113,11 +114,15 @@ def lemmas(spark, sf_dir) -> DataFrame:
     return frequency.doc_lemmas(table(spark, sf_dir, "documents"))
 
 
-def tier_rows(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    words = frequency.doc_lemmas(docs)
-    levels = words.select("word").distinct().withColumn("level", level_of("word"))
-    return pipelines.tier_lists(docs, frequency.english_counts(words), levels, list_words(spark, sf_dir), "doc_id", max_english=MOST_ENGLISH)
+def counted(spark, sf_dir, singular: bool = True) -> DataFrame:
+    """``frequency.doc_counts`` of the documents, written once: their texts are read and cut into words here alone."""
+    return stored(frequency.doc_counts(table(spark, sf_dir, "documents"), singular))
+
+
+def tier_rows(spark, sf_dir, counts: DataFrame | None = None) -> DataFrame:
+    counts = counts or counted(spark, sf_dir)
+    levels = counts.select("word").distinct().withColumn("level", level_of("word"))
+    return pipelines.tier_lists(frequency.summed(counts, "doc_id"), frequency.english_counts(counts), levels, list_words(spark, sf_dir), "doc_id", max_english=MOST_ENGLISH)
 
 
 # ------------------------------------------------------------------ tiers
@@ -143,9 +148,10 @@ def tier_rare_split(spark, sf_dir):
   AND NOT (tier = 'tier_1_hard_usable' AND right(word, 2) = 'th') AND NOT (tier IN ({listed(fixed.TIERS[:4])}) AND vocabulary_level IN ('A1', 'A2', 'B1', 'B2'))""")
 def tier_keep_filter(spark, sf_dir):
     """Rows that are written out; roles stand in for names, words in -th for those rated low."""
-    rows = tier_rows(spark, sf_dir)
+    counts = counted(spark, sf_dir)
+    rows = tier_rows(spark, sf_dir, counts)
     names = table(spark, sf_dir, "conversations").select(F.col("role").alias("word"))
-    ratings = lemmas(spark, sf_dir).where(F.col("word").endswith("th")).select("word", F.lit("low").alias("rating")).distinct()
+    ratings = counts.where(F.col("word").endswith("th")).select("word", F.lit("low").alias("rating")).distinct()
     return tiers.kept(rows, names, ratings).select("doc_id", "word", "tier")
 
 
@@ -196,15 +202,15 @@ def singular_cefr_variant(spark, sf_dir):
 
 @query(f"WITH {S_TOK}, {S_ENGLISH} SELECT * FROM en")
 def english_freq_rollup(spark, sf_dir):
-    return frequency.english_counts(lemmas(spark, sf_dir))
+    return frequency.english_counts(frequency.doc_counts(table(spark, sf_dir, "documents")))
 
 
 @query(f"""WITH {S_TOK}, {S_ENGLISH}, c AS (SELECT source, word, count(*) AS n FROM lem GROUP BY ALL),
 v AS (SELECT source, list_sort(list(n)) AS s, list_sort(list(english_frequency) FILTER (english_frequency IS NOT NULL)) AS e FROM c LEFT JOIN en USING (word) GROUP BY source)
 SELECT source, s[least(len(s) * 2 // 3, len(s) - 1) + 1] AS series_threshold, e[least(len(e) * 2 // 3, len(e) - 1) + 1] AS english_threshold, s[len(s) // 2 + 1] AS series_median, e[len(e) // 2 + 1] AS english_median FROM v""")
 def thresholds_by_source(spark, sf_dir):
-    words = lemmas(spark, sf_dir)
-    counts = frequency.word_counts(words, "source").join(frequency.english_counts(words), "word", "left").fillna(0, ["english_frequency"])
+    words = counted(spark, sf_dir)
+    counts = frequency.summed(words, "source").join(frequency.english_counts(words), "word", "left").fillna(0, ["english_frequency"])
     return frequency.thresholds(counts, "source")
 
 
@@ -247,8 +253,10 @@ m AS (SELECT source, c.word, n, coalesce(x.level, y.level) AS level, CASE WHEN c
 SELECT source, word, n, level, english_frequency FROM m WHERE {S_RANK} - 4 >= 1 AND english_frequency <= {MOST_ENGLISH}""")
 def cefr_gap_words(spark, sf_dir):
     """Words a level or more above B2 for each series."""
-    counts = frequency.word_counts(frequency.doc_words(table(spark, sf_dir, "documents")), "source").drop("first_pos")
-    out = tiers.above_level(counts, tiers.one_level(seen_levels(spark, sf_dir), highest=True), frequency.english_counts(lemmas(spark, sf_dir)), "B2", max_english=MOST_ENGLISH)
+    counts = counted(spark, sf_dir, singular=False)  # singular forms follow from the distinct words
+    forms = counts.withColumn("word", text.singular(F.col("word")))
+    seen = counts.select(text.singular(F.col("word")).alias("word"), level_of("word").alias("level")).distinct()
+    out = tiers.above_level(frequency.summed(counts, "source"), tiers.one_level(seen, highest=True), frequency.english_counts(forms), "B2", max_english=MOST_ENGLISH)
     return out.select("source", "word", "n", "level", "english_frequency")
 
 
@@ -332,13 +340,16 @@ S_SENT = r"""st AS (SELECT doc_id, i - 1 AS spot, a[i] AS sentence FROM (SELECT
   list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: length(x) > 10 AND length(x) < 260) AS a FROM documents)))"""
 
 
-@query(rf"""WITH {S_TOP}, ask AS (SELECT doc_id, phrase FROM topk WHERE place <= 5), {S_SENT},
-m AS (SELECT doc_id, phrase, sentence, min([CASE WHEN regexp_matches(' ' || regexp_replace(lower(sentence), '\s+', ' ', 'g') || ' ', '[^\p{{L}}\p{{N}}_]' || phrase || '[^\p{{L}}\p{{N}}_]') THEN 0 ELSE 1 END, spot]) AS found
-  FROM ask JOIN st USING (doc_id) WHERE contains(lower(sentence), phrase) OR regexp_matches(' ' || regexp_replace(lower(sentence), '\s+', ' ', 'g') || ' ', '[^\p{{L}}\p{{N}}_]' || phrase || '[^\p{{L}}\p{{N}}_]') GROUP BY ALL)
-SELECT doc_id, phrase, CAST(row_number() OVER (PARTITION BY doc_id, phrase ORDER BY found) AS INTEGER) AS place, sentence FROM m QUALIFY place <= 2""")
+S_EXAMPLES = rf"""{S_SENT}, so AS (SELECT *, ' ' || regexp_replace(lower(sentence), '\s+', ' ', 'g') || ' ' AS one FROM st),
+m AS (SELECT doc_id, phrase, sentence, min([CASE WHEN contains(one, phrase) AND regexp_matches(one, '[^\p{{L}}\p{{N}}_]' || phrase || '[^\p{{L}}\p{{N}}_]') THEN 0 ELSE 1 END, spot]) AS found
+  FROM ask JOIN so USING (doc_id) WHERE contains(lower(sentence), phrase) OR (contains(one, phrase) AND regexp_matches(one, '[^\p{{L}}\p{{N}}_]' || phrase || '[^\p{{L}}\p{{N}}_]')) GROUP BY ALL)
+SELECT doc_id, phrase, CAST(row_number() OVER (PARTITION BY doc_id, phrase ORDER BY found) AS INTEGER) AS place, sentence FROM m QUALIFY place <= 2"""
+
+
+@query(f"WITH {S_TOP}, ask AS (SELECT doc_id, phrase FROM topk), {S_EXAMPLES}")
 def phrase_examples_ranked(spark, sf_dir):
-    """Example sentences of each document's five leading phrases."""
-    asked = ngram_topk(spark, sf_dir).where("place <= 5").select("doc_id", "phrase")
+    """Example sentences of all of each document's phrases."""
+    asked = ngram_topk(spark, sf_dir).select("doc_id", "phrase")
     return phrases.phrase_examples(table(spark, sf_dir, "documents"), asked)
 
 

@@ -10,11 +10,10 @@ from ..functions import fixed, text
 from ..operators import activity, frequency, phrases, tiers
 
 
-def tier_lists(docs: DataFrame, english: DataFrame, levels: DataFrame, lists: DataFrame, *keys: str, **options) -> DataFrame:
-    """Tiers of every word of every episode (``keys``): words, counts, dimensions, thresholds, rules."""
-    lemmas = frequency.without(frequency.doc_lemmas(docs), lists.where("filter_class = 'basic'").select("word").distinct())
-    counts = frequency.long_enough(frequency.word_counts(lemmas, *keys))
-    rows = tiers.with_dimensions(counts, english, levels, lists)
+def tier_lists(counts: DataFrame, english: DataFrame, levels: DataFrame, lists: DataFrame, *keys: str, **options) -> DataFrame:
+    """Tiers of every word of every episode (``keys``) from word counts (keys, word, n): dimensions, thresholds, rules."""
+    own = frequency.without(counts, lists.where("filter_class = 'basic'").select("word").distinct())
+    rows = tiers.with_dimensions(frequency.long_enough(own), english, levels, lists)
     limits = frequency.thresholds(rows, *keys)
     return tiers.tiered(rows, limits, *keys, **options)
 
