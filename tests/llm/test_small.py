@@ -262,7 +262,8 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
             words += passage
         data.append((i, " ".join(words)))
     df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, component string").repartition(7)
-    monkeypatch.setattr(jaccard_join, "LEAF", 4)  # so that regions take new pivots
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)  # so that cells take new pivots
+    monkeypatch.setattr(jaccard_join, "FLAT_LEAF", 6)
     monkeypatch.setattr(jaccard_join, "HELD", 10)
     got = {tuple(r) for r in jaccard_join.linked_components(df).collect()}
     assert got == brute_components(data)
@@ -372,7 +373,7 @@ def test_url_filter(spark):
     assert got[3][2:] == ("com/", "allow") and got[4][2:] == ("net/es/", "block") and got[5][2] is None and got[6][:3] == ("", "", None) and got[7][:2] == ("", "")
     assert got[9][:3] == ("b.net", "", None) and all(v[3] in ("allow", "block") for v in got.values())
     assert url_filter.judged(df.where("false")).count() == 0
-    words = url_filter.viterbi("goodday", {(0, 4): 5, (4, 3): 9}, 20.0)
+    words = url_filter.viterbi("goodday", [(0, 4, 5), (4, 3, 9)], 20.0)
     assert words == ["good", "day"]
     split = {r["token"]: r["words"] for r in url_filter.segmented(spark.createDataFrame([("goodday",), ("a" * 400,)], "token string"), url_filter.word_counts(df)).collect()}
     assert split == {"goodday": ["good", "day"], "a" * 400: ["a" * 400]}

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Text bytes handled at once by the vectorised scans; a longer text is handled alone.
 SLICE_BYTES = 1_000_000
 
+#: Rows of one key that an ordinary join takes at least.
+HOT_ROWS = 10_000
+
 #: The bytes that part words: ``[\x20\x09-\x0D]``.
 SPACES = [32, 9, 10, 11, 12, 13]
 
@@ -24,9 +27,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; a local one is set only where it is unset and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="wordtide-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -64,6 +69,18 @@ def forget(df: DataFrame) -> None:
     _written[:] = [x for x in _written if x[1] != path]
 
 
+def forget_since(n: int, keep: DataFrame) -> None:
+    """Delete the tables that ``stored`` wrote after the first ``n``, but for ``keep``."""
+    for spark, path in _written[n:]:
+        if path != keep.stored_at:
+            remove(spark, path)
+    _written[n:] = [x for x in _written[n:] if x[1] == keep.stored_at]
+
+
+def tables_written() -> int:
+    return len(_written)
+
+
 def unreserved(df: DataFrame) -> DataFrame:
     """``df`` without columns of the prefix ``wordtide_``, which the operators use for their own."""
     return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("wordtide_")))
@@ -79,6 +96,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def met(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to the stored table ``found``: one row for each key, with ``size``, the number of the key's rows.
+
+    Keys with a thousandth of all these rows or more are a thousand at most; they are broadcast and their rows stay
+    where they are. All others use an ordinary join."""
+    least = max(HOT_ROWS, (found.agg(F.sum("size")).first()[0] or 0) // 1000)
+    hot = found.where(F.col("size") >= least)
+    if hot.isEmpty():
+        return rows.join(found, key, how)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col("size") < least), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def asc_lower(col):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

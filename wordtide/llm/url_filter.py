@@ -13,10 +13,10 @@ urls are judged by multinomial naive Bayes over their words:
   meets the pages, so a host with a third of all pages is segmented and scored once.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule
-and gets the prior's verdict; without any judged url every score is 0, which allows; runs of
-over ``MOST_RUN`` letters stay one word (host labels have 63 at most); repeated rows are
-judged alike and count in training as often as they stand; null html has no words; an empty
-table gives an empty result; other columns are ignored.
+and gets the prior's verdict; without any judged url every score is 0, which allows; runs and
+words of any length are looked up; repeated rows are judged alike and count in training as
+often as they stand; null html has no words; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import asc_lower, stored
+from .shared import asc_lower, met, stored
 
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-LONGEST_WORD = 20
-MOST_RUN = 255
 
 
 def url_parts(url):
@@ -60,37 +58,46 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def segmented(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """token, words: the most likely split of each distinct token into words."""
-    total = float(counts.agg(F.sum("n")).first()[0] or 1)
+    """token, words: the most likely split of each distinct token, of any length, into words; ``counts`` is read twice.
+
+    A token's substrings of the lengths that words have meet the words by equality.
+    """
+    total, sizes = counts.agg(F.sum("n"), F.collect_set(F.length("word"))).first()  # one number for each length of a word
+    total, sizes = float(total or 1), F.array_sort(F.lit(sizes or [0]))
     runs = tokens.select("token").distinct()
-    cut = runs.where(F.length("token") <= MOST_RUN)
-    spots = cut.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("at"))
-    spots = spots.select("token", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("token") - F.col("at") + 1))).alias("size"))
+    spots = runs.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("at"))
+    spots = spots.select("token", "at", F.explode(F.filter(sizes, lambda x: x <= F.length("token") - F.col("at") + 1)).alias("size"))
     spots = spots.withColumn("word", F.substr("token", "at", "size"))
-    found = spots.join(counts, "word").groupBy("token").agg(F.collect_list(F.struct("at", "size", "n")).alias("found"))  # LONGEST_WORD * MOST_RUN at most
+    found = spots.join(counts, "word").groupBy("token").agg(F.collect_list(F.struct("at", "size", "n")).alias("found"))  # a token's own matches
 
     def split(batches):
         for batch in batches:
-            words = []
-            for token, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.append(viterbi(token, {(m["at"] - 1, m["size"]): m["n"] for m in matches or ()}, total) if len(token) <= MOST_RUN else [token])
+            words = [viterbi(token, [(m["at"] - 1, m["size"], m["n"]) for m in matches or ()], total) for token, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["token", "words"])
 
     return runs.join(found, "token", "left").mapInArrow(split, "token string, words array<string>")
 
 
-def viterbi(token: str, found: dict, total: float) -> list[str]:
-    """The split of highest unigram probability; an unknown word's falls tenfold with each letter."""
+def viterbi(token: str, found: list[tuple[int, int, int]], total: float) -> list[str]:
+    """The split of highest unigram probability; ``found`` has start, size and count of every known word in ``token``.
+
+    An unknown word of k letters has probability 10**-k / (1 + total / 10), so it is never cut in two and its best start
+    is known from the running maximum of best[start] + start * log(10): time grows with the letters and matches only.
+    """
+    known: list[list[tuple[int, float]]] = [[] for _ in range(len(token) + 1)]
+    for start, size, n in found:
+        known[start + size].append((start, math.log(n / total)))
+    new, letter = -math.log1p(total / 10), math.log(10)
     best, back = [0.0], [0]
+    open_, opened = 0.0, 0
     for end in range(1, len(token) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            n = found.get((start, end - start))
-            p = math.log(n / total) if n else math.log(10 / total) - (end - start) * math.log(10)
-            options.append((best[start] + p, start))
-        score, start = max(options)
+        score, start = open_ + new - end * letter, opened
+        for at, p in known[end]:
+            score, start = max((score, start), (best[at] + p, at))
         best.append(score)
         back.append(start)
+        if score + end * letter >= open_:
+            open_, opened = score + end * letter, end
     out, end = [], len(token)
     while end:
         out.append(token[back[end] : end])
@@ -106,13 +113,14 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), F.regexp_replace("path", "[0-9]", "0").alias("shape"))
 
     sides = F.explode(F.array(F.struct(F.lit("host").alias("side"), F.col("host").alias("unit")), F.struct(F.lit("path").alias("side"), F.col("shape").alias("unit")))).alias("u")
-    units = rows.select("ruled", sides).groupBy("u.side", "u.unit").agg(F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block"))
+    asks = F.count_if(F.col("ruled").isNull()).alias("size")
+    units = rows.select("ruled", sides).groupBy("u.side", "u.unit").agg(F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block"), asks)
     units = stored(units)
     tokens = units.select("*", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(r"(\p{L}+|\p{N}+)"), 1)).alias("token"))
     number = F.regexp_like("token", F.lit(r"^\p{N}"))
     numbers = tokens.where(number).select("side", "unit", "allow", "block", F.concat(F.lit("#"), F.length("token")).alias("word"))
     letters = tokens.where(~number)
-    cut = letters.join(segmented(letters, word_counts(pages, html_col)), "token").select("side", "unit", "allow", "block", F.explode("words").alias("word"))
+    cut = letters.join(segmented(letters, stored(word_counts(pages, html_col))), "token").select("side", "unit", "allow", "block", F.explode("words").alias("word"))
     words = stored(cut.unionByName(numbers).groupBy("side", "unit", "word").agg(F.count(F.lit(1)).alias("times"), F.first("allow").alias("allow"), F.first("block").alias("block")))
 
     seen = words.groupBy("side", "word").agg(F.sum(F.col("times") * F.col("allow")).alias("a"), F.sum(F.col("times") * F.col("block")).alias("b"))
@@ -125,9 +133,10 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
     n = units.where("side = 'host'").agg(F.sum("allow"), F.sum("block")).first()
     prior = math.log(((n[0] or 0) + 1) / ((n[1] or 0) + 1))
 
-    hosts = scores.where("side = 'host'").select(F.col("unit").alias("host"), F.col("score").alias("host_score"))
-    shapes = scores.where("side = 'path'").select(F.col("unit").alias("shape"), F.col("score").alias("path_score"))
-    open_ = rows.where("rule IS NULL").join(hosts, "host", "left").join(shapes, "shape", "left")
+    scored = units.where("size > 0").join(scores, ["side", "unit"], "left")
+    hosts = stored(scored.where("side = 'host'").select(F.col("unit").alias("host"), F.col("score").alias("host_score"), "size"))
+    shapes = stored(scored.where("side = 'path'").select(F.col("unit").alias("shape"), F.col("score").alias("path_score"), "size"))
+    open_ = met(met(rows.where("rule IS NULL"), hosts, "host").drop("size"), shapes, "shape").drop("size")
     score = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0))
     open_ = open_.select("page_id", "host", "path", "rule", F.when(score >= 0, "allow").otherwise("block").alias("verdict"), score.alias("score"))
     return rows.where("rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score")).unionByName(open_)
