@@ -14,7 +14,8 @@ their lines but those of the smallest doc_id that holds them.
    dealt to the shards, whose arrays stream past them, and the answers return to the
    documents by doc_id.  Both ways give the same rows.
 
-Two keys are taken for one only if 128 bits of hash agree.  Defined results: null or empty
+Two repeated keys are told apart by 128 bits of hash; a probe is taken for the key of its slot,
+which all 128 bits choose, if 64 of them agree with the fingerprint.  Defined results: null or empty
 text is one empty line; rows that repeat a doc_id count as one document; a null doc_id
 counts as the largest one; empty tables give empty results; other columns pass through, but
 for those of the reserved prefix ``wordtide_``.
@@ -37,6 +38,8 @@ from .shared import shuffle_partitions, small, stored, unreserved
 MIN_CHARS = 10
 KEYS_A_SHARD = 500_000
 BROADCAST_BYTES = 64_000_000
+#: Repeated lines of a shard that one task probes.
+PROBES_A_TASK = 5_000_000
 NO_ID = (1 << 63) - 1
 
 
@@ -153,7 +156,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 
 
 def line_index(lines: DataFrame) -> DataFrame:
-    """shard, shards, body: the arrays of the ``LineIndex`` of each shard of the repeated keys; largest: the highest count in it."""
+    """shard, shards, body: the arrays of the ``LineIndex`` of each shard of the repeated keys; load: the sum of their counts."""
     repeated = lines.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("owner != last")
     repeated = stored(repeated.select("high", "low", "owner", "n"))
     shards = max(1, -(-repeated.count() // KEYS_A_SHARD))
@@ -161,9 +164,9 @@ def line_index(lines: DataFrame) -> DataFrame:
     def build(pdf):
         high, low = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("high", "low"))
         index = LineIndex(high, low, pdf["owner"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
-        return pdf.head(1)[["shard"]].assign(shards=shards, largest=int(pdf["n"].max()), body=index.body())
+        return pdf.head(1)[["shard"]].assign(shards=shards, load=int(pdf["n"].sum()), body=index.body())
 
-    return stored(repeated.withColumn("shard", F.pmod(F.shiftrightunsigned("high", 8), F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, shards long, largest long, body binary"))
+    return stored(repeated.withColumn("shard", F.pmod(F.shiftrightunsigned("high", 8), F.lit(shards))).groupBy("shard").applyInPandas(build, "shard long, shards long, load long, body binary"))
 
 
 def shard_of(high: np.ndarray, shards: int) -> np.ndarray:
@@ -237,12 +240,16 @@ def _probed_in_place(docs: DataFrame, index: DataFrame, id_col: str, text_col: s
 
 def _probed_by_shard(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     spark = docs.sparkSession
-    shards, largest = index.agg(F.max("shards"), F.max("largest")).first()
+    shards = index.agg(F.max("shards")).first()[0]
     n = shuffle_partitions(spark)
-    salts = int(min(n, max(1, largest // 100_000 + 1)))  # a very common line is probed in as many tasks
-    probes = line_rows(docs, id_col, text_col, min_chars).select(F.pmod(F.shiftrightunsigned("high", 8), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), F.lit(None).cast("binary").alias("body"), "high", "low", "doc_id")
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "body", *(F.lit(None).cast("long").alias(c) for c in ("high", "low", "doc_id")))
-    met = arrays.unionByName(probes).repartition(max(n, shards * salts), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("body").isNull())
+    # a shard whose keys stand in many lines is probed in as many tasks; all others have one copy of their arrays
+    busy = index.where(F.col("load") > PROBES_A_TASK).select("shard", F.least(F.lit(n), F.ceil(F.col("load") / PROBES_A_TASK)).alias("salts"))
+    hashed = line_rows(docs, id_col, text_col, min_chars).withColumn("shard", F.pmod(F.shiftrightunsigned("high", 8), F.lit(shards)))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0))
+    probes = hashed.join(F.broadcast(busy), "shard", "left").select("shard", salt.alias("salt"), F.lit(None).cast("binary").alias("body"), "high", "low", "doc_id")  # one short row for each shard
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))
+    arrays = index.join(F.broadcast(busy), "shard", "left").select("shard", copies.alias("salt"), "body", *(F.lit(None).cast("long").alias(c) for c in ("high", "low", "doc_id")))
+    met = arrays.unionByName(probes).repartition(max(n, shards), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("body").isNull())
 
     def probe(batches):
         shard, one = None, None
