@@ -185,8 +185,13 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ranges = int(min(MOST_RANGES, max(4 * shuffle_partitions(spark), n // ROWS_A_RANGE)))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
     cuts = sorted(set(cuts))
-    put = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<long>"), lambda x: x <= F.col("doc_id")))
-    rows = rows.select(put.alias("range"), F.lit(False).alias("extra"), "doc_id", "text")
+    sent = spark.sparkContext.broadcast(np.array(cuts, np.int64))  # MOST_RANGES at most
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(sent.value, ids.to_numpy(), "right"), pa.int32())
+
+    rows = rows.select(range_of("doc_id").alias("range"), F.lit(False).alias("extra"), "doc_id", "text")
     heads = sorted(tuple(r) for r in rows.groupBy("range").agg(F.min("doc_id")).collect())  # one row for each range
     after = [(heads[(i + 1) % len(heads)][1], heads[i][0]) for i in range(len(heads))]
     target = spark.createDataFrame(after, "head long, target int")
