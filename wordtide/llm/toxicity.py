@@ -186,7 +186,7 @@ def in_training(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """A field learnt from the labelled training rows; see the module for the bound on their sample."""
     spark = docs.sparkSession
-    known = labels.where(in_training(F.col(id_col)) & F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("wordtide_id"), (F.col("toxic") == 1).alias("wordtide_toxic"))
+    known = labels.where(in_training(F.col(id_col)) & F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("wordtide_id"), (F.col("toxic") == 1).alias("wordtide_toxic")).distinct()
     order = F.xxhash64(F.lit("train"), "wordtide_id")
     chosen = [tuple(r) for flag in (True, False) for r in known.where(F.col("wordtide_toxic") == flag).orderBy(order, "wordtide_id").limit(sample).collect()]
     few = F.broadcast(spark.createDataFrame(chosen, "wordtide_id long, wordtide_toxic boolean"))
@@ -199,9 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             for i in range(len(offsets) - 1):
                 features = token_features(scanner, data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0]
                 bodies.append(features.tobytes() if len(features) <= SAMPLE_TOKENS else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bodies, pa.binary())], ["toxic", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bodies, pa.binary())], ["toxic", "id", "body"])
 
-    rows = docs.select(id_col, text_col).join(few, F.col(id_col) == F.col("wordtide_id")).select(text_col, "wordtide_toxic").mapInArrow(scan, "toxic boolean, body binary").where("octet_length(body) > 0").limit(2 * sample).collect()
+    rows = docs.select(id_col, text_col).join(few, F.col(id_col) == F.col("wordtide_id")).select(text_col, "wordtide_toxic", "wordtide_id").mapInArrow(scan, "toxic boolean, id long, body binary").where("octet_length(body) > 0")
+    rows = rows.groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("body").alias("body")).collect()  # repeated rows once: 2 * sample at most
     field = Field()
     rows = sorted((bytes(r["body"]), r["toxic"]) for r in rows)
     if not any(t for _, t in rows):
