@@ -86,8 +86,11 @@ def examples(conversations: DataFrame) -> DataFrame:
     return dealt.select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(expand, "conv_id long, example int, text string, loss_start long, loss_end long")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, from its examples alone."""
+def read_back(formatted: DataFrame, together: bool = False) -> DataFrame:
+    """One row per conversation, from its examples alone; ``together``: they still lie as ``examples`` left them, so
+    that none need be shuffled."""
+    if not together:
+        formatted = formatted.repartition(shuffle_partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "example")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def read(batches):
@@ -125,7 +128,7 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     """All ``conversations`` and one of control strings, formatted and read back."""
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return read_back(examples(given.unionByName(probe)))
+    return read_back(examples(given.unionByName(probe)), together=True)
 
 
 OP5_SQL = r"""
