@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scratch import stored
 
 
 class Annotator:
@@ -49,3 +52,16 @@ def annotated(words: DataFrame, annotator: Annotator, wait: Callable[[float], No
                 yield pd.DataFrame({"word": part, "label": [answer.get(w, lower.get(w.lower())) for w in part]})
 
     return words.select("word").mapInPandas(run, "word string, label string")
+
+
+def annotated_again(words: DataFrame, annotator: Annotator, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """As ``annotated``; the words that got no label are asked for once more, in batches of their own. Written once in between."""
+    first = stored(annotated(words, annotator, wait))
+    missing = first.where("label IS NULL OR trim(label) = ''")
+    return first.where("trim(label) != ''").unionByName(annotated(missing.select("word"), annotator, wait))
+
+
+def coerced(labels: DataFrame, allowed: tuple[str, ...], otherwise: str) -> DataFrame:
+    """Labels in lower case, those not ``allowed`` as ``otherwise``."""
+    low = F.lower(F.trim("label"))
+    return labels.withColumn("label", F.when(low.isin(*allowed), low).otherwise(otherwise))

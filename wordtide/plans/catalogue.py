@@ -367,10 +367,9 @@ def sentence_split(spark, sf_dir):
 @query(r"""SELECT conv_id, turn AS pos, trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\[.*?\]', '', 'g'), '\s+', ' ', 'g')) AS line FROM conversations
 WHERE length(trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\[.*?\]', '', 'g'), '\s+', ' ', 'g'))) >= 10""")
 def cue_blocks(spark, sf_dir):
-    """Conversations written as SRT files, and their cue lines read back."""
+    """Turns written as SRT cues, and their lines read back, each from its own row."""
     cue = F.concat(F.col("turn") + 1, F.lit("\n00:00:01,000 --> 00:00:02,000\n"), F.regexp_replace("text", r"\n\s*\n", "\n"))
-    content = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))), lambda x: x["cue"]), "\n\n").alias("content"))
-    return content.select("conv_id", F.explode(text.cue_lines(F.col("content"))).alias("c")).select("conv_id", F.col("c.pos").cast("long").alias("pos"), "c.line")
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.explode(text.cue_lines(cue)).alias("c")).select("conv_id", "pos", "c.line")
 
 
 # ------------------------------------------------------------------ sets
@@ -562,20 +561,19 @@ def popularity_score(spark, sf_dir):
 
 @query()
 def title_similarity_rank(spark, sf_dir):
-    """The best four titles for each of a few queries, with the lead and a decision."""
-    asked = spark.createDataFrame([("steel part",), ("red widget",), ("small brass",)], "query string")
-    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("title")).distinct()
-    best = titles.ranked(asked, parts)
+    """The best four titles for the title of every part whose key is divisible by 20, with the lead and a decision."""
+    parts = table(spark, sf_dir, "part")
+    asked = parts.where("p_partkey % 20 = 0").select(F.col("p_name").alias("query")).distinct()
+    best = titles.ranked(asked, parts.select(F.col("p_name").alias("title")).distinct())
     confidence, issue = titles.movie_decision(F.col("score"), F.col("gap"), F.lit(0), F.lit(0), F.lit(True), F.lit(True))
     return best.select("query", "title", "score", "place", "gap", confidence.alias("confidence"), issue.alias("issue"))
 
 
 @query()
 def vtt_to_srt(spark, sf_dir):
-    """Conversations written as WebVTT, and their cues as SRT has them."""
+    """Turns written as WebVTT cues, and the cues as SRT has them, numbered within their conversation."""
     cue = F.concat(F.lit("00:01."), F.lpad((F.col("turn") % 1000).cast("string"), 3, "0"), F.lit(" --> 00:02.000 align:start\n<c>"), F.regexp_replace("text", r"\n\s*\n", "\n"), F.lit("</c>"))
-    content = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))), lambda x: x["cue"]), "\n\n").alias("content"))
-    return files.vtt_cues(content.withColumn("content", F.concat(F.lit("WEBVTT\n\n"), "content")))
+    return files.numbered_cues(table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("at"), cue.alias("block")))
 
 
 @query()

@@ -121,10 +121,14 @@ def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
-def vtt_cues(contents: DataFrame) -> DataFrame:
-    """path, number, start, end, body: cues of WebVTT ``content``, times as SRT has them, renumbered per file."""
-    lines = F.regexp_replace(F.regexp_replace("content", "﻿", ""), r"\r\n?", "\n")
-    blocks = contents.select("path", F.posexplode(F.split(lines, r"\n[ \t]*\n|\n(?=[^\n]*-->)")).alias("at", "block"))
+def vtt_blocks(contents: DataFrame) -> DataFrame:
+    """path, at, block of WebVTT ``content``: what a cue's lines stand in."""
+    lines = F.regexp_replace(F.regexp_replace("content", "\ufeff", ""), r"\r\n?", "\n")
+    return contents.select("path", F.posexplode(F.split(lines, r"\n[ \t]*\n|\n(?=[^\n]*-->)")).alias("at", "block"))
+
+
+def numbered_cues(blocks: DataFrame) -> DataFrame:
+    """path, number, start, end, body: the cues of ``blocks`` (path, at, block), times as SRT has them, renumbered per file."""
     timing = r"(?m)^\s*(\S+)\s*-->\s*(\S+).*$"
     body = F.filter(F.transform(F.split(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)", 1), "\n"), lambda x: F.trim(text.stripped_markup(x))), lambda x: (x != "") & ~x.rlike("^(NOTE|STYLE|REGION|Kind:|Language:)"))
     cues = blocks.where(F.col("block").contains("-->")).select("path", "at", text.srt_timestamp(F.regexp_extract("block", timing, 1)).alias("start"), text.srt_timestamp(F.regexp_extract("block", timing, 2)).alias("end"), F.array_join(body, "\n").alias("body"))
@@ -132,6 +136,11 @@ def vtt_cues(contents: DataFrame) -> DataFrame:
     return cues.where("body != ''").withColumn("number", number).select("path", "number", "start", "end", "body")
 
 
+def vtt_cues(contents: DataFrame) -> DataFrame:
+    """The numbered cues of WebVTT files (path, content)."""
+    return numbered_cues(vtt_blocks(contents))
+
+
 def chosen_caption(tracks: DataFrame) -> DataFrame:
     """Of (video, language, automatic, preferred) tracks one for each video: manual preferred, automatic preferred, any manual, any."""
     rank = F.when(F.col("preferred") & ~F.col("automatic"), 0).when(F.col("preferred"), 1).when(~F.col("automatic"), 2).otherwise(3)
@@ -143,3 +152,42 @@ def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     seen = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return seen.join(manifest, ["path", "size", "mtime"], "left_anti")
+
+
+def file_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, size, mtime of all files below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
+def _name(path):
+    return F.regexp_extract(path, r"([^/]*)$", 1)
+
+
+def discovered(listing: DataFrame, wanted: DataFrame) -> DataFrame:
+    """file, season, episode, path: of the files called ``file`` the first by path, one whose name tags the episode before all others."""
+    token = F.concat(F.lit("_s"), "season", F.lit("_e"), "episode")
+    met = wanted.where("file != '' AND file != 'unknown.srt'").join(listing.select(_name(F.col("path")).alias("file"), "path"), "file")
+    tagged = F.lower("file").contains(token)
+    return met.groupBy("file", "season", "episode").agg(F.min_by("path", F.struct(~F.coalesce(tagged, F.lit(False)), F.col("path"))).alias("path"))
+
+
+def episode_folders(infos: DataFrame, wanted: DataFrame) -> DataFrame:
+    """file, folder: where an ``episode_info`` (folder, subtitle_file) names the subtitle; the exact path wins over the bare name."""
+    exact = infos.groupBy(F.col("subtitle_file").alias("file")).agg(F.min("folder").alias("exact"))
+    bare = infos.groupBy(_name(F.col("subtitle_file")).alias("name")).agg(F.min("folder").alias("bare"))
+    out = wanted.join(exact, "file", "left").withColumn("name", _name(F.col("file"))).join(bare, "name", "left")
+    return out.select("file", F.coalesce("exact", "bare").alias("folder"))
+
+
+def existing_artefacts(listing: DataFrame, folders: DataFrame) -> DataFrame:
+    """folder, has_tiers, has_rare, has_glosses, has_subtitle: which artefacts of an episode's folder are there."""
+    held = listing.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), _name(F.col("path")).alias("name"))
+    is_ = lambda *names: F.count_if(F.col("name").isin(*names))
+    found = held.groupBy("folder").agg(
+        (is_("tier_1_hard_usable_words.csv") > 0).alias("has_tiers"),
+        ((is_("tier_4_rare_b_words.csv") > 0) & (is_("tier_4_rare_c_words.csv") > 0)).alias("has_rare"),
+        (F.count_if(F.col("name").endswith("_translations.csv")) > 0).alias("has_glosses"),
+        (F.count_if(F.col("name").endswith(".srt")) > 0).alias("has_subtitle"),
+    )
+    return folders.join(found, "folder", "left").fillna(False)

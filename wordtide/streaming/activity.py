@@ -41,3 +41,29 @@ def recent(stream: DataFrame, k: int = fixed.RECENT_USER) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "recent": [json.dumps([i for _, i in held])]})
 
     return stream.groupBy("user_id").applyInPandasWithState(fold, "user_id long, recent string", "held string", "update", GroupStateTimeout.NoTimeout)
+
+
+def toggled(stream: DataFrame) -> DataFrame:
+    """user_id, action, saved: whether an entry stands after its toggles so far; for update mode."""
+    out = stream.groupBy("user_id", F.get_json_object("props", "$.k").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", "action", (F.col("n") % 2 == 1).alias("saved"))
+
+
+def runs(stream: DataFrame, start: str, finish: str) -> DataFrame:
+    """user_id, started, us: each finish with the user's last open start before it; state holds one time for each user."""
+
+    def fold(key, frames, state: GroupState):
+        open_ = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for ts, kind in zip(rows["ts"], rows["event_type"], strict=True):
+            if kind == start:
+                open_ = ts.value // 1000
+            elif kind == finish and open_ is not None:
+                out.append((key[0], pd.Timestamp(open_ * 1000), ts.value // 1000 - open_))
+                open_ = None
+        state.update((open_,))
+        yield pd.DataFrame(out, columns=["user_id", "started", "us"])
+
+    asked = stream.where(F.col("event_type").isin(start, finish))
+    return asked.groupBy("user_id").applyInPandasWithState(fold, "user_id long, started timestamp, us long", "open long", "update", GroupStateTimeout.NoTimeout)
