@@ -143,20 +143,18 @@ def word_examples(lines: DataFrame, words: DataFrame, k: int = 2, least: int = 1
 def phrase_examples(docs: DataFrame, phrases: DataFrame, k: int = 2, least: int = 10, most: int = 260) -> DataFrame:
     """doc_id, phrase, place, sentence: sentences with the phrase at word bounds first, then such as hold it anyhow.
 
-    Phrases (doc_id, phrase) of two words or more. Bounded matches are n-grams of tokens parted by
-    white space; the others share the phrase's inner words, or for two words are told by a scan of
-    the document's own sentences.
+    Phrases (doc_id, phrase) of two words or more. A longer phrase's second word stands whole in all its sentences and
+    meets them by equality; phrases of two words meet their document's sentences.
     """
     told = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"), least, most)).alias("at", "sentence"))
-    own = told.select("doc_id", "at", "sentence", F.explode(F.array_distinct(grams(text.joined_tokens(F.col("sentence")), 2, fixed.NGRAM_MOST))).alias("phrase"))
-    bounded = own.join(phrases, ["doc_id", "phrase"]).select("doc_id", "phrase", "sentence", "at", F.lit(0).alias("loose"))
-    inner = lambda p: F.split(p, " ")[1]
-    asked = phrases.where(F.size(F.split("phrase", " ")) > 2).withColumn("inner", inner(F.col("phrase")))
-    spots = told.select("doc_id", "at", "sentence", F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("inner"))
-    loose = spots.join(asked, ["doc_id", "inner"]).where(F.lower("sentence").contains(F.col("phrase"))).select("doc_id", "phrase", "sentence", "at", F.lit(1).alias("loose"))
-    pairs = phrases.where(F.size(F.split("phrase", " ")) == 2)
-    pairs = told.join(pairs, "doc_id").where(F.lower("sentence").contains(F.col("phrase"))).select("doc_id", "phrase", "sentence", "at", F.lit(1).alias("loose"))
-    best = bounded.unionByName(loose).unionByName(pairs).groupBy("doc_id", "phrase", "sentence").agg(F.min(F.struct("loose", "at")).alias("found"))
+    told = told.withColumn("joined", F.concat(F.lit(" "), F.array_join(text.joined_tokens(F.col("sentence")), " "), F.lit(" ")))
+    parts = F.split("phrase", " ")
+    spots = told.select("*", F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("inner"))
+    long = spots.join(phrases.where(F.size(parts) > 2).select("doc_id", "phrase", parts[1].alias("inner")), ["doc_id", "inner"]).drop("inner")
+    met = long.unionByName(told.join(phrases.where(F.size(parts) == 2).select("doc_id", "phrase"), "doc_id"))
+    bounded = F.col("joined").contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    held = met.where(bounded | F.lower("sentence").contains(F.col("phrase"))).withColumn("loose", F.when(bounded, 0).otherwise(1))
+    best = held.groupBy("doc_id", "phrase", "sentence").agg(F.min(F.struct("loose", "at")).alias("found"))
     order = W.partitionBy("doc_id", "phrase").orderBy("found.loose", "found.at")
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("doc_id", "phrase", "place", "sentence")
 
@@ -175,10 +173,11 @@ def legacy_examples(lines: DataFrame, words: DataFrame, k: int = 3, least: int =
 
 
 def judge_examples(lines: DataFrame, phrases: DataFrame, k: int = 2, least: int = 8, most: int = 220) -> DataFrame:
-    """phrase, place, line: for each phrase of one to ``fixed.NGRAM_MOST`` words its first ``k`` distinct lines, cut to ``most``."""
+    """phrase, place, line: for each phrase its first ``k`` distinct lines, cut to ``most``."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"<[^>]+>", ""), r"\[.*?\]", ""), r"\s+", " "))
     shown = lines.select("at", clean.alias("line")).where(F.length("line") >= least)
-    own = shown.select("at", "line", F.explode(F.array_distinct(grams(text.joined_tokens(F.col("line")), 1, fixed.NGRAM_MOST))).alias("phrase"))
+    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    own = shown.select("at", "line", F.explode(F.array_distinct(grams(text.joined_tokens(F.col("line")), 1, longest))).alias("phrase"))
     own = own.withColumn("line", F.substring("line", 1, most))
     first = own.join(phrases.select("phrase").distinct(), "phrase").groupBy("phrase", "line").agg(F.min("at").alias("at"))
     order = W.partitionBy("phrase").orderBy("at", "line")
