@@ -1,38 +1,58 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Kiveris et al., "Connected components in MapReduce and beyond".  Each round takes the
-smallest neighbour of every node by a partial aggregation, so a node with a third of all
-links sends one row a task, and hangs the links on it.  Links live in shared-folder tables;
-the driver sees a count and a checksum.
+Kiveris et al., "Connected components in MapReduce and beyond".  A star needs one shuffle: the
+links of a node arrive sorted, the first one names its smallest neighbour, and all that
+follow are hung on it as they pass, so no node's links are held.  Repeated links are dropped
+where they meet.  Links live in shared-folder tables; the driver sees a count and a checksum.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, stored
+from .shared import forget, shuffle_partitions, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
+    """A large star hangs a node's larger neighbours on the smallest of it and its neighbours, a small star all the others."""
     both = links.select("a", "b").union(links.select("b", "a")) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-    met = both.join(least, both["a"] == least["node"])
-    if large:
-        return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-    return met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("node", "m")).where("a != b").distinct()
+    dealt = both.repartition(shuffle_partitions(links.sparkSession), "a").sortWithinPartitions("a", "b")
+
+    def hang(batches):
+        node = least = last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            start = np.append(True, a[1:] != a[:-1])
+            start[0] = node is None or a[0] != node
+            spot = np.maximum.accumulate(np.where(start, np.arange(len(a)), -1))
+            low = np.where(spot >= 0, b[np.maximum(spot, 0)], least if least is not None else 0)
+            again = np.append(not start[0] and b[0] == last, (b[1:] == b[:-1]) & ~start[1:])
+            m = np.minimum(a, low)
+            node, least, last = a[-1], low[-1], b[-1]
+            if large:
+                keep = (b > a) & (b != m) & ~again
+                one, two = b[keep], m[keep]
+            else:
+                keep = (b != m) & ~again
+                one, two = np.concatenate([b[keep], a[start]]), np.concatenate([m[keep], m[start]])
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
+
+    return dealt.mapInArrow(hang, "a long, b long").where("a != b")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component: for every node of ``links`` (a, b), the smallest node it is connected with. Stored."""
-    now = stored(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    now, mark = links.where("a != b"), None
     while True:
-        for large in (True, False):
-            following = stored(_star(now, large))
+        following = stored(_star(_star(now, True), False))
+        if mark is not None:
             forget(now)
-            now = following
+        now = following
         seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if seen == mark or not seen[0]:
             break

@@ -1,29 +1,34 @@
 """Exact Jaccard join on word shingles, as a join in the Jaccard metric space.
 
-Distance is 1 - |A n B| / |A u B|; two documents link at distance ``1 - threshold`` or less.
-In this space nearly all pairs are at distance 1, where the triangle inequality says
-nothing.  The regions are therefore opened in two kinds of steps:
-
-1. *Voronoi regions of shingle pivots.*  Pivots are single shingles in one global order, the
-   rarest first; a document's nearest pivot is its first shingle.  Two linked documents
-   share a shingle among the first ``n - ceil(threshold * n) + 1`` of each, so a document is
-   replicated to that window of regions and every link lies inside some region.  The order
-   comes from a count sketch of fixed size: any order is exact, a rare-first one keeps
-   regions small.  At the first shingle that two documents share, all others they share
-   come later in both; so two members of a region are candidates only if the shingles that
-   each has left from there on (``left``) could make a link.
-2. *Recursion on document pivots.*  In each region its first document is the pivot, and the
-   distances of all members to it are computed (a star, not all pairs).  Members within the
-   link distance join the pivot's component.  A region whose members all have one component
-   is closed.  What is left of the others recurs: pairs whose distances to the pivot differ
-   by more than the link distance are ruled out by the triangle inequality, small regions
-   (``LEAF`` members) compare the pairs that remain across components, larger ones take new
-   pivots, as many more each round.  No pair is given up; the recursion ends when every
-   region is closed.
-
-Equal shingle sets are joined by a hash of the whole set; of each such class only the smallest
-doc_id goes through regions and comparisons.  Words are ``[^\\x20\\x09-\\x0D]+``
-with A-Z lower-cased; shingles are compared by 64-bit hashes.
+Distance is 1 - |A n B| / |A u B|; two sets link at ``EPS`` = 1 - threshold or less.  Nearly
+all pairs are at distance 1, where the triangle inequality says nothing, so the space is first
+parted where the distance saturates and then joined by pivots:
+
+1. *Sets.*  Documents of equal sets are one point; it is named by a hash of its set.
+2. *Parts below distance 1.*  Of two linked sets of n and m shingles in one global order, the
+   rarest first, each holds a common shingle among its first ``n - ceil(threshold * n) + 1``.
+   A point goes to the part of each shingle in that window, so every link lies inside a part.
+   The order comes from a count sketch of fixed size; any order is exact.  At the first
+   shingle that two sets share, all others they share come later in both, so points without
+   a partner of a size that what is left of them (``left``) allows leave the part.
+3. *Cells.*  The pivot of a part is its point of the smallest hash, so the parts that one
+   group of near copies opens agree on a pivot; the parts of one pivot make one cell.  In a
+   cell of up to ``LEAF`` points, pairs of different classes are compared whose sizes,
+   distances to the pivot (triangle inequality) and signatures (a lower bound of the distance)
+   allow a link: the likeliest ones first, so that linked points are one class before the
+   rest is looked at.
+4. *Voronoi regions.*  The points of a larger cell are measured against its pivot.  If it still
+   holds several classes, those points of the class around the pivot go that the triangle
+   inequality keeps out of reach of all others; the rest is measured against sub-pivots, and
+   each point goes to the region of its nearest one.  A point at distance d from its nearest
+   pivot is also replicated to every region whose pivot is within d + 2 * EPS, so each link lies
+   in the region of one of its ends.  The regions are cells again, without their pivots, which
+   are done.  A cell whose windows would more than double it stays one flat region, which gives
+   more pivots up each round, measured only where the filters let them link.
+
+No pair is given up: the recursion ends when no cell holds two classes.  Words are
+``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; shingles are told by 64-bit hashes, of which a
+comparison of two sets takes the upper 48, sets by 128 bits.
 
 Defined results: a document of fewer words than a shingle is one shingle of all its words;
 one without words (or null) has none and links with nothing; repeated rows of a doc_id are
@@ -35,22 +40,35 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .components import components
-from .shared import Scanner, forget, kept_by_worker, mixed, release, shuffle_partitions, slices, stored, utf8
+from .shared import Scanner, forget, kept_by_worker, met, release, shuffle_partitions, slices, stored, utf8
 
 WORDS, THRESHOLD = 5, 75
 #: 2**SKETCH_BITS counters order the shingles; the sketch is sent to all tasks and has one byte for each.
 SKETCH_BITS = 24
-#: 2**SIEVE_BITS bits tell which documents lie in any shared region; a fixed size as well.
+#: 2**SIEVE_BITS bits tell which sets are asked for; a fixed size as well. Of an input that fills them, all sets are shuffled.
 SIEVE_BITS = 22
-LEAF = 128
+#: Points of a cell that is not parted further, and of one that a first round of sub-pivots could not part: one task
+#: filters their pairs.
+LEAF, FLAT_LEAF = 256, 4096
+#: Pairs of each point that a small cell compares in its first visits; the last one takes all that are left.
+VISITS = (1, 8)
+#: Bits of a signature.
+BITS = 1024
+#: Sub-pivots of a cell; of one that did not split, four times as many in each later round.
+PIVOTS = 8
 CHUNK = 1 << 18
-#: Rows of one region that a task holds; those of a larger one pass through it.
+#: Rows of one part that a task holds; those of a larger one pass through it.
 HELD = 50_000
+#: Pairs of one point that a task compares; those of a point with more are salted.
+PAIRS = 4096
+SIZES = (1 << 32) - 1
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -115,8 +133,22 @@ def sketch(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def region_entries(docs: DataFrame, counts: np.ndarray, k: int, threshold: int) -> DataFrame:
-    """region, n, doc_id, left: each document in the regions of its window, and its shingles from that one on.
+class Points:
+    """Names of sets: the first half of their 128-bit hash, or the second where two sets of the input share the first."""
+
+    def __init__(self, clashes: frozenset[int]) -> None:
+        self.clashes = clashes
+
+    def name(self, shingles: np.ndarray) -> int:
+        high, low = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+        return low if high in self.clashes else high
+
+    def column(self):
+        return F.when(F.col("high").isin(*self.clashes), F.col("low")).otherwise(F.col("high")) if self.clashes else F.col("high")
+
+
+def part_entries(docs: DataFrame, counts: np.ndarray, points: Points, k: int, threshold: int) -> DataFrame:
+    """part, point, sizes (n << 32 | left): each set in the parts of its window, n and the shingles from that one on.
     A set seen before in a task is not repeated."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -124,27 +156,25 @@ def region_entries(docs: DataFrame, counts: np.ndarray, k: int, threshold: int)
         scanner, rank, seen = kept_by_worker(Scanner), sent.value, set()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
-                regions, rows, sizes, left = [], [], [], []
-                for row, s in enumerate(scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k), i):
+                parts, names, sizes = [], [], []
+                for s in scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k):
                     n = len(s)
-                    if not n or (mark := xxhash.xxh3_128_digest(s.tobytes())) in seen:
+                    if not n or (name := points.name(s)) in seen:
                         continue
-                    seen.add(mark)
+                    seen.add(name)
                     window = n - (threshold * n + 99) // 100 + 1
                     order = rank[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(55) | s >> np.uint64(9)  # positive as int64: sorting keeps the order
                     order = np.partition(order, window - 1)[:window] if window < n else order
                     order.sort()
-                    regions.append(order)
-                    left.append(np.arange(n, n - window, -1))
-                    rows.append(row)
-                    sizes.append(n)
-                if rows:
-                    times = [len(r) for r in regions]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions).view(np.int64)), pa.array(np.repeat(np.array(sizes), times)), pa.array(np.repeat(ids[rows].astype(np.int64), times)), pa.array(np.concatenate(left))], ["region", "n", "doc_id", "left"])
+                    parts.append(order)
+                    names.append(name)
+                    sizes.append((n << 32) + np.arange(n, n - window, -1))
+                if parts:
+                    times = [len(r) for r in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), times)), pa.array(np.concatenate(sizes))], ["part", "point", "sizes"])
 
-    return docs.mapInArrow(scan, "region long, n long, doc_id long, left long")
+    return docs.select("doc_id", "text").mapInArrow(scan, "part long, point long, sizes long")
 
 
 def may_link(n: np.ndarray, m: np.ndarray, left: np.ndarray, left_m: np.ndarray, threshold: int) -> np.ndarray:
@@ -152,11 +182,36 @@ def may_link(n: np.ndarray, m: np.ndarray, left: np.ndarray, left_m: np.ndarray,
     return (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & ((100 + threshold) * np.minimum(left, left_m) >= threshold * (n + m))
 
 
-def has_partner(region: np.ndarray, n: np.ndarray, left: np.ndarray, threshold: int) -> np.ndarray:
-    """Of rows sorted by region and n, those that have another member of a size ``may_link`` allows."""
-    if not len(region):
+def signature(shingles: np.ndarray) -> bytes:
+    """For each of ``BITS`` classes of shingles, whether the set holds an odd number of them."""
+    odd = np.bincount((shingles >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def signatures(bits: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), BITS // 64)
+
+
+def near_enough(x: list, y: list, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of points (n, left, class, distance, signature) of one cell may be links of two classes, and how many
+    bits of their signatures differ: by ``may_link``, by the triangle inequality over the cell's pivot, and by the
+    signatures, as two sets differ in as many shingles as these do in bits at least."""
+    (n, left, kind, far, bits), (m, left_m, kind_m, far_m, bits_m) = x, y
+    at = np.flatnonzero((kind != kind_m) & ~(np.abs(far - far_m) > 1 - threshold / 100 + 1e-9) & may_link(n, m, left, left_m, threshold))
+    apart = np.zeros(len(at), np.int64)
+    for i in range(0, len(at), 100_000):
+        k = at[i : i + 100_000]
+        apart[i : i + 100_000] = np.bitwise_count(bits[k] ^ bits_m[k]).sum(1, dtype=np.int64)
+    both = n[at] + m[at]
+    ok = 100 * (both - apart) >= threshold * (both + apart)
+    return at[ok], apart[ok]
+
+
+def has_partner(part: np.ndarray, n: np.ndarray, left: np.ndarray, threshold: int) -> np.ndarray:
+    """Of rows sorted by part and n, those that have another member of a size ``may_link`` allows."""
+    if not len(part):
         return np.zeros(0, bool)
-    at = np.cumsum(np.append(False, region[1:] != region[:-1]))
+    at = np.cumsum(np.append(False, part[1:] != part[:-1]))
     span = int(n.max()) + 2
     key = at * span + n
     most = np.minimum((100 + threshold) * left // threshold - n, 100 * n // threshold)
@@ -165,219 +220,349 @@ def has_partner(region: np.ndarray, n: np.ndarray, left: np.ndarray, threshold:
     return high - low > (n <= most)
 
 
-def runs(batches, columns):
-    """Arrays of ``columns``, cut only between regions (column 0), from batches sorted by region."""
-    held = None
-    for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        held = [x[cut:] for x in now]
-        if cut:
-            yield [x[:cut] for x in now]
-    if held is not None:
-        yield held
-
-
-def shared_regions(entries: DataFrame, threshold: int) -> DataFrame:
-    """What the regions with two members or more give, the first member (n, doc_id) of each being its pivot:
-
-    rows without a region: the pairs of a pivot and another member that ``may_link``;
-    rows with one: the members of regions of three or more. Regions of the same members are one, the first in order.
-    """
-    spark = entries.sparkSession
-    dealt = entries.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region", "n", "doc_id")
-    names = ["region", "n", "doc_id", "left", "pivot"]
-
-    def star(n, doc, left, pivot, pivot_n, pivot_left):
-        ok = (doc != pivot) & may_link(n, pivot_n, left, pivot_left, threshold)
-        n, doc, left, pivot = (x[ok] for x in (n, doc, left, pivot))
-        _, one = np.unique(mixed(pivot.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc.view(np.uint64)), return_index=True)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(one), pa.int64()), *(pa.array(x[one]) for x in (n, doc, left, pivot))], names)
+def first_cells(entries: DataFrame, threshold: int) -> DataFrame:
+    """pivot, point, n, left, pivot_n, pivot_left: the points that share a part with each pivot, and the largest ``left``
+    that either has in one."""
+    dealt = entries.repartition(shuffle_partitions(entries.sparkSession), "part").sortWithinPartitions("part", "point")
+    names = ["pivot", "point", "n", "left", "pivot_n", "pivot_left"]
 
     def gather(batches):
-        seen: set[int] = set()
-        held = [np.zeros(0, np.int64)] * 4
-        wide = None  # a region of more rows than are held: its id, and its pivot's n, doc_id and left
-
-        def finished(region, n, doc, left):
-            goes_on = wide is not None and region[0] == wide[0]
-            stay = has_partner(region, n, left, threshold)
-            if goes_on:
-                stay |= region == wide[0]
-            region, n, doc, left = (x[stay] for x in (region, n, doc, left))
-            if not len(region):
-                return
-            start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
-            size = np.diff(start, append=len(region))
-            first = [x[start] for x in (n, doc, left)]
+        held = [np.zeros(0, np.int64)] * 3
+        wide = None  # a part of more rows than are held: its id, and its pivot's name and sizes
+        ready: list[list[np.ndarray]] = []
+
+        def merged():
+            rows = [np.concatenate(x) for x in zip(*ready, strict=True)]
+            ready.clear()
+            order = np.lexsort((rows[1], rows[0]))
+            pivot, point, n, left, pivot_n, pivot_left = (x[order] for x in rows)
+            start = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (point[1:] != point[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (pivot[start], point[start], n[start], np.maximum.reduceat(left, start), pivot_n[start], np.maximum.reduceat(pivot_left, start))], names)
+
+        def put(part, point, sizes, whole):
+            nonlocal wide
+            fresh = np.append(True, (part[1:] != part[:-1]) | (point[1:] != point[:-1]))
+            part, point, n, left = part[fresh], point[fresh], sizes[fresh] >> 32, sizes[fresh] & SIZES
+            goes_on = wide is not None and part[0] == wide[0]
+            if whole:
+                by_size = np.lexsort((n, part))
+                stay = np.empty(len(part), bool)
+                stay[by_size] = has_partner(part[by_size], n[by_size], left[by_size], threshold)
+                if goes_on:
+                    stay |= part == wide[0]
+                part, point, n, left = (x[stay] for x in (part, point, n, left))
+                if not len(part):
+                    return
+            start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            size = np.diff(start, append=len(part))
+            lead = [x[start] for x in (point, n, left)]
             if goes_on:
-                for x, y in zip(first, wide[1:], strict=True):
+                for x, y in zip(lead, wide[1:], strict=True):
                     x[0] = y
-            pivot_n, pivot, pivot_left = (np.repeat(x, size) for x in first)
-            yield star(n, doc, left, pivot, pivot_n, pivot_left)
-            name = np.add.reduceat(mixed(doc.view(np.uint64)), start) ^ mixed(size.astype(np.uint64))
-            many = size > 2
-            if goes_on:
-                name[0], many[0] = mixed(region[:1].view(np.uint64))[0], True
-            for i in np.flatnonzero(many):
-                if (x := int(name[i])) in seen:
-                    many[i] = False
-                seen.add(x)
-            rows = np.repeat(many, size)
-            if rows.any():
-                region = np.repeat(name, size)[rows].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (region, n[rows], doc[rows], left[rows], pivot[rows])], names)
+            elif not whole:
+                wide = (part[0], point[0], n[0], left[0])
+            pivot, pivot_n, pivot_left = (np.repeat(x, size) for x in lead)
+            other = point != pivot
+            if other.any():
+                ready.append([x[other] for x in (pivot, point, n, left, pivot_n, pivot_left)])
 
         for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, range(4), strict=True)]
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, range(3), strict=True)]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
-                yield from finished(*(x[:cut] for x in held))
-                wide = None if wide is None or wide[0] != held[0][-1] else wide
+                put(*(x[:cut] for x in held), True)
                 held = [x[cut:] for x in held]
             if len(held[0]) > HELD:
-                region, n, doc, left = held
-                if wide is None or wide[0] != region[0]:
-                    wide = (region[0], n[0], doc[0], left[0])
-                pivot_n, pivot, pivot_left = (np.full(len(doc), x) for x in wide[1:])
-                yield star(n, doc, left, pivot, pivot_n, pivot_left)
-                name = mixed(region.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name, n, doc, left, pivot)], names)
+                put(*held, False)
                 held = [x[:0] for x in held]
+            if sum(len(x[0]) for x in ready) > 200_000:
+                yield merged()
         if len(held[0]):
-            yield from finished(*held)
+            put(*held, True)
+        if ready:
+            yield merged()
 
-    return dealt.mapInArrow(gather, "region long, n long, doc_id long, left long, pivot long")
+    found = dealt.mapInArrow(gather, "pivot long, point long, n long, left long, pivot_n long, pivot_left long")
+    return found.groupBy("pivot", "point").agg(*(F.max(c).alias(c) for c in names[2:]))
 
 
-def sieve(ids: DataFrame) -> np.ndarray:
-    """Bits of the hashes of ``doc_id``: the driver gets 2**SIEVE_BITS numbers at most."""
+def sieve(keys: DataFrame, key: str) -> np.ndarray:
+    """Bits of the hashes of ``key``: the driver gets 2**SIEVE_BITS numbers at most."""
     out = np.zeros(1 << SIEVE_BITS, bool)
-    out[ids.select(sieve_bit().alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
+    out[keys.select(sieve_bit(key).alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
     return np.packbits(out)
 
 
-def sieve_bit():
-    return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SIEVE_BITS).cast("int")
+def sieve_bit(key: str):
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - SIEVE_BITS).cast("int")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, pivots: DataFrame, k: int, repeated: bool) -> DataFrame:
-    """doc_id, pivot, body: the sets of the documents that ``wanted`` (doc_id) names and whether ``pivots`` names them;
-    a few others that the sieves let pass do no harm. Only ``repeated`` ids need a shuffle. A set is the upper 48 bits of its
-    hashes, sorted: their differences, all lowest bytes first, then the next ones; the highest are mostly 0 and pack well."""
-    sent = docs.sparkSession.sparkContext.broadcast((sieve(wanted), sieve(pivots)))
+def shingle_sets(docs: DataFrame, wanted: DataFrame, points: Points, k: int) -> DataFrame:
+    """point, body, bits (signature): the sets of the documents that ``wanted`` (doc_id) names; a few others that the sieve lets pass do no
+    harm. A set is the upper 48 bits of its hashes, sorted: their differences, all lowest bytes first, then the next ones;
+    the highest are mostly 0 and pack well."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve(wanted, "doc_id"))
 
     def scan(batches):
-        scanner = kept_by_worker(Scanner)
-        some, lead = (np.unpackbits(x).view(bool) for x in sent.value)
+        scanner, some = kept_by_worker(Scanner), np.unpackbits(sent.value).view(bool)
         for batch in batches:
             batch = batch.filter(pa.array(some[batch.column(2).to_numpy()]))
             data, offsets = utf8(batch.column(1))
-            bodies = [np.diff(s >> np.uint64(16), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() for i, j in slices(offsets) for s in scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lead[batch.column(2).to_numpy()]), pa.array(bodies, pa.binary())], ["doc_id", "pivot", "body"])
+            for i, j in slices(offsets):
+                names, bodies, bits = [], [], []
+                for s in scanner.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k):
+                    names.append(points.name(s))
+                    bodies.append(np.diff(s >> np.uint64(16), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+                    bits.append(signature(s))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bodies, pa.binary()), pa.array(bits, pa.binary())], ["point", "body", "bits"])
 
-    sets = docs.withColumn("at", sieve_bit()).mapInArrow(scan, "doc_id long, pivot boolean, body binary")
-    return sets.dropDuplicates(["doc_id"]) if repeated else sets
+    return docs.withColumn("at", sieve_bit("doc_id")).select("doc_id", "text", "at").mapInArrow(scan, "point long, body binary, bits binary")
 
 
-def among(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``sets`` that ``ids`` (doc_id) names, before they are shuffled; a few others pass too."""
-    sent = sets.sparkSession.sparkContext.broadcast(sieve(ids))
+def asked(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """point, body of the points that ``names`` (point) names, once each, and of a few others: most are left out before the shuffle."""
+    sent = sets.sparkSession.sparkContext.broadcast(sieve(names, "point"))
 
     def scan(batches):
         some = np.unpackbits(sent.value).view(bool)
         for batch in batches:
-            yield batch.filter(pa.array(some[batch.column(3).to_numpy()])).select([0, 1, 2])
+            yield batch.filter(pa.array(some[batch.column(2).to_numpy()])).select([0, 1])
+
+    return sets.select("point", "body").withColumn("at", sieve_bit("point")).mapInArrow(scan, "point long, body binary").dropDuplicates(["point"])
 
-    return sets.withColumn("at", sieve_bit()).mapInArrow(scan, "doc_id long, pivot boolean, body binary")
 
+def opened(body: pa.Scalar) -> np.ndarray:
+    packed = np.frombuffer(body.as_buffer(), np.uint8).reshape(6, -1).T
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :6] = packed
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
-def representatives(found: DataFrame, links: DataFrame) -> DataFrame:
-    """``found`` with every document and pivot replaced by the one that stands for its class of equal sets."""
-    named = links.groupBy("b").agg(F.min("a").alias("rep"))
-    for c in ("doc_id", "pivot"):
-        found = found.join(named.withColumnRenamed("b", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-    return found.where("region IS NOT NULL OR doc_id != pivot").select("region", "n", "doc_id", "left", "pivot")
 
+def compared(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Size of the intersection and of the union of each pair of sets, of 65536 pairs at most: one sort for all."""
+    sides = [[opened(s) for s in column] for column in (x, y)]
+    sizes = np.array([len(a) + len(b) for a, b in zip(*sides, strict=True)], np.int64)
+    values = np.concatenate([v for pair in zip(*sides, strict=True) for v in pair])
+    values |= np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(48), sizes)
+    values.sort()
+    twice = values[1:][values[1:] == values[:-1]] >> np.uint64(48)
+    common = np.bincount(twice.astype(np.int64), minlength=len(sizes))
+    return common, sizes - common
 
-def verified(pairs: DataFrame, leads: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """a, b, distance, linked of every pair; the sets of a are in ``leads``."""
 
-    def opened(body):
-        packed = np.frombuffer(body.as_buffer(), np.uint8).reshape(6, -1).T
-        out = np.zeros((len(packed), 8), np.uint8)
-        out[:, :6] = packed
-        return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """a, b, distance, linked of every pair of the stored table ``pairs`` (a, b). Stored."""
 
     def compare(batches):
         for batch in batches:
-            far, linked = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                both = np.concatenate([opened(x), opened(y)])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                union = len(both) - common
-                far.append(1 - common / union)
-                linked.append(100 * common >= threshold * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
-
-    one, two = sets.select(F.col("doc_id").alias("b"), F.col("body").alias("y")), leads.select(F.col("doc_id").alias("a"), F.col("body").alias("x"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, linked boolean")
-
-
-def boundary(labelled: DataFrame, far: DataFrame, threshold: int) -> DataFrame:
-    """Of regions whose members have several components: the members outside the pivot's component, and of those
-    inside it the ones that the triangle inequality lets an outside member reach. A region closed but for a few
-    outsiders, however large, shrinks to them and its boundary."""
-    eps = 1 - threshold / 100 + 1e-9
-    mixed_up = labelled.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("region")
-    left = labelled.join(mixed_up, "region", "left_semi").join(far, ["pivot", "doc_id"], "left")
-    left = left.withColumn("distance", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
-    home = labelled.where("doc_id = pivot").select(F.col("region"), F.col("component").alias("home"))
-    left = left.join(home, "region", "left").withColumn("outside", F.col("home").isNull() | (F.col("component") != F.col("home")))
-    nearest = left.where("outside").groupBy("region").agg(F.min(F.coalesce("distance", F.lit(0.0))).alias("nearest"))
-    reach = F.col("outside") | F.col("distance").isNull() | (F.col("distance") >= F.col("nearest") - eps)
-    return left.join(nearest, "region").where(reach).select("region", "n", "doc_id", "component", "distance", "left", "pivot")
-
-
-def reopened(regions: DataFrame, threshold: int, pivots: int) -> DataFrame:
-    """For regions that are not closed: the pairs (a, b) to compare next; of those with over ``LEAF`` members also the
-    rows (region, n, left, b: member, a: first pivot) that stay after their new pivots."""
+            offsets = np.append(0, np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy().astype(np.int64)))
+            for i, j in slices(offsets, 4_000_000):
+                part = batch.slice(i, j - i)
+                common, union = compared(part.column(2), part.column(3))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1 - common / union), pa.array(100 * common >= threshold * union)], ["a", "b", "distance", "linked"])
+
+    total = pairs.count()
+    others = asked(sets, pairs.select(F.col("b").alias("point"))).withColumnsRenamed({"point": "b", "body": "y"})
+    leads = asked(sets, pairs.select(F.col("a").alias("point"))).withColumnsRenamed({"point": "a", "body": "x"})
+    if total <= 4 * PAIRS:
+        return stored(pairs.join(others, "b").join(leads, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, linked boolean"))
+    busy = pairs.groupBy("a").count().where(F.col("count") >= max(PAIRS, total // 1000)).select("a", F.ceil(F.col("count") / PAIRS).alias("salts"))  # a thousand at most
+    salted = pairs.join(F.broadcast(busy), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "salts"), F.lit(0)).alias("salt"))
+    leads = leads.join(F.broadcast(busy), "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return stored(salted.join(others, "b").join(leads, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, linked boolean"))
+
+
+#: A row of a cell: ``distance`` is that of the point to the pivot, null before it is measured; ``flat``: sub-pivots did not
+#: part the cell; ``visit`` counts the rounds.
+CELL = {"cell": "long", "pivot": "long", "point": "long", "n": "long", "left": "long", "bits": "binary", "distance": "double", "flat": "boolean", "visit": "int"}
+ROW = ", ".join(f"{k} {v}" for k, v in CELL.items())
+TOLD_BY = ["n", "left", "class", "distance", "bits"]
+
+
+def labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the class of ``point``."""
+    return rows.join(groups.select(F.col("node").alias("point"), F.col("component").alias("class")), "point", "left").withColumn("class", F.coalesce("class", "point"))
+
+
+class _Rows:
+    """Rows of an array, taken when asked for."""
+
+    def __init__(self, rows: np.ndarray, at: np.ndarray) -> None:
+        self.rows, self.at = rows, at
+
+    def __getitem__(self, k):
+        return self.rows[self.at[k]]
+
+
+def cell_pairs(told: list, visit: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of one cell that may be links of two classes; in the first visits only the likeliest ``VISITS``
+    of each point, as the links among these leave fewer classes for the last visit, which takes all."""
+    size, found = len(told[0]), []
+    step = max(1, 500_000 // size)
+    for first in range(0, size, step):
+        x, y = np.nonzero(np.arange(first, min(first + step, size))[:, None] < np.arange(size)[None])
+        x += first
+        ok, apart = near_enough([v[x] for v in told[:-1]] + [_Rows(told[-1], x)], [v[y] for v in told[:-1]] + [_Rows(told[-1], y)], threshold)
+        if visit < len(VISITS) and len(ok):
+            ok = ok[np.lexsort((apart, x[ok]))]
+            start = np.flatnonzero(np.append(True, x[ok][1:] != x[ok][:-1]))
+            ok = ok[np.arange(len(ok)) - np.repeat(start, np.diff(start, append=len(ok))) < VISITS[visit]]
+        found.append((x[ok], y[ok]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def visited(rows: DataFrame, threshold: int) -> DataFrame:
+    """What one visit of the cells in ``rows`` (``CELL`` and class) gives: pairs (a, b) to compare, rows of small open cells
+    to visit again and, marked ``wide``, the rows of cells of more points than one task holds."""
+    names = [*CELL, "class"]
+    dealt = rows.select(*names).repartition(shuffle_partitions(rows.sparkSession), "cell").sortWithinPartitions("cell", "point")
+
+    def visit_cells(batches):
+        held, passing = None, None  # rows of the last cell; the wide cell whose rows go on
+
+        def rows_out(table, wide):
+            n = len(table)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *(table.column(c).combine_chunks() for c in names), pa.array(np.full(n, wide))], ["a", "b", *names, "wide"])
+
+        def small_cell(table):
+            kind = table.column("class").to_numpy()
+            if (kind == kind[0]).all():
+                return
+            told = [*(table.column(c).to_numpy() for c in TOLD_BY[:-1]), signatures(table.column("bits"))]
+            point, visit = table.column("point").to_numpy(), table.column("visit")[0].as_py()
+            x, y = cell_pairs(told, visit, threshold)
+            if not len(x):
+                return
+            nothing = [pa.nulls(len(x), t) for t in table.schema.types]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(point[x], point[y])), pa.array(np.maximum(point[x], point[y])), *nothing, pa.array(np.zeros(len(x), bool))], ["a", "b", *names, "wide"])
+            if visit < len(VISITS):
+                at = names.index("visit")
+                yield rows_out(table.set_column(at, "visit", pa.array(np.full(len(table), visit + 1, np.int32))), False)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            cell = held.column("cell").to_numpy()
+            edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist() if len(cell) else [0]
+            for s, e in zip(edges, edges[1:], strict=False):
+                part = held.slice(s, e - s)
+                if passing == cell[s] or e - s > (FLAT_LEAF if part.column("flat")[0].as_py() else LEAF):
+                    yield rows_out(part, True)
+                else:
+                    yield from small_cell(part)
+            held = held.slice(edges[-1])
+            if len(held) and (passing == cell[-1] or len(held) > (FLAT_LEAF if held.column("flat")[0].as_py() else LEAF)):
+                passing = cell[-1]
+                yield rows_out(held, True)
+                held = held.slice(len(held))
+        if held is not None and len(held):
+            yield from [rows_out(held, True)] if passing == held.column("cell")[0].as_py() else small_cell(held)
+
+    return dealt.mapInArrow(visit_cells, f"a long, b long, {ROW}, class long, wide boolean")
+
+
+def pivot_pairs(met_subs: DataFrame, threshold: int) -> DataFrame:
+    """a, b: of the rows of ``against_pivots`` those of sub-pivots and points that may be links of two classes."""
+
+    def pair(batches):
+        for batch in batches:
+            sides = [[*(batch.column(2 + 5 * i + k).to_numpy() for k in range(4)), signatures(batch.column(6 + 5 * i))] for i in (0, 1)]
+            ok = pa.array(near_enough(*sides, threshold)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["a", "b"])
+
+    return met_subs.select("sub", "point", *TOLD_BY, *(f"sub_{c}" for c in TOLD_BY)).mapInArrow(pair, "a long, b long")
+
+
+def against_pivots(rows: DataFrame, pivots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every row of ``rows`` with each of its cell's ``pivots`` (cell, sub, …); the rows of a very wide cell are salted."""
+    salts = stored(sizes.where(F.col("size") > HELD).select("cell", "size", F.ceil(F.col("size") / HELD).alias("salts")))
+    if salts.isEmpty():
+        return rows.join(pivots, "cell")
+    salted = met(rows, salts, "cell", how="left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("point"), "salts"), F.lit(0))).drop("size", "salts")
+    copies = pivots.join(salts, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("size", "salts")
+    return salted.join(copies, ["cell", "salt"]).drop("salt")
+
+
+def voronoi(measured: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """The regions of the sub-pivots as cells, from ``measured``, every point of a cell (``CELL``; ``distance`` to ``sub``) with
+    each sub-pivot: each point is in the region of its nearest one and in those that its window reaches."""
     eps = 1 - threshold / 100 + 1e-9
-    dealt = regions.repartition(shuffle_partitions(regions.sparkSession), "region").sortWithinPartitions("region", "n", "doc_id")
+    own = W.partitionBy("cell", "point")
+    near = measured.withColumn("nearest", F.min("distance").over(own)).withColumn("first", F.min("sub").over(own))
+    near = stored(near.withColumn("inside", F.col("distance") <= F.col("nearest") + 2 * eps))
+    split = near.groupBy("cell").agg(F.count_if("inside").alias("rows"), F.count(F.lit(1)).alias("size"), F.count_if(F.col("sub") == F.col("first")).alias("points"))
+    split = stored(split.select("cell", "size", (F.col("rows") <= 2 * F.col("points")).alias("split")))
+    out = met(near, split, "cell").where(F.when(F.col("split"), F.col("inside")).otherwise(F.col("sub") == F.col("first")))
+    return out.withColumn("cell", F.xxhash64("cell", "sub")).withColumn("pivot", F.col("sub")).withColumn("flat", ~F.col("split")).select(*CELL)
+
+
+def linked_points(cells: DataFrame, links: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """node, component of all points that a link or ``links`` (a, b) touches; see the module for the steps."""
+    spark, eps = cells.sparkSession, 1 - threshold / 100 + 1e-9
+    groups, done = components(links), None
+
+    def measure(pairs):
+        """Distances of the pairs (a, b), a < b, not measured before; their links join classes."""
+        nonlocal groups, done
+        pairs = pairs.distinct()
+        if done is not None:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        if done is not None and pairs.isEmpty():
+            return
+        new = verified(pairs, sets, threshold)
+        forget(pairs)
+        done = new if done is None else stored(done.union(new))
+        found = new.where("linked").select("a", "b")
+        if not found.isEmpty():
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        release(spark)
 
-    def pairs_of(x, y, n, doc, comp, dist, left):
-        """x, y: positions, that of the smaller document first."""
-        ok = (comp[x] != comp[y]) & may_link(n[x], n[y], left[x], left[y], threshold) & ~(np.abs(dist[x] - dist[y]) > eps)
-        return doc[x[ok]], doc[y[ok]]
+    def ordered(one, two):
+        return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
 
-    def open_(batches):
-        for region, n, doc, comp, dist, left, pivot in runs(batches, range(7)):
-            edges = [0, *(np.flatnonzero(np.diff(region)) + 1), len(region)]
-            for s, e in zip(edges, edges[1:], strict=False):
-                m, one = e - s, [x[s:e] for x in (n, doc, comp, dist, left)]
-                if m <= LEAF:
-                    a, b = pairs_of(*np.triu_indices(m, 1), *one)
-                    rest = np.zeros(0, np.int64)
-                else:  # new pivots, one of each component first
-                    _, first = np.unique(one[2], return_index=True)
-                    chosen = np.concatenate([first, np.setdiff1d(np.arange(m), first)])[:pivots]
-                    found = [pairs_of(np.minimum(p, np.arange(m)), np.maximum(p, np.arange(m)), *one) for p in chosen]
-                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                    rest = np.setdiff1d(np.arange(m), chosen)
-                if len(a):
-                    none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], ["a", "b", "region", "n", "left"])
-                if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pivot[s:e][rest], one[1][rest], region[s:e][rest], one[0][rest], one[4][rest])], ["a", "b", "region", "n", "left"])
-
-    return dealt.mapInArrow(open_, "a long, b long, region long, n long, left long")
+    def told(rows, pivot):
+        """``rows`` with the measured distance of ``point`` to ``pivot``."""
+        low, high = ordered(pivot, "point")
+        far = done.select(F.col("a").alias("low"), F.col("b").alias("high"), F.col("distance"))
+        return rows.drop("distance").withColumn("low", low).withColumn("high", high).join(far, ["low", "high"])
+
+    members = cells.select("pivot", "point", "n", "left").unionByName(cells.groupBy("pivot").agg(F.max("pivot_n").alias("n"), F.max("pivot_left").alias("left")).select("pivot", F.col("pivot").alias("point"), "n", "left"))
+    marks = sets.select("point", "bits").dropDuplicates(["point"])
+    now = members.join(marks, "point").select(F.col("pivot").alias("cell"), "pivot", "point", "n", "left", "bits", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("flat"), F.lit(0).alias("visit"))
+    flat_pivots = PIVOTS
+    while True:
+        step = stored(visited(labelled(now, groups), threshold))
+        pairs = step.where("a IS NOT NULL").select("a", "b")
+        again = step.where("a IS NULL AND NOT wide").select(*CELL)
+        wide = step.where("wide")
+        if wide.isEmpty():
+            if pairs.isEmpty():
+                return groups
+            measure(pairs)
+            now = again
+            continue
+        first = wide.where("visit = 0 AND point != pivot")  # against the cell's own pivot
+        state = wide.where("visit > 0").groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("low"), F.max("class").alias("top"), F.min_by("class", "distance").alias("home"))
+        state = stored(state.where("low != top").select("cell", "size", "home"))
+        later = stored(met(wide.where("visit > 0"), state, "cell").drop("size").withColumn("outside", F.col("class") != F.col("home")))
+        reach = stored(later.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("outside"), F.col("distance"))).alias("least")))
+        large = stored(met(later, reach, "cell").where(F.col("outside") | (F.col("distance") >= F.col("least") - eps)).select(*CELL, "class", "outside"))
+        sizes = stored(large.groupBy("cell").agg(F.count(F.lit(1)).alias("size")))
+        flat_pivots *= 4
+        place = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("outside"), F.xxhash64("point")))
+        subs = large.withColumn("place", place).where(F.col("place") <= F.when(F.col("flat"), flat_pivots).otherwise(PIVOTS))
+        subs = stored(subs.select("cell", F.col("point").alias("sub"), *(F.col(c).alias(f"sub_{c}") for c in TOLD_BY)))
+        rest = large.join(subs.select("cell", F.col("sub").alias("point")), ["cell", "point"], "left_anti")
+        parted = stored(against_pivots(large.where("NOT flat"), subs.select("cell", "sub"), sizes))
+        flat = pivot_pairs(against_pivots(large.where("flat"), subs, sizes).where("sub != point"), threshold)
+        measure(pairs.union(first.select(*ordered("pivot", "point"))).union(flat.select(*ordered("a", "b"))).union(parted.where("sub != point").select(*ordered("sub", "point"))))
+        starred = told(first, "pivot").withColumn("visit", F.lit(1)).select(*CELL)
+        regions = voronoi(told(parted.join(rest.select("cell", "point"), ["cell", "point"], "left_semi"), "sub"), sizes, threshold)
+        now = stored(again.unionByName(starred).unionByName(regions).unionByName(rest.where("flat").select(*CELL)))
+        forget(step)
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -386,45 +571,30 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = given.where("doc_id IS NOT NULL")
     seen = stored(summaries(given, words))
-    counted = seen.where("chunk IS NULL").select("doc_id", "n", "high", "low")
     counts = sketch(seen.where("chunk IS NOT NULL").select("chunk", "body", "cells"))
-    sized = counted.where("n > 0 AND doc_id IS NOT NULL")
-    equal = sized.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most").select("high", "low", "least")
-    links = stored(sized.join(equal, ["high", "low"]).where("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
-    given_regions = stored(shared_regions(region_entries(named, counts, words, threshold), threshold))
-    release(spark)
-    found = stored(representatives(given_regions, links))
-    forget(given_regions)
-    entries = found.where("region IS NOT NULL").groupBy("region", "n", "doc_id", "pivot").agg(F.max("left").alias("left"))
-    star = found.where("region IS NULL").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    ids = found.select("doc_id").union(found.select("pivot"))
-    repeated = not sized.groupBy("doc_id").count().where("count > 1").isEmpty()
-    sets = stored(shingle_sets(named, ids, found.select(F.col("pivot").alias("doc_id")), words, repeated))
-    done = stored(verified(star, sets.where("pivot"), sets, threshold))
+    rows = seen.where("chunk IS NULL").select("doc_id", "n", "high", "low")
+    sized = rows.where("n > 0 AND doc_id IS NOT NULL")
+    by_half = sized.groupBy("high").agg(F.min("low").alias("x"), F.max("low").alias("y")).where("x != y")
+    points = Points(frozenset(r["high"] for r in by_half.select("high").collect()))  # two of 2**32 sets or so
+    sized = sized.select("doc_id", points.column().alias("point"))
+    classes = stored(sized.groupBy("point").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least")))
+
+    cells = stored(first_cells(part_entries(named, counts, points, words, threshold), threshold))
     release(spark)
-    regions = stored(entries)
-    groups = components(links.union(done.where("linked").select("a", "b")))
-
-    pivots = 16
-    while True:
-        far = done.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "distance")
-        labelled = regions.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        opened = stored(reopened(boundary(labelled, far, threshold), threshold, pivots))
-        known = done.select("a", "b").union(done.select("b", "a"))
-        pairs = stored(opened.where("region IS NULL").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            wanted = among(sets, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
-            more = stored(verified(pairs, wanted, wanted, threshold))
-            done = stored(done.union(more))
-            if not more.where("linked").isEmpty():
-                groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where("linked").select("a", "b")))
-        release(spark)
-        regions = opened.where("region IS NOT NULL").select("region", "n", F.col("b").alias("doc_id"), F.col("a").alias("pivot"), "left")
-        if regions.isEmpty():
-            break
-        pivots *= 4
-    label = groups.select(F.col("node").alias("doc_id"), "component")
-    return counted.join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    held = cells.select("point").union(cells.select("pivot")).distinct()
+    sets = stored(shingle_sets(named, classes.join(held, "point", "left_semi").select(F.col("least").alias("doc_id")), points, words))
+    repeated = sized.groupBy("doc_id").agg(F.min("point").alias("a"), F.max("point").alias("z")).where("a != z")
+    links = sized.join(repeated, "doc_id").select("a", F.col("point").alias("b")).where("a != b")
+    groups = linked_points(cells, links, sets, threshold)
+
+    joined = groups.join(classes, F.col("node") == F.col("point")).select("point", "size", "least", "component")
+    roots = stored(joined.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("root")))
+    linked = met(groups.withColumnRenamed("node", "point"), roots, "component").select("point", "root")
+    label = stored(classes.join(linked, "point", "left").where("size > 1 OR root IS NOT NULL").select("point", "size", F.coalesce("root", "least").alias("root")))
+    counted = rows.select("doc_id", "n", points.column().alias("point"))
+    out = met(counted, label, "point", how="left")
+    root = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
