@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wordtide.annotate import base
 from wordtide.functions import fixed, names
 from wordtide.operators import phrases, reports, tags
-from wordtide.plans import catalogue, more  # noqa: F401
+from wordtide.plans import catalogue, more, pipelines  # noqa: F401
 from wordtide.sinks import tables
 from wordtide.sources import files
 from wordtide.streaming import activity
@@ -154,3 +154,40 @@ def test_toggles_and_runs_of_a_stream(spark, tmp_path):
         q.awaitTermination()
     assert rows(spark.table("toggles"), "user_id", "action", "saved") == [(1, "1", True)]
     assert rows(spark.table("paired"), "user_id", "us") == [(1, 1_000_000)]
+
+
+def Answers(answer):  # noqa: N802
+    """An annotator by a plain function of the word; a local class is sent to tasks by value."""
+
+    class Plain(base.Annotator):
+        batch, attempts, pause = 5, 1, (0,)
+
+        def label(self, words):
+            return {w: a for w in words if (a := answer(w)) is not None}
+
+    return Plain()
+
+
+def test_phrase_pipelines(spark):
+    docs = spark.createDataFrame([(1, "We give up now. They never give up at all. He ran zap out here today. The old red barn door fell. An old red barn door stood.")], "doc_id long, text string")
+    yes = Answers(lambda w: "yes" if w != "zap out" else None)
+    rate = Answers(lambda w: '{"gloss": "stop", "idiomaticity": 8, "literality": 2, "rating": 9}' if w != "old red barn door" else '```json\n{"gloss": "place", "rating": 5}\n```')
+    assert rows(pipelines.phrasal_list(docs, yes, rate), "phrase", "n", "gloss", "idiomaticity", "example") == [("give up", 2, "stop", 8, "We give up now")]
+    assert rows(pipelines.idiom_list(docs, yes, rate), "phrase", "n", "rating", "example") == [("old red barn door", 2, 5, "The old red barn door fell")]
+
+
+def test_served_lists_and_plans(spark, tmp_path):
+    t = fixed.TIERS
+    given = spark.createDataFrame([(t[0], "w", 3, "C1", "g"), (t[5], "b", 9, "B1", "h"), (t[6], "c", 8, "B2", "i"), (t[3], "r", 1, "C2", "j")], "tier string, word string, n long, vocabulary_level string, gloss string")
+    saved = spark.createDataFrame([("B", "H")], "word string, gloss string")
+    assert rows(pipelines.served_list("frequent_b", given, saved, 1), "place", "word", "total", "truncated", "saved") == [(1, "b", 2, True, True)]
+    assert rows(pipelines.served_list("rare_c", given, saved), "word", "truncated") == [("r", False)]
+    assert rows(pipelines.without_names(given, Answers(lambda w: "Name" if w == "w" else "word")), "word") == [("b",), ("c",), ("r",)]
+    listing = spark.createDataFrame([("/z/some.show.S01E02.srt",), ("/z/notes.srt",), ("/f/tier_1_hard_usable_words.csv",)], "path string")
+    assert rows(pipelines.reorganised(listing, "/r"), "target", "action")[0] == ("/f/tier_1_hard_usable_words.csv", "keep")
+    assert ("/r/Some Show/Season 1/some.show.S01E02.srt", "move") in rows(pipelines.reorganised(listing, "/r"), "target", "action")
+    assert rows(pipelines.stale_folders(listing, spark.createDataFrame([("/f",), ("/z",)], "folder string")), "folder") == [("/f",)]
+    lines = spark.createDataFrame([(1, "here w stands alone")], "at int, line string")
+    cache = spark.createDataFrame([("b", "known")], "word string, gloss string")
+    got = pipelines.glossed_tiers(given.drop("gloss"), lines, cache, Answers(lambda w: w * 2))
+    assert rows(got, "word", "gloss", "example") == [("b", "known", None), ("c", "cc", None), ("r", "rr", None), ("w", "ww", "here w stands alone")]

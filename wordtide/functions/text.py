@@ -212,6 +212,11 @@ def title_overlap(a: Column, b: Column) -> Column:
     return F.when(most == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / most)
 
 
+def titles_agree(a: Column, b: Column, least: float = 0.6) -> Column:
+    """A subtitle's title and its folder's share enough words."""
+    return title_overlap(a, b) >= least
+
+
 def span(seconds: Column) -> Column:
     """Ns, Nm Ns, Nh Nm or Nd Nh."""
     s = F.greatest(F.lit(0), seconds.cast("bigint"))

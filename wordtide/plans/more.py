@@ -418,3 +418,19 @@ def pipeline_totals(spark, sf_dir):
 @query("SELECT max(n_regionkey + 1) AS most FROM nation")
 def most_episodes(spark, sf_dir):
     return table(spark, sf_dir, "nation").agg(F.max(F.col("n_regionkey") + 1).alias("most"))
+
+
+@query("""WITH x AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_name || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' extra' ELSE ' one two three' END), ' ')) AS b FROM part)
+SELECT p_partkey, len(list_intersect(a, b)) / greatest(len(a), len(b)) >= 0.6 AS agrees FROM x""")
+def title_agreement(spark, sf_dir):
+    """Whether a title and its folder, some with words added, agree."""
+    folder = by_kind(put("$p_name"), put("$p_name", " extra"), put("$p_name", " one two three"))
+    return parts(spark, sf_dir, 3).select("p_partkey", text.titles_agree(F.col("p_name"), folder).alias("agrees"))
+
+
+@query(f"WITH {S_TOK}, {S_RANKED}, z AS (SELECT doc_id, word, place FROM r WHERE length(word) = 7) SELECT doc_id, count(*) AS words, string_agg(word, ', ' ORDER BY place) AS batch FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM z) WHERE k <= 20 GROUP BY doc_id")
+def prompt_batches(spark, sf_dir):
+    """The first batch of twenty words of seven letters that an annotator is asked about, in order of frequency."""
+    few = ranked_words(spark, sf_dir).where(F.length("word") == 7).withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy("place"))).where("k <= 20")
+    told = F.array_sort(F.collect_list(F.struct("place", "word")))  # twenty at most
+    return few.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.array_join(F.transform(told, lambda x: x["word"]), ", ").alias("batch"))

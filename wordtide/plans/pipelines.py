@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..annotate.base import Annotator, annotated
-from ..functions import fixed, text
-from ..operators import activity, frequency, phrases, tiers
+from ..annotate.base import Annotator, annotated, annotated_again
+from ..functions import fixed, names, text
+from ..functions.scratch import stored
+from ..operators import activity, frequency, phrases, reports, tiers
+from ..sinks import tables
+from ..sources import files
 
 
 def tier_lists(counts: DataFrame, english: DataFrame, levels: DataFrame, lists: DataFrame, *keys: str, **options) -> DataFrame:
@@ -47,3 +51,80 @@ def served(rows: DataFrame, glosses: DataFrame, saved: DataFrame, k: int = 25) -
     out = rows.join(glosses, "word").withColumn("token", text.link_token(F.col("word"), F.col("gloss")))
     out = out.join(marks, (F.lower("word") == F.col("w")) & (F.lower("gloss") == F.col("g")), "left").drop("w", "g").fillna(False, ["saved"])
     return out.orderBy(F.desc("n"), "word").limit(k)
+
+
+def confirmed(found: DataFrame, verifier: Annotator) -> DataFrame:
+    """Rows whose phrase the annotator labels ``yes``; each phrase is asked about once, those left out once more."""
+    asked = annotated_again(found.select(F.col("phrase").alias("word")).distinct(), verifier)
+    return reports.verified(found, asked.where("label = 'yes'").select(F.col("word").alias("phrase")))
+
+
+def scored(phrases_: DataFrame, rater: Annotator, *fields: str) -> DataFrame:
+    """Phrases with the ``fields`` of the annotator's JSON answer."""
+    asked = annotated_again(phrases_.select(F.col("phrase").alias("word")).distinct(), rater).withColumnRenamed("word", "phrase")
+    return phrases_.join(asked, "phrase", "left").select(*phrases_.columns, *(reports.answer_fields(F.col("label"), f).alias(f) for f in fields))
+
+
+def phrasal_list(docs: DataFrame, verifier: Annotator, rater: Annotator) -> DataFrame:
+    """doc_id, phrase, n, gloss, idiomaticity, literality, example: verified phrasal verbs that pass both gates, the first example."""
+    found = scored(confirmed(phrasal(docs), verifier), rater, "gloss", "idiomaticity", "literality")
+    whole = found.withColumns({c: text.whole_score(F.col(c)) for c in ("idiomaticity", "literality")}).where(phrases.passes_gates(F.col("idiomaticity"), F.col("literality")))
+    return _with_example(docs, stored(whole))
+
+
+def idiom_list(docs: DataFrame, verifier: Annotator, rater: Annotator, gate: int = fixed.IDIOM_GATE) -> DataFrame:
+    """doc_id, phrase, n, gloss, rating, example: verified idioms rated ``gate`` or more, the first example."""
+    found = scored(confirmed(idioms(docs), verifier), rater, "gloss", "rating").withColumn("rating", text.whole_score(F.col("rating")))
+    return _with_example(docs, stored(found.where(F.col("rating") >= gate)))
+
+
+def _with_example(docs: DataFrame, found: DataFrame) -> DataFrame:
+    first = phrases.phrase_examples(docs, found.select("doc_id", "phrase"), k=1).select("doc_id", "phrase", F.col("sentence").alias("example"))
+    return found.join(first, ["doc_id", "phrase"], "left").fillna("N/A", ["gloss", "example"])
+
+
+def glossed_tiers(rows: DataFrame, lines: DataFrame, cache: DataFrame, annotator: Annotator) -> DataFrame:
+    """Tier rows (word, tier, n, …) with gloss and the first example line; glosses at hand are used again."""
+    words = stored(rows.select("word").distinct())
+    example = phrases.word_examples(lines, words, k=1).select("word", F.col("line").alias("example"))
+    return rows.join(glossed(words, cache, annotator), "word", "left").join(example, "word", "left").fillna("N/A", ["gloss"])
+
+
+#: Kinds of lists that are served, and the tiers or rare cuts whose words they show.
+SERVED = {"frequent_c": ("tier", [fixed.TIERS[0]]), "frequent_b": ("tier", fixed.TIERS[5:]), "rare_c": ("rare", ["rare_c"]), "rare_b": ("rare", ["rare_b"])}
+
+
+def served_list(kind: str, rows: DataFrame, saved: DataFrame, k: int = 80) -> DataFrame:
+    """The first ``k`` rows of a word list (rows with gloss) or of a phrase list, with place, total, truncated and saved."""
+    if kind in SERVED:
+        column, values = SERVED[kind]
+        shown = (tiers.rare_split(rows) if column == "rare" else rows).where(F.col(column).isin(*values))
+    elif kind in ("phrasal", "idioms"):
+        shown = rows.withColumnRenamed("phrase", "word")
+    else:
+        raise ValueError(f"unknown list kind: {kind}")
+    marks = saved.select(F.lower("word").alias("w"), F.lower("gloss").alias("g"), F.lit(True).alias("saved")).distinct()
+    shown = shown.join(marks, (F.lower("word") == F.col("w")) & (F.lower("gloss") == F.col("g")), "left").drop("w", "g").fillna(False, ["saved"])
+    total = shown.count()
+    top = shown.orderBy(F.desc("n"), "word").limit(k)
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "word"))  # ``k`` rows
+    return top.withColumn("place", place).withColumn("total", F.lit(total)).withColumn("truncated", F.lit(total > k))
+
+
+def without_names(rows: DataFrame, annotator: Annotator) -> DataFrame:
+    """Saved tier rows without the words that an annotator calls names."""
+    asked = annotated_again(rows.select("word").distinct(), annotator).where("lower(label) IN ('name', 'fantasy')")
+    return rows.join(asked.select("word"), "word", "left_anti")
+
+
+def stale_folders(listing: DataFrame, folders: DataFrame) -> DataFrame:
+    """Folders with tiers but without the rare cuts that came later: to be run again."""
+    return files.existing_artefacts(listing, folders).where("has_tiers AND NOT has_rare").select("folder")
+
+
+def reorganised(listing: DataFrame, root: str) -> DataFrame:
+    """Where each subtitle belongs by its release name: source, target, action; files without an episode stay."""
+    info = listing.select("path", names.release_info(F.col("path")).alias("i")).select("path", "i.*")
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    wanted = F.when(F.col("season").isNotNull(), F.concat_ws("/", F.lit(root), "series", F.concat(F.lit("Season "), F.col("season").cast("string")), name)).otherwise(F.col("path"))
+    return tables.move_plan(info, wanted)
