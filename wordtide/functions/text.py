@@ -16,8 +16,9 @@ def _replaced(text: Column, *steps: tuple[str, str]) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    """Subtitle text without timing lines, index lines, tags and brackets."""
-    return _replaced(text, (TIMING, ""), (r"(?m)^\d+$", ""), (r"<[^>]+>", ""), (r"\[.*?\]", ""))
+    """Subtitle text without timing lines, index lines, tags and brackets; text without a digit or an opening bracket stays as it is."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(r"[\d<\[]"), _replaced(text, (TIMING, ""), (r"(?m)^\d+$", ""), (r"<[^>]+>", ""), (r"\[.*?\]", ""))).otherwise(text)
 
 
 def plain_text(text: Column) -> Column:
@@ -32,8 +33,8 @@ def phrasal_text(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case a-z words in text order; words with an inner apostrophe are no words."""
-    parts = F.split(F.lower(cleaned(text)), r"[^\p{L}\p{N}\p{M}_']+")
-    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit("'"))), lambda x: F.rlike(x, F.lit("^[a-z]+$")))
+    word = r"[\p{L}\p{N}\p{M}_']"
+    return F.regexp_extract_all(F.lower(cleaned(text)), F.lit(rf"(?<!{word})'*+([a-z]++)'*+(?!{word})"), F.lit(1))
 
 
 def tokens(text: Column) -> Column:

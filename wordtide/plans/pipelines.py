@@ -25,7 +25,7 @@ def tier_lists(counts: DataFrame, english: DataFrame, levels: DataFrame, lists:
 def idioms(docs: DataFrame, k: int = fixed.NGRAM_CANDIDATES) -> DataFrame:
     """Idiom candidates: repeated n-grams, filtered, the top of each document, none part of another."""
     found = phrases.repeated_ngrams(docs)
-    return phrases.unsubsumed(phrases.top_phrases(found.where(phrases.is_candidate(F.col("phrase"))), k).drop("place"))
+    return phrases.unsubsumed(stored(phrases.top_phrases(found.where(phrases.is_candidate(F.col("phrase"))), k).drop("place")))
 
 
 def phrasal(docs: DataFrame) -> DataFrame:
