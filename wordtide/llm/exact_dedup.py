@@ -36,10 +36,12 @@ def normalised(text):
 def heavy_hitters(digests: DataFrame, support: float) -> DataFrame:
     """Digests that hold at least ``support`` of the rows, with their exact size and smallest doc_id."""
     spark = digests.sparkSession
+    if "row" not in digests.columns:
+        digests = digests.withColumn("row", F.lit(0).cast("long"))
     found = digests.stat.freqItems(["digest"], support).first()[0] or []
     candidates = spark.createDataFrame([(x,) for x in set(found)], "digest string")
     least = F.lit(support * digests.count())
-    return digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(*size_and_first()).where(F.col("group_size") >= least)
+    return digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(*size_and_first()).where(F.col("group_size") >= least).withColumn("keep_id", F.col("first.doc_id"))
 
 
 def size_and_first():
@@ -52,7 +54,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"))
     digests = stored(digests.withColumn("row", F.monotonically_increasing_id()))
     winners = stored(heavy_hitters(digests, support or support_of(docs.sparkSession)))
-    heavy = digests.join(F.broadcast(winners), "digest")
+    heavy = digests.join(F.broadcast(winners.drop("keep_id")), "digest")
     rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     groups = rest.groupBy("digest").agg(*size_and_first())
     return heavy.unionByName(rest.join(groups, "digest")).select("doc_id", "digest", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
