@@ -1,19 +1,18 @@
-"""What several operators need: scratch tables in the shared folder, Arrow helpers, word and shingle hashes."""
+"""What several operators need: tables in the shared folder, Arrow helpers, word and shingle hashes."""
 
 from __future__ import annotations
 
-import atexit
 import gc
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import forget, remove, stored, written  # noqa: F401
+
 #: Text bytes handled at once by the vectorised scans; a longer text is handled alone.
 SLICE_BYTES = 1_000_000
 
@@ -23,62 +22,17 @@ HOT_ROWS = 10_000
 #: The bytes that part words: ``[\x20\x09-\x0D]``.
 SPACES = [32, 9, 10, 11, 12, 13]
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where it is unset and all tasks run on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="wordtide-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            return
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{scratch_root(df.sparkSession).rstrip('/')}/wordtide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((df.sparkSession, path))
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the table that ``stored`` wrote; nothing may read it afterwards."""
-    path = df.stored_at
-    remove(df.sparkSession, path)
-    _written[:] = [x for x in _written if x[1] != path]
-
 
 def forget_since(n: int, keep: DataFrame) -> None:
     """Delete the tables that ``stored`` wrote after the first ``n``, but for ``keep``."""
-    for spark, path in _written[n:]:
+    for spark, path in written[n:]:
         if path != keep.stored_at:
             remove(spark, path)
-    _written[n:] = [x for x in _written[n:] if x[1] == keep.stored_at]
+    written[n:] = [x for x in written[n:] if x[1] == keep.stored_at]
 
 
 def tables_written() -> int:
-    return len(_written)
+    return len(written)
 
 
 def unreserved(df: DataFrame) -> DataFrame:
