@@ -12,8 +12,8 @@ source has no blocks left, the rest start a new phase with their weights among t
 every row goes out exactly once.
 
 Defined results: a null source is a source like any other; a source without a weight gets
-``default_weight``; rows of equal id follow each other in no set order; an empty table gives
-an empty result; columns of the input pass through, but for those of the reserved prefix
+``default_weight``; rows of equal id follow each other by a hash of all their columns (in op10
+id and source); an empty table gives an empty result; columns of the input pass through, but for those of the reserved prefix
 ``wordtide_``; a source's last block may be short.
 """
 
@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .shared import shuffle_partitions, unreserved
+from .shared import shuffle_partitions, stored, unreserved
 
 BLOCK_ROWS = 16
 ROWS_A_RANGE = 20_000
@@ -144,20 +145,26 @@ def phases(blocks: dict, weights: dict) -> dict[object, list[tuple]]:
     return out
 
 
-def numbered(rows: DataFrame, group: str, order: str, buckets: int) -> DataFrame:
-    """``rows`` with ``wordtide_number``, gapless from 0 in each group along ``order``, a 64-bit hash.
+def keyed(docs: DataFrame, id_col: str, source_col: str, ranges: int) -> DataFrame:
+    """``docs`` with the place of every row in the order of its source: ``wordtide_range`` of the id's hash,
+    ``wordtide_hash`` and, for rows of one id, ``wordtide_tie``, a hash of all columns; rows equal in all are alike."""
+    whole = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col(id_col)), 1)
+    rows = docs.withColumn("wordtide_source", F.col(source_col).cast("string")).withColumn("wordtide_hash", hashed).withColumn("wordtide_tie", whole)
+    return rows.withColumn("wordtide_range", F.floor(F.col("wordtide_hash").cast("double") / float(1 << 63) * ranges))
 
-    A group is cut into ranges of the hash, each numbered in a window of its own; a group's
-    own window runs over one row for each range.
+
+def numbered(rows: DataFrame, place) -> DataFrame:
+    """``rows`` of ``keyed`` with ``wordtide_number`` from 0 in each source: ``place`` is ``row_number`` or ``rank``.
+
+    Each range of a source is numbered in a window of its own; a source's own window runs over one row for each range.
     """
-    top = F.shiftrightunsigned(order, 33)
-    rows = rows.withColumn("wordtide_range", F.floor(top.cast("double") / F.lit(float(1 << 31)) * buckets))
-    counts = rows.groupBy(group, "wordtide_range").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy(group).orderBy("wordtide_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    before = counts.select(F.col(group).alias("wordtide_group"), F.col("wordtide_range").alias("wordtide_at"), before.alias("wordtide_before"))
-    own = F.row_number().over(W.partitionBy(group, "wordtide_range").orderBy(top, order)).cast("long") - 1
+    counts = rows.groupBy("wordtide_source", "wordtide_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("wordtide_source").orderBy("wordtide_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    before = counts.select(F.col("wordtide_source").alias("wordtide_group"), F.col("wordtide_range").alias("wordtide_at"), before.alias("wordtide_before"))
+    own = place().over(W.partitionBy("wordtide_source", "wordtide_range").orderBy("wordtide_hash", "wordtide_tie")).cast("long") - 1
     rows = rows.withColumn("wordtide_own", own)
-    out = rows.join(before, rows[group].eqNullSafe(before["wordtide_group"]) & (rows["wordtide_range"] == before["wordtide_at"]))
+    out = rows.join(before, rows["wordtide_source"].eqNullSafe(before["wordtide_group"]) & (rows["wordtide_range"] == before["wordtide_at"]))
     return out.withColumn("wordtide_number", F.col("wordtide_own") + F.col("wordtide_before"))
 
 
@@ -189,30 +196,56 @@ def slots_of(source: pa.Array, block: pa.Array, plan: tuple) -> pa.Array:
     return pa.array(start[part] + periods * span[part] + slots[place[part] + ahead], pa.int64())
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, default_weight: float = 1.0, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The columns of ``docs``, and ``wordtide_slot`` (of the row's block in the mix) and ``wordtide_place`` (in the block)."""
-    spark, docs = docs.sparkSession, unreserved(docs)
+def planned(docs: DataFrame, weights: dict | None, default_weight: float, block_rows: int, source_col: str):
+    """The slot of a (source, number), the number of slots in all and the ranges that a source is numbered in."""
+    spark = docs.sparkSession
     counted = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r["source"]: r["n"] for r in counted}
-    plan = lookup({k: -(-n // block_rows) for k, n in counts.items()}, {k: (weights or {}).get(k, default_weight) for k in counts})
-    sent = spark.sparkContext.broadcast(plan)
+    blocks = {k: -(-n // block_rows) for k, n in counts.items()}
+    sent = spark.sparkContext.broadcast(lookup(blocks, {k: (weights or {}).get(k, default_weight) for k in counts}))
 
     @F.arrow_udf("long")
     def slot(source: pa.Array, block: pa.Array) -> pa.Array:
         return slots_of(source, block, sent.value)
 
-    ranges = max(64, -(-sum(counts.values()) // ROWS_A_RANGE))
-    rows = docs.withColumn("wordtide_source", F.col(source_col).cast("string")).withColumn("wordtide_hash", F.xxhash64(F.lit(17), F.col(id_col)))
-    rows = numbered(rows, "wordtide_source", "wordtide_hash", ranges)
-    block = F.floor(F.col("wordtide_number") / block_rows)
-    return rows.select(*docs.columns, slot("wordtide_source", block).alias("wordtide_slot"), (F.col("wordtide_number") % block_rows).alias("wordtide_place"))
+    return lambda source, number: slot(source, F.floor(number / block_rows)), sum(blocks.values()), max(64, -(-sum(counts.values()) // ROWS_A_RANGE))
+
+
+def schedule(docs: DataFrame, weights: dict | None = None, default_weight: float = 1.0, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The columns of ``docs``, and ``wordtide_slot`` (of the row's block in the mix) and ``wordtide_place`` (in the block)."""
+    docs = unreserved(docs)
+    slot, _, ranges = planned(docs, weights, default_weight, block_rows, source_col)
+    rows = numbered(keyed(docs, id_col, source_col, ranges), F.row_number)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), slot("wordtide_source", F.col("wordtide_number")).alias("wordtide_slot"), (F.col("wordtide_number") % block_rows).alias("wordtide_place"))
 
 
-def mixed_order(docs: DataFrame, weights: dict | None = None, **options) -> DataFrame:
-    """The rows and columns of ``docs`` in the order of the mix: partitions are ranges of it, sorted."""
-    out = schedule(docs, weights, **options)
-    at = ["wordtide_slot", "wordtide_place"]
-    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), *at).sortWithinPartitions(*at).drop(*at)
+def mixed_order(docs: DataFrame, weights: dict | None = None, default_weight: float = 1.0, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows and columns of ``docs`` in the order of the mix: partitions are ranges of it, sorted.
+
+    Keys alone are numbered. Within a source, slots rise with the keys, so a range of slots is a range of keys: the first
+    key and number of each output partition in each source (``cuts``) tell every whole row its partition, and its
+    number is counted there. So whole rows are shuffled once.
+    """
+    spark, docs = docs.sparkSession, unreserved(docs)
+    slot, slots, ranges = planned(docs, weights, default_weight, block_rows, source_col)
+    parts = shuffle_partitions(spark)
+    rows = keyed(docs, id_col, source_col, ranges)
+    key = F.struct("wordtide_hash", "wordtide_tie")
+    keys = numbered(rows.select("wordtide_source", "wordtide_range", "wordtide_hash", "wordtide_tie"), F.rank)
+    part = F.floor(slot("wordtide_source", F.col("wordtide_number")) * parts / max(slots, 1))
+    firsts = keys.groupBy("wordtide_source", "wordtide_range", part.alias("part")).agg(F.min(key).alias("key"), F.min("wordtide_number").alias("number"))
+    cuts = firsts.groupBy("wordtide_source", "wordtide_range").agg(F.array_sort(F.collect_list(F.struct("key", "part", "number"))).alias("cuts"))  # `parts` at most in each
+    cuts = stored(cuts.withColumnsRenamed({"wordtide_source": "wordtide_group", "wordtide_range": "wordtide_at"}))
+    whole = rows.join(cuts, rows["wordtide_source"].eqNullSafe(cuts["wordtide_group"]) & (rows["wordtide_range"] == cuts["wordtide_at"]))
+    cut = F.element_at(F.filter("cuts", lambda x: x["key"] <= key), -1)
+    whole = whole.withColumn("wordtide_cut", cut).withColumn("wordtide_part", F.col("wordtide_cut.part")).withColumn("wordtide_first", F.col("wordtide_cut.number"))
+    whole = whole.select(*(F.col(f"`{c}`") for c in docs.columns), "wordtide_source", "wordtide_range", "wordtide_hash", "wordtide_tie", "wordtide_part", "wordtide_first")
+    dealt = whole.repartitionByRange(parts, "wordtide_part")
+    own = F.row_number().over(W.partitionBy("wordtide_part", "wordtide_source", "wordtide_range").orderBy("wordtide_hash", "wordtide_tie")) - 1
+    out = dealt.withColumn("wordtide_number", F.col("wordtide_first") + own)
+    at = [slot("wordtide_source", F.col("wordtide_number")).alias("wordtide_slot"), (F.col("wordtide_number") % block_rows).alias("wordtide_place")]
+    out = out.select(*(F.col(f"`{c}`") for c in docs.columns), *at).sortWithinPartitions("wordtide_slot", "wordtide_place")
+    return out.drop("wordtide_slot", "wordtide_place")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
