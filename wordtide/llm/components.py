@@ -8,41 +8,22 @@ where they meet.  Links live in shared-folder tables; the driver sees a count an
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .shared import forget, shuffle_partitions, stored
+from .shared import forget, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """A large star hangs a node's larger neighbours on the smallest of it and its neighbours, a small star all the others."""
     both = links.select("a", "b").union(links.select("b", "a")) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    dealt = both.repartition(shuffle_partitions(links.sparkSession), "a").sortWithinPartitions("a", "b")
-
-    def hang(batches):
-        node = least = last = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (batch.column(i).to_numpy() for i in (0, 1))
-            start = np.append(True, a[1:] != a[:-1])
-            start[0] = node is None or a[0] != node
-            spot = np.maximum.accumulate(np.where(start, np.arange(len(a)), -1))
-            low = np.where(spot >= 0, b[np.maximum(spot, 0)], least if least is not None else 0)
-            again = np.append(not start[0] and b[0] == last, (b[1:] == b[:-1]) & ~start[1:])
-            m = np.minimum(a, low)
-            node, least, last = a[-1], low[-1], b[-1]
-            if large:
-                keep = (b > a) & (b != m) & ~again
-                one, two = b[keep], m[keep]
-            else:
-                keep = (b != m) & ~again
-                one, two = np.concatenate([b[keep], a[start]]), np.concatenate([m[keep], m[start]])
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
-
-    return dealt.mapInArrow(hang, "a long, b long").where("a != b")
+    own = W.partitionBy("a").orderBy("b")
+    met = both.select("a", "b", F.least("a", F.first("b").over(own)).alias("m"), F.lag("b").over(own).alias("last"))
+    if large:
+        return met.where("b > a AND b != m AND (last IS NULL OR last != b)").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    hung = F.array(F.when(F.col("last").isNull() | (F.col("last") != F.col("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))), F.when(F.col("last").isNull(), F.struct("a", F.col("m").alias("b"))))
+    return met.select(F.explode(hung).alias("link")).where("link IS NOT NULL").select("link.a", "link.b").where("a != b")
 
 
 def components(links: DataFrame) -> DataFrame:
