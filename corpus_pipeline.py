@@ -7,11 +7,25 @@ documents.  Tables between stages live in the shared folder of ``spark.checkpoin
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from wordtide.llm import jaccard_join, line_dedup, mixing, packing, toxicity
-from wordtide.llm.shared import forget, stored
+from wordtide.llm.shared import forget_since, stored, tables_written
+
+
+def aside(stage):
+    """``stage`` for documents that have columns of the operators' reserved prefix too: these go by other names in it."""
+
+    @functools.wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        names = docs.columns
+        own = [f"aside_{'_' * len(names)}{i}" if c.startswith("wordtide_") else c for i, c in enumerate(names)]
+        return stage(spark, docs.toDF(*own), sf_dir).select(*(F.col(f"`{c}`").alias(name) for c, name in zip(own, names, strict=True)))
+
+    return run_stage
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -20,18 +34,20 @@ def drop_toxic(spark, docs, sf_dir):
     return toxicity.without_toxic(docs, field)
 
 
+@aside
 def drop_lines(spark, docs, sf_dir):
     """Lines that an earlier document holds too leave the texts; all documents stay."""
-    return line_dedup.drop_repeated_lines(docs).select(*docs.columns)
+    return line_dedup.drop_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """Of each class of near duplicates the document of the smallest doc_id stays."""
     classes = jaccard_join.linked_components(docs)
     gone = stored(classes.where("component_id != doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@aside
 def mix(spark, docs, sf_dir):
     """All documents in the order of the mix to ``mixing.WEIGHTS``: the files' order and the rows' order in them."""
     return mixing.mixed_order(docs, mixing.WEIGHTS)
@@ -40,8 +56,9 @@ def mix(spark, docs, sf_dir):
 def pack(spark, docs, sf_dir):
     """Pieces in sequences; ``sequence_order`` grows with the place in the mix of a sequence's first document."""
     try:
-        file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
-        order = F.coalesce(file.try_cast("long"), F.lit(0)) * (1 << 36) + F.col("_metadata.row_index")
+        file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+        other = (1 << 26) + F.crc32(F.col("_metadata.file_name").cast("binary")) % (1 << 26)  # files of other names follow, in no set order
+        order = F.coalesce(file, other) * (1 << 36) + F.col("_metadata.row_index")
         docs = docs.select("doc_id", "text", order.alias("wordtide_order"))
     except AnalysisException:  # not read from files: the order is that of the partitions
         docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("wordtide_order"))
@@ -64,11 +81,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    last = None
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_written()
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
-        if last is not None:
-            forget(last)
-        last = docs
+        forget_since(before, docs)
     return docs
