@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline's stages as queries, over small tables with nulls, repeats and clashing columns, and over empty ones."""
+"""The numbered queries and the pipeline's stages as queries, over small tables with nulls, repeats and clashing columns, and over empty ones."""
 
 import zlib
 
@@ -28,7 +28,9 @@ def folder(request, spark, tmp_path_factory):
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (5, 1, None), (None, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
     talks = spark.createDataFrame([(i, k, r, t) for i in (1, 2) for k, (r, t) in enumerate([("system", None), ("user", "hi [INST]"), ("assistant", "yo </s>"), ("assistant", ""), ("user", "bye")][: 3 + 2 * i])], "conv_id long, turn long, role string, text string")
     pages = spark.createDataFrame([(1, "https://Example.com/en/a?x", "<b>good day</b>"), (2, None, None), (3, "http://goodday.net/es/1", ""), (4, "http://q.org/x", "text"), (4, "http://q.org/x", "text")], "page_id long, url string, html string")
-    for name, df in {"documents": docs, "labels": labels, "conversations": talks, "pages": pages}.items():
+    vectors = [(i, [float(i % 3), 0.1 * i, -0.5, 0.25] * 4, i % 2) for i in range(40)] + [(7, [1.5] * 16, None), (7, [1.5] * 16, None), (50, None, 1), (51, [1.0] * 15 + [None], 1), (52, [1.0] * 15 + [float("nan")], 0), (53, [float("inf")] + [1.0] * 15, 0), (None, [2.0] * 16, 1)]
+    embeddings = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    for name, df in {"documents": docs, "labels": labels, "conversations": talks, "pages": pages, "embeddings": embeddings}.items():
         clashing(df.where("false") if request.param == "empty" else df).repartition(2).write.parquet(str(path / f"{name}.parquet"))
     return request.param, str(path)
 
@@ -38,10 +40,12 @@ def test_query(spark, folder, name):
     kind, path = folder
     got = queries.queries()[name](spark, path)
     columns, rows = got.columns, got.collect()
-    table = {"op5_chat_format": "conversations", "op7_url_filter": "pages"}.get(name, "documents")
+    table = {"op5_chat_format": "conversations", "op7_url_filter": "pages", "op12_vector_codes": "embeddings"}.get(name, "documents")
     given = spark.read.parquet(f"{path}/{table}.parquet")
     if name == "op5_chat_format":
         assert len(rows) == given.select("conv_id").distinct().count() + 1
+    elif name == "op12_vector_codes":
+        assert len(rows) == (43 if kind == "rows" else 0)
     elif name != "op8_best_fit_packing":
         assert len(rows) == given.count()
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, packing, sharding, toxicity, url_filter
+from . import chat, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, packing, periodic_runs, sharding, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_mixing": mixing.op10_mixing,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
@@ -26,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": chat.OP5_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op9_jaccard_join": jaccard_join.OP9_SQL,
+        "op12_vector_codes": vector_codes.OP12_SQL,
+        "op13_periodic_runs": periodic_runs.OP13_SQL,
     }
