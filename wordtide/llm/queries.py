@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, packing, periodic_runs, sharding, toxicity, url_filter, vector_codes
+from . import chat, exact_dedup, fingerprints, jaccard_join, line_dedup, lm_scoring, mixing, packing, periodic_runs, sharding, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_mixing": mixing.op10_mixing,
+        "op11_lm_scoring": lm_scoring.op11_lm_scoring,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
