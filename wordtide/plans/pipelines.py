@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..annotate.base import Annotator, annotated, annotated_again
 from ..functions import fixed, names, text
 from ..functions.scratch import stored
-from ..operators import activity, frequency, phrases, reports, tiers
+from ..operators import activity, frequency, phrases, reports, tiers, titles
 from ..sinks import tables
 from ..sources import files
 
@@ -128,3 +128,49 @@ def reorganised(listing: DataFrame, root: str) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     wanted = F.when(F.col("season").isNotNull(), F.concat_ws("/", F.lit(root), "series", F.concat(F.lit("Season "), F.col("season").cast("string")), name)).otherwise(F.col("path"))
     return tables.move_plan(info, wanted)
+
+
+def resolved_titles(messages: DataFrame, movies: DataFrame, shows: DataFrame, k: int = 4) -> DataFrame:
+    """id, media, title, catalogue_id, year, season, episode, score, gap, confidence, issue, alternatives: what each message means.
+
+    ``messages``: id, raw, mode (``movie`` or another); ``movies``: title, year, catalogue_id; ``shows``: title, catalogue_id, episodes (a
+    map of season to their number). A message's cues or year tell the kind of title; a bare title is looked up in both lists
+    and the clear winner's kind is taken, the movie's where neither wins. Of equal titles one of the asked year wins, then the smaller
+    catalogue_id. Alternatives are the next candidates that the catalogue knows, for bare titles the best of the other list first.
+    """
+    intent = F.when(F.col("mode") == "movie", "movie").otherwise(text.media_intent(F.col("raw")))
+    movie, series = names.movie_input(F.col("raw")), names.series_input(F.col("raw"))
+    asked = messages.where("raw IS NOT NULL AND trim(raw) != ''").select("id", intent.alias("intent"), movie["movie"].alias("movie"), movie["year"].alias("year"), series["series"].alias("series"), series["season"].alias("season"), series["episode"].alias("episode"))
+    asked = stored(asked)
+
+    def candidates(query: str, kinds: tuple, listed: DataFrame, own: str):
+        mine = asked.where(F.col("intent").isin(*kinds))
+        best = titles.ranked(mine.select(F.col(query).alias("query")), listed.select("title").distinct(), k)
+        found = best.join(listed, "title")
+        met = mine.join(found.withColumnRenamed("query", query).withColumnRenamed("year", "found_year") if own == "movie" else found.withColumnRenamed("query", query).withColumn("found_year", F.lit(0)), query, "left")
+        order = W.partitionBy("id").orderBy(F.desc("score"), F.desc(F.col("found_year") == F.col("year")), "title", F.col("catalogue_id").asc_nulls_last())
+        met = met.withColumn("rank", F.row_number().over(order)).withColumn("lead", F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0))).withColumn("others", F.lead("title").over(order).isNotNull())
+        return met.where(F.col("rank") <= k).withColumn("media", F.lit(own))
+
+    films = candidates("movie", ("movie", "ambiguous"), movies, "movie")
+    series_ = candidates("series", ("tv", "ambiguous"), shows, "tv")
+    score, gap = F.coalesce("score", F.lit(0.0)), F.coalesce("lead", F.lit(0.0))
+    confidence, issue = titles.movie_decision(score, gap, F.col("year"), F.coalesce("found_year", F.lit(0)), F.col("others"), F.col("catalogue_id").isNotNull())
+    columns = ["id", "intent", "media", "rank", "title", "catalogue_id", "score", "lead"]
+    films = films.select(*columns, F.coalesce("found_year", F.lit(0)).alias("year"), F.lit(None).cast("int").alias("season"), F.lit(None).cast("int").alias("episode"), confidence.alias("confidence"), issue.alias("issue"))
+    held = F.coalesce(F.element_at("episodes", F.col("season")), F.lit(0))
+    confidence, issue = titles.tv_decision(score, gap, F.col("episode"), held, F.col("others"))
+    series_ = series_.select(*columns, F.lit(0).alias("year"), "season", "episode", confidence.alias("confidence"), issue.alias("issue"))
+    every = stored(films.unionByName(series_))
+
+    first = every.where("rank = 1")
+    score_of = lambda media: F.coalesce(F.max(F.when(F.col("media") == media, F.col("score"))), F.lit(0.0))
+    won = first.groupBy("id", "intent").agg(titles.bare_title(score_of("movie"), score_of("tv")).alias("bare"), F.bool_or(F.col("media") == "movie").alias("film"))
+    won = won.select("id", F.when(F.col("intent") == "ambiguous", F.when(F.col("bare") == "tv", "tv").otherwise("movie")).otherwise(F.col("intent")).alias("media"), ((F.col("intent") == "ambiguous") & (F.col("bare") == "ambiguous")).alias("unclear"))
+    top = first.join(won, ["id", "media"])
+    others = every.join(won.withColumnRenamed("media", "winner"), "id").where("catalogue_id IS NOT NULL AND NOT (media = winner AND rank = 1)")
+    other_list = F.when(F.col("media") != F.col("winner"), 0).otherwise(1)
+    by_place = others.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(other_list.alias("list"), "rank", "media", "title", "catalogue_id"))), 1, 2).alias("found"))  # ``k`` rows of two lists
+    out = top.join(by_place, "id", "left")
+    alternatives = F.coalesce(F.transform("found", lambda a: F.struct(a["media"].alias("media"), a["title"].alias("title"), a["catalogue_id"].alias("catalogue_id"))), F.array().cast("array<struct<media:string,title:string,catalogue_id:bigint>>"))
+    return out.select("id", "media", "title", F.col("catalogue_id").cast("long"), "year", "season", "episode", "score", F.col("lead").alias("gap"), F.when(F.col("unclear"), "low").otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("unclear"), "ambiguous").otherwise(F.col("issue")).alias("issue"), alternatives.alias("alternatives"))
