@@ -1,4 +1,4 @@
-"""Repeated n-grams, phrasal verbs and example lines. Phrases meet texts by equality of token n-grams, never by scans of all pairs."""
+"""Repeated n-grams, phrasal verbs and example lines. Phrases meet texts by equality of tokens or in one pass of an automaton, never by scans of all pairs."""
 
 from __future__ import annotations
 
@@ -11,7 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..functions.matching import Phrases
 from ..functions.python import Tokens, token_slices
+from ..functions.scratch import stored
+
+#: Phrases of a list that one automaton holds.
+MOST_LISTED = 200_000
 
 
 def grams(tokens: Column, least: int, most: int) -> Column:
@@ -100,6 +105,37 @@ def phrasal_counts(docs: DataFrame) -> DataFrame:
     return both.mapInArrow(count, "doc_id long, phrase string, n long, size int")
 
 
+def listed_counts(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """doc_id, phrase, n: how often each phrase of ``listed`` (phrase, lower case) stands in each document (one row) at word bounds,
+    occurrences that overlap another of the same phrase left out; a phrase listed twice counts twice.
+
+    An automaton over the list reads every text once.  A list of over ``MOST_LISTED`` phrases is cut by hash, and the
+    texts are read once for each cut, so no task holds more.
+    """
+    times = stored(listed.where("phrase IS NOT NULL AND phrase != ''").groupBy("phrase").agg(F.count(F.lit(1)).alias("times")))
+    cuts = -(-times.count() // MOST_LISTED)
+    lower = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+
+    def of(cut: int) -> DataFrame:
+        known = {r["phrase"]: r["times"] for r in times.where(F.pmod(F.xxhash64("phrase"), F.lit(cuts)) == cut).collect()}  # about MOST_LISTED
+        sent = docs.sparkSession.sparkContext.broadcast(known)
+
+        def count(batches):
+            times = sent.value
+            matcher = Phrases(list(times))
+            for batch in batches:
+                rows = [(i, p, n * times[p]) for i, x in enumerate(batch.column(1).to_pylist()) if x for p, n in matcher.counts(x).items()]
+                at, found, n = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["doc_id", "phrase", "n"])
+
+        return lower.mapInArrow(count, "doc_id long, phrase string, n long")
+
+    out = of(0) if cuts else lower.select("doc_id", F.lit("").alias("phrase"), F.lit(0).cast("long").alias("n")).where("false")
+    for cut in range(1, cuts):
+        out = out.unionByName(of(cut))
+    return out
+
+
 def dictionary_counts(docs: DataFrame) -> DataFrame:
     """doc_id, phrase, n: occurrences of listed phrases without ``to``."""
     return phrasal_counts(docs).where((F.col("size") == 0) & ~to_phrase(F.col("phrase"))).drop("size")
@@ -143,20 +179,30 @@ def word_examples(lines: DataFrame, words: DataFrame, k: int = 2, least: int = 1
 def phrase_examples(docs: DataFrame, phrases: DataFrame, k: int = 2, least: int = 10, most: int = 260) -> DataFrame:
     """doc_id, phrase, place, sentence: sentences with the phrase at word bounds first, then such as hold it anyhow.
 
-    Phrases (doc_id, phrase) of two words or more. A longer phrase's second word stands whole in all its sentences and
-    meets them by equality; phrases of two words meet their document's sentences.
+    A document's phrases (doc_id, phrase, of two words or more) come to its row, and one automaton over them reads its sentences, so
+    neither sentences nor phrases are multiplied.
     """
-    told = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"), least, most)).alias("at", "sentence"))
-    told = told.withColumn("joined", F.concat(F.lit(" "), F.array_join(text.joined_tokens(F.col("sentence")), " "), F.lit(" ")))
-    parts = F.split("phrase", " ")
-    spots = told.select("*", F.explode(F.array_distinct(text.tokens(F.col("sentence")))).alias("inner"))
-    long = spots.join(phrases.where(F.size(parts) > 2).select("doc_id", "phrase", parts[1].alias("inner")), ["doc_id", "inner"]).drop("inner")
-    met = long.unionByName(told.join(phrases.where(F.size(parts) == 2).select("doc_id", "phrase"), "doc_id"))
-    bounded = F.col("joined").contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    held = met.where(bounded | F.lower("sentence").contains(F.col("phrase"))).withColumn("loose", F.when(bounded, 0).otherwise(1))
-    best = held.groupBy("doc_id", "phrase", "sentence").agg(F.min(F.struct("loose", "at")).alias("found"))
-    order = W.partitionBy("doc_id", "phrase").orderBy("found.loose", "found.at")
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("doc_id", "phrase", "place", "sentence")
+    asked = phrases.where(F.size(F.split("phrase", " ")) > 1).groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))  # of one document
+    told = text.sentences(F.col("text"), least, most)
+    joined = F.transform("told", lambda x: F.concat(F.lit(" "), F.array_join(text.joined_tokens(x), " "), F.lit(" ")))
+    rows = docs.join(asked, "doc_id").select(F.col("doc_id").cast("long"), "phrases", told.alias("told")).select("*", joined.alias("joined"), F.transform("told", F.lower).alias("lower"))
+
+    def search(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for row, (names, told, joined, lower) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True)):
+                whole, loose, found = Phrases([f" {p} " for p in names]), Phrases(names), {}
+                for at, (sentence, one, low) in enumerate(zip(told, joined, lower, strict=True)):
+                    bounded = {p[1:-1] for _, p in whole.found(one)}
+                    for p in bounded | {p for _, p in loose.found(low)}:
+                        own = found.setdefault(p, {})
+                        own[sentence] = min(own.get(sentence, (2, 0)), (int(p not in bounded), at))
+                for p, own in found.items():
+                    out += [(row, p, place, x) for place, x in enumerate(sorted(own, key=own.__getitem__)[:k], 1)]
+            at, names, places, told = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(told, pa.string())], ["doc_id", "phrase", "place", "sentence"])
+
+    return rows.mapInArrow(search, "doc_id long, phrase string, place int, sentence string")
 
 
 def legacy_examples(lines: DataFrame, words: DataFrame, k: int = 3, least: int = 10) -> DataFrame:
@@ -173,13 +219,22 @@ def legacy_examples(lines: DataFrame, words: DataFrame, k: int = 3, least: int =
 
 
 def judge_examples(lines: DataFrame, phrases: DataFrame, k: int = 2, least: int = 8, most: int = 220) -> DataFrame:
-    """phrase, place, line: for each phrase its first ``k`` distinct lines, cut to ``most``."""
+    """phrase, place, line: for each phrase its first ``k`` distinct lines, cut to ``most``.
+
+    Lines are indexed by their tokens, and each phrase meets the lines of its rarest token alone, which are then read for all of it.
+    """
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"<[^>]+>", ""), r"\[.*?\]", ""), r"\s+", " "))
     shown = lines.select("at", clean.alias("line")).where(F.length("line") >= least)
-    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    own = shown.select("at", "line", F.explode(F.array_distinct(grams(text.joined_tokens(F.col("line")), 1, longest))).alias("phrase"))
-    own = own.withColumn("line", F.substring("line", 1, most))
-    first = own.join(phrases.select("phrase").distinct(), "phrase").groupBy("phrase", "line").agg(F.min("at").alias("at"))
+    spoken = shown.select("at", "line", text.joined_tokens(F.col("line")).alias("tokens"))
+    spots = spoken.select("at", "line", "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
+    seen = spots.groupBy("token").agg(F.count(F.lit(1)).alias("lines"))
+    asked = phrases.select("phrase").distinct().select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("token"))
+    # a phrase is looked up under its rarest token; one with a token that no line has gets a null, which joins nothing
+    keys = asked.join(seen, "token", "left").groupBy("phrase").agg(F.min_by(F.struct("token", "lines"), F.struct(F.coalesce("lines", F.lit(0)), "token")).alias("rarest"))
+    keys = keys.where("rarest.lines IS NOT NULL").select("phrase", F.col("rarest.token").alias("token"))
+    held = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    own = spots.join(keys, "token").where(held).withColumn("line", F.substring("line", 1, most))
+    first = own.groupBy("phrase", "line").agg(F.min("at").alias("at"))
     order = W.partitionBy("phrase").orderBy("at", "line")
     return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("phrase", "place", "line")
 

@@ -86,12 +86,12 @@ S_NOT_TO = "NOT (contains(phrase, ' to ') OR ends_with(phrase, ' to') OR starts_
 S_PHRASAL = rf"""listed_verbs AS (SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in fixed.PHRASAL_VERBS)}) AS z(phrase)),
 dict AS (SELECT phrase, count(*) AS times FROM listed_verbs WHERE {S_NOT_TO} GROUP BY phrase),
 sp AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_ ]| {{2,}}', ' | ', 'g'), ' +'), lambda x: x <> '') AS a FROM documents),
-sg AS (SELECT doc_id, array_to_string(a[i:i + k - 1], ' ') AS phrase FROM (SELECT doc_id, a, k, unnest(range(1, len(a) - k + 2)) AS i FROM sp, (VALUES (2), (3)) AS z(k))),
+sg AS (SELECT doc_id, array_to_string(a[i:i + k - 1], ' ') AS phrase FROM (SELECT doc_id, a, k, i FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM sp), (VALUES (2), (3)) AS z(k) WHERE a[i] IN (SELECT string_split(phrase, ' ')[1] FROM listed_verbs) AND i + k - 1 <= len(a))),
 dc AS (SELECT doc_id, phrase, CAST(sum(times) AS BIGINT) AS n FROM sg JOIN dict USING (phrase) GROUP BY ALL),
 tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS a FROM documents),
 tw AS (SELECT doc_id, a[i] AS x, a[i + 1] AS y, a[i + 2] AS z FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM tk)),
-d2 AS (SELECT doc_id, x || ' ' || y AS phrase, count(*) AS n FROM tw WHERE regexp_full_match(y, '{'|'.join(fixed.PARTICLES)}') AND x || ' ' || y NOT IN (SELECT phrase FROM listed_verbs) GROUP BY ALL HAVING {S_NOT_TO}),
-d3 AS (SELECT doc_id, x || ' ' || y || ' ' || z AS phrase, count(*) AS n FROM tw WHERE regexp_full_match(y, '{'|'.join(fixed.PARTICLES)}') AND z IN ({listed(fixed.THIRD_WORDS)})
+d2 AS (SELECT doc_id, x || ' ' || y AS phrase, count(*) AS n FROM tw WHERE y IN ({listed(fixed.PARTICLES)}) AND x || ' ' || y NOT IN (SELECT phrase FROM listed_verbs) GROUP BY ALL HAVING {S_NOT_TO}),
+d3 AS (SELECT doc_id, x || ' ' || y || ' ' || z AS phrase, count(*) AS n FROM tw WHERE y IN ({listed(fixed.PARTICLES)}) AND z IN ({listed(fixed.THIRD_WORDS)})
   AND x || ' ' || y NOT IN (SELECT phrase FROM listed_verbs) AND x || ' ' || y || ' ' || z NOT IN (SELECT phrase FROM listed_verbs) GROUP BY ALL),
 pm AS (SELECT doc_id, phrase, CAST(sum(n) AS BIGINT) AS n, bool_or(f) AS from_dictionary FROM (SELECT *, true AS f FROM dc UNION ALL SELECT *, false FROM d2 UNION ALL SELECT *, false FROM d3) WHERE {S_NOT_TO} GROUP BY ALL)"""
 
@@ -325,6 +325,20 @@ def phrasal_provenance(spark, sf_dir):
     return phrases.phrasal_verbs(table(spark, sf_dir, "documents")).groupBy("from_dictionary").agg(F.count(F.lit(1)).alias("phrases"), F.sum("n").alias("n"))
 
 
+S_PAIRS = r"""listed AS (SELECT DISTINCT x || ' ' || y AS phrase FROM (SELECT a[i] AS x, a[i + 1] AS y FROM (SELECT a, unnest(range(1, len(a))) AS i FROM (SELECT regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS a FROM benchmark))) WHERE x <> y AND length(x) > 1 AND length(y) > 1)"""
+
+
+@query(rf"""WITH {S_PAIRS}, tx AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_ ]| {{2,}}', ' | ', 'g'), ' +') AS a FROM documents),
+w AS (SELECT doc_id, a[i] || ' ' || a[i + 1] AS phrase FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM tx))
+SELECT doc_id, phrase, count(*) AS n FROM w JOIN listed USING (phrase) GROUP BY ALL""")
+def listed_phrase_counts(spark, sf_dir):
+    """How often every document holds each pair of neighbouring words of the benchmark items, the stand-in for a phrase dictionary."""
+    words = table(spark, sf_dir, "benchmark").select(text.tokens(F.col("text")).alias("a")).where("size(a) > 1")
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("a") - 1), lambda i: F.struct(F.get("a", i - 1).alias("x"), F.get("a", i).alias("y")))).alias("p"))
+    listed_ = pairs.where("p.x != p.y AND length(p.x) > 1 AND length(p.y) > 1").select(F.concat_ws(" ", "p.x", "p.y").alias("phrase")).distinct()
+    return phrases.listed_counts(table(spark, sf_dir, "documents"), listed_)
+
+
 # ------------------------------------------------------------------ examples
 
 
