@@ -229,6 +229,20 @@ def test_encoder_gives_the_files_ids():
         assert np.frombuffer(one.ids(t), "<u4").tolist() == known.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_on_white_space_of_any_length():
+    from tokenizers import Tokenizer
+
+    one, known = packing.ByteBpe(packing.vocabulary_path()), Tokenizer.from_file(packing.vocabulary_path())
+    for t in ("\n" * 2_000_000, "a" + " " * 1_000_000 + "b", "x " * 300_000, "a\u3000" * 60_000):
+        assert np.frombuffer(one.ids(t), "<u4").tolist() == known.encode(t, add_special_tokens=False).ids
+
+
+def test_a_text_of_newlines_is_packed(spark):
+    rows = packing.packed(spark.createDataFrame([(1, "\n" * 2_000_000), (2, "short")], "doc_id long, text string")).collect()
+    whole = sum(r["length"] for r in rows if r["doc_id"] == 1)
+    assert whole == len(np.frombuffer(packing.ByteBpe(packing.vocabulary_path()).ids("\n" * 2_000_000), "<u4")) + 1 and max(r["length"] for r in rows) <= 1024
+
+
 def shingles(text):
     words = (text or "").translate({c: c + 32 for c in range(65, 91)}).translate({c: " " for c in (9, 10, 11, 12, 13)}).split(" ")
     words = [w for w in words if w]

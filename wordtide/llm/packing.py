@@ -14,6 +14,7 @@ packed as often as they stand; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -39,9 +40,12 @@ class ByteBpe:
     """Little-endian 32-bit ids of a text, as the ``tokenizers`` file gives them.
 
     ``tiktoken`` with the same ranks and split pattern gives the same ids several times as
-    fast; texts that hold one of the file's special strings go to ``tokenizers`` itself.
+    fast; texts that hold one of the file's special strings, or a run of white space of ``WHITE_RUN``
+    characters or more, which is too much for its regular expressions, go to ``tokenizers`` itself.
     """
 
+    WHITE_RUN = 100_000
+
     def __init__(self, path: str) -> None:
         import json
 
@@ -62,7 +66,8 @@ class ByteBpe:
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if not any(x in text for x in self.special):
+        white = len(text) >= self.WHITE_RUN and max(map(len, re.findall(r"\s+", text)), default=0) >= self.WHITE_RUN
+        if not white and not any(x in text for x in self.special):
             return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
         if self.slow is None:
             from tokenizers import Tokenizer
