@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from wordtide.llm import url_filter
 
 
@@ -28,7 +30,7 @@ def test_viterbi_against_all_splits():
         counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))): rng.randint(1, 50) for _ in range(6)}
         total, token = float(sum(counts.values()) * rng.choice([1, 9, 900])), "".join(rng.choice("abc") for _ in range(rng.randint(0, 25)))
         found = [(m, len(w), n) for w, n in counts.items() for m in range(len(token)) if token.startswith(w, m)]
-        words = url_filter.viterbi(token, found, total)
+        words = url_filter.viterbi(token, *(np.array(x, np.int64) for x in (zip(*found) if found else ([], [], []))), total)
         assert "".join(words) == token and abs(score(words, counts, total) - best_split(token, counts, total)) < 1e-9
 
 
@@ -71,7 +73,7 @@ def test_op7_against_plain_loops(spark, tmp_path):
                 out.append(f"#{len(t)}")
                 continue
             found = [(m, len(w), n) for w, n in vocabulary.items() for m in range(len(t)) if t.startswith(w, m)]
-            out += url_filter.viterbi(t, found, total)
+            out += url_filter.viterbi(t, *(np.array(x, np.int64) for x in (zip(*found) if found else ([], [], []))), total)
         return out
 
     seen = {"allow": Counter(), "block": Counter()}
@@ -102,3 +104,21 @@ def test_op7_against_plain_loops(spark, tmp_path):
         else:
             want = verdict(host, path)
             assert abs(r["score"] - want) < 1e-6 and r["verdict"] == ("allow" if want >= 0 else "block")
+
+
+def test_a_run_of_a_million_letters(spark):
+    """Words of one and two letters and one of twenty thousand; without a substring written for each place and length."""
+    draw = random.Random(4)
+    long = "".join(draw.choice("abcd") for _ in range(20_000))
+    run = "ab" * 240_000 + long + "xyz" * 166_666 + "ab"
+    counts = spark.createDataFrame([("a", 50), ("ab", 900), (long, 3)], "word string, n long")
+    got = url_filter.segmented(spark.createDataFrame([(run,), (run,), ("",)], "token string"), counts).collect()
+    assert {r["token"]: r["words"] for r in got} == {run: ["ab"] * 240_000 + [long, "xyz" * 166_666, "ab"], "": []}
+
+
+def test_substring_hashes():
+    run = "straße日本abcabc"
+    sums, inverse = url_filter.prefix_hashes(run)
+    for size in (1, 3, 5):
+        own = url_filter.substring_hashes(sums, inverse, size).tolist()
+        assert own == [int(url_filter.substring_hashes(*url_filter.prefix_hashes(run[i : i + size]), size)[0]) for i in range(len(run) - size + 1)]

@@ -6,9 +6,10 @@ urls are judged by multinomial naive Bayes over their words:
 
 * runs of letters in hosts and paths are cut into words by unigram Viterbi, over word counts
   of all the pages' visible text; a run of digits counts as its length;
-* the segmentation looks up only the substrings of distinct letter runs, by a join with the
-  word counts, so no vocabulary is held in a task; the dynamic program sees one run's
-  matches at a time;
+* the segmentation hashes all substrings of distinct letter runs that have a word's length, from prefix sums and
+  without writing them, and passes on those that a sieve of all words' hashes (``SIEVE_BITS`` bits,
+  whatever the vocabulary) lets through; these meet the word counts by a join, so no vocabulary is held in a task; the
+  dynamic program sees one run's matches at a time;
 * evidence is summed over distinct hosts and distinct path shapes (digits as 0) before it
   meets the pages, so a host with a third of all pages is segmented and scored once.
 
@@ -21,13 +22,18 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import asc_lower, met, stored
+from .shared import asc_lower, met, mixed, stored
+
+#: Bits of the sieve of words; with more words it lets more substrings through to the join.
+SIEVE_BITS = 1 << 25
 
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -57,43 +63,94 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def prefix_hashes(run: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a polynomial over a run's code points, and the inverse powers that make any substring's hash from two of them."""
+    points = np.frombuffer(run.encode("utf-32-le"), "<u4").astype(np.uint64)
+    base = 0x9E3779B97F4A7C15
+    powers, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(points), x, np.uint64)), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    return np.append(np.uint64(0), np.cumsum(mixed(points + np.uint64(1)) * powers[:-1], dtype=np.uint64)), inverse
+
+
+def substring_hashes(sums: np.ndarray, inverse: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every substring of ``size`` letters."""
+    n = len(sums) - size
+    return mixed((sums[size:] - sums[:n]) * inverse[:n] + np.uint64(size))
+
+
+def word_sieve(counts: DataFrame) -> np.ndarray:
+    """A bit for each hash of a word modulo ``SIEVE_BITS``; Spark joins the bits, and 64 of them make a row."""
+
+    def bits(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            at = np.array([substring_hashes(*prefix_hashes(w), len(w))[0] for w in words], np.uint64) % np.uint64(SIEVE_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(64)).astype(np.int32)), pa.array((np.uint64(1) << at % np.uint64(64)).view(np.int64))], ["at", "bits"])
+
+    rows = counts.where("word != ''").select("word").mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # SIEVE_BITS / 64 rows at most
+    sieve = np.zeros(SIEVE_BITS // 64, np.int64)
+    sieve[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return sieve.view(np.uint64)
+
+
 def segmented(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """token, words: the most likely split of each distinct token, of any length, into words; ``counts`` is read twice.
+    """token, words: the most likely split of each distinct token, of any length, into words; ``counts`` is read several times.
 
-    A token's substrings of the lengths that words have meet the words by equality.
+    A token's substrings of the lengths that words have pass the sieve of all words and meet the words by equality.
     """
     total, sizes = counts.agg(F.sum("n"), F.collect_set(F.length("word"))).first()  # one number for each length of a word
-    total, sizes = float(total or 1), F.array_sort(F.lit(sizes or [0]))
+    total, sizes = float(total or 1), sorted(sizes or [])
     runs = tokens.select("token").distinct()
-    spots = runs.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("at"))
-    spots = spots.select("token", "at", F.explode(F.filter(sizes, lambda x: x <= F.length("token") - F.col("at") + 1)).alias("size"))
-    spots = spots.withColumn("word", F.substr("token", "at", "size"))
-    found = spots.join(counts, "word").groupBy("token").agg(F.collect_list(F.struct("at", "size", "n")).alias("found"))  # a token's own matches
+    sent = runs.sparkSession.sparkContext.broadcast(word_sieve(counts))
+
+    def spot(batches):
+        sieve = sent.value
+        for batch in batches:
+            for k, token in enumerate(batch.column(0).to_pylist()):
+                sums, inverse = prefix_hashes(token)
+                for size in itertools.takewhile(lambda s: s <= len(token), sizes):
+                    if not size:
+                        continue
+                    h = substring_hashes(sums, inverse, size) % np.uint64(SIEVE_BITS)
+                    at = np.flatnonzero(sieve[h // np.uint64(64)] >> h % np.uint64(64) & np.uint64(1))
+                    for a in range(0, len(at), most := max(1, 1_000_000 // size)):
+                        part = at[a : a + most]
+                        own = pa.array(np.full(len(part), k))
+                        yield pa.RecordBatch.from_arrays([batch.column(1).take(own), batch.column(2).take(own), pa.array(part + 1, pa.int32()), pa.array([token[i : i + size] for i in part.tolist()], pa.string())], ["high", "low", "at", "word"])
+
+    named = runs.select("token", F.xxhash64("token").alias("high"), F.xxhash64("token", F.lit("run")).alias("low"))
+    spots = stored(named.mapInArrow(spot, "high long, low long, at int, word string"))
+    asked = stored(spots.groupBy("word").agg(F.count(F.lit(1)).alias("size")).join(counts, "word"))
+    found = met(spots, asked, "word").groupBy("high", "low").agg(F.collect_list(F.struct("at", F.length("word").alias("size"), "n")).alias("found"))  # a token's own matches
 
     def split(batches):
         for batch in batches:
-            words = [viterbi(token, [(m["at"] - 1, m["size"], m["n"]) for m in matches or ()], total) for token, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            words = []
+            for token, matches in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = [matches.values.field(c).to_numpy() for c in ("at", "size", "n")] if matches.is_valid else [np.zeros(0, np.int64)] * 3
+                words.append(viterbi(token, own[0] - 1, own[1], own[2], total))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["token", "words"])
 
-    return runs.join(found, "token", "left").mapInArrow(split, "token string, words array<string>")
+    return named.join(found, ["high", "low"], "left").select("token", "found").mapInArrow(split, "token string, words array<string>")
 
 
-def viterbi(token: str, found: list[tuple[int, int, int]], total: float) -> list[str]:
-    """The split of highest unigram probability; ``found`` has start, size and count of every known word in ``token``.
+def viterbi(token: str, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, total: float) -> list[str]:
+    """The split of highest unigram probability, from start, size and count of every known word in ``token``.
 
     An unknown word of k letters has probability 10**-k / (1 + total / 10), so it is never cut in two and its best start
     is known from the running maximum of best[start] + start * log(10): time grows with the letters and matches only.
     """
-    known: list[list[tuple[int, float]]] = [[] for _ in range(len(token) + 1)]
-    for start, size, n in found:
-        known[start + size].append((start, math.log(n / total)))
+    order = np.lexsort((starts, starts + sizes))
+    at, until, chance = starts[order].tolist(), (starts + sizes)[order].tolist(), np.log(counts[order] / total).tolist()
+    k, n = 0, len(at)
     new, letter = -math.log1p(total / 10), math.log(10)
     best, back = [0.0], [0]
     open_, opened = 0.0, 0
     for end in range(1, len(token) + 1):
         score, start = open_ + new - end * letter, opened
-        for at, p in known[end]:
-            score, start = max((score, start), (best[at] + p, at))
+        while k < n and until[k] == end:
+            if (best[at[k]] + chance[k], at[k]) > (score, start):
+                score, start = best[at[k]] + chance[k], at[k]
+            k += 1
         best.append(score)
         back.append(start)
         if score + end * letter >= open_:
@@ -120,16 +177,19 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
     number = F.regexp_like("token", F.lit(r"^\p{N}"))
     numbers = tokens.where(number).select("side", "unit", "allow", "block", F.concat(F.lit("#"), F.length("token")).alias("word"))
     letters = tokens.where(~number)
-    cut = letters.join(segmented(letters, stored(word_counts(pages, html_col))), "token").select("side", "unit", "allow", "block", F.explode("words").alias("word"))
+    met_often = letters.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    splits = stored(segmented(letters, stored(word_counts(pages, html_col))).join(met_often, "token"))
+    cut = met(letters, splits, "token").select("side", "unit", "allow", "block", F.explode("words").alias("word"))
     words = stored(cut.unionByName(numbers).groupBy("side", "unit", "word").agg(F.count(F.lit(1)).alias("times"), F.first("allow").alias("allow"), F.first("block").alias("block")))
 
-    seen = words.groupBy("side", "word").agg(F.sum(F.col("times") * F.col("allow")).alias("a"), F.sum(F.col("times") * F.col("block")).alias("b"))
+    seen = words.groupBy("side", "word").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("times") * F.col("allow")).alias("a"), F.sum(F.col("times") * F.col("block")).alias("b"))
     seen = stored(seen)
     a, b, v = seen.agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first()
     a, b = a or 0, b or 0
     weight = F.log((F.col("a") + 1) / F.lit(float(a + v + 1))) - F.log((F.col("b") + 1) / F.lit(float(b + v + 1)))
-    weights = seen.select("side", "word", (weight if a + b else F.lit(0.0)).alias("weight"))
-    scores = stored(words.join(weights, ["side", "word"]).groupBy("side", "unit").agg(F.sum(F.col("times") * F.col("weight")).alias("score")))
+    of = F.concat("side", F.lit(":"), "word")
+    weights = stored(seen.select(of.alias("of"), "size", (weight if a + b else F.lit(0.0)).alias("weight")))
+    scores = stored(met(words.withColumn("of", of), weights, "of").groupBy("side", "unit").agg(F.sum(F.col("times") * F.col("weight")).alias("score")))
     n = units.where("side = 'host'").agg(F.sum("allow"), F.sum("block")).first()
     prior = math.log(((n[0] or 0) + 1) / ((n[1] or 0) + 1))
 
