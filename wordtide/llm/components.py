@@ -2,7 +2,7 @@
 
 Kiveris et al., "Connected components in MapReduce and beyond".  A star needs one shuffle: the
 links of a node arrive sorted, the first one names its smallest neighbour, and all that
-follow are hung on it as they pass, so no node's links are held.  Repeated links are dropped
+follow are hung on it as they pass; a window's rows of one node spill to disk, and are one task's.  Repeated links are dropped
 where they meet.  Links live in shared-folder tables; the driver sees a count and a checksum.
 """
 

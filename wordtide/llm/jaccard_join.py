@@ -532,7 +532,6 @@ def linked_points(cells: DataFrame, links: DataFrame, sets: DataFrame, threshold
     members = cells.select("pivot", "point", "n", "left").unionByName(cells.groupBy("pivot").agg(F.max("pivot_n").alias("n"), F.max("pivot_left").alias("left")).select("pivot", F.col("pivot").alias("point"), "n", "left"))
     marks = sets.select("point", "bits").dropDuplicates(["point"])
     now = members.join(marks, "point").select(F.col("pivot").alias("cell"), "pivot", "point", "n", "left", "bits", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("flat"), F.lit(0).alias("visit"))
-    flat_pivots = PIVOTS
     while True:
         step = stored(visited(labelled(now, groups), threshold))
         pairs = step.where("a IS NOT NULL").select("a", "b")
@@ -551,9 +550,11 @@ def linked_points(cells: DataFrame, links: DataFrame, sets: DataFrame, threshold
         reach = stored(later.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("outside"), F.col("distance"))).alias("least")))
         large = stored(met(later, reach, "cell").where(F.col("outside") | (F.col("distance") >= F.col("least") - eps)).select(*CELL, "class", "outside"))
         sizes = stored(large.groupBy("cell").agg(F.count(F.lit(1)).alias("size")))
-        flat_pivots *= 4
-        place = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("outside"), F.xxhash64("point")))
-        subs = large.withColumn("place", place).where(F.col("place") <= F.when(F.col("flat"), flat_pivots).otherwise(PIVOTS))
+        # a flat cell gets four times the pivots in each of its own rounds; row_number under a constant is cut before the shuffle
+        rounds = large.where("flat").agg(F.max("visit")).first()[0] or 1
+        place, own = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("outside"), F.xxhash64("point"))), PIVOTS * F.pow(4, "visit").cast("long")
+        drawn = [large.where("NOT flat").withColumn("place", place).where(F.col("place") <= PIVOTS), large.where("flat").withColumn("place", place).where(F.col("place") <= PIVOTS * 4**rounds).where(F.col("place") <= own)]
+        subs = drawn[0].unionByName(drawn[1])
         subs = stored(subs.select("cell", F.col("point").alias("sub"), *(F.col(c).alias(f"sub_{c}") for c in TOLD_BY)))
         rest = large.join(subs.select("cell", F.col("sub").alias("point")), ["cell", "point"], "left_anti")
         parted = stored(against_pivots(large.where("NOT flat"), subs.select("cell", "sub"), sizes))
@@ -561,7 +562,7 @@ def linked_points(cells: DataFrame, links: DataFrame, sets: DataFrame, threshold
         measure(pairs.union(first.select(*ordered("pivot", "point"))).union(flat.select(*ordered("a", "b"))).union(parted.where("sub != point").select(*ordered("sub", "point"))))
         starred = told(first, "pivot").withColumn("visit", F.lit(1)).select(*CELL)
         regions = voronoi(told(parted.join(rest.select("cell", "point"), ["cell", "point"], "left_semi"), "sub"), sizes, threshold)
-        now = stored(again.unionByName(starred).unionByName(regions).unionByName(rest.where("flat").select(*CELL)))
+        now = stored(again.unionByName(starred).unionByName(regions).unionByName(rest.where("flat").withColumn("visit", F.col("visit") + 1).select(*CELL)))
         forget(step)
 
 
