@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators import tiers
+from . import formats
 
 TIER_SCHEMA = "word string, series_frequency long, english_frequency long, vocabulary_level string"
 
@@ -67,10 +68,14 @@ def english_frequencies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def levels(spark: SparkSession, path: str, highest: bool = False) -> DataFrame:
-    """word, level of a word list (csv, or a small workbook where its reader is installed): the lowest or highest of several."""
+    """word, level of a word list (csv, or the first sheet of workbooks below their first rows): the lowest or highest of several."""
     if path.endswith(".xlsx"):
-        sheet = pd.read_excel(path).iloc[:, :2].astype(str)
-        rows = spark.createDataFrame(sheet.values.tolist(), "word string, level string")
+        formats.register(spark)
+        cells = spark.read.format("workbook").option("first", "true").load(path)
+        broken = cells.where("error IS NOT NULL").select("path", "error").first()
+        if broken:
+            raise ValueError(f"{broken['path']}: {broken['error']}")
+        rows = cells.where("row > 1 AND cells[0] IS NOT NULL").select(F.get("cells", F.lit(0)).alias("word"), F.trim(F.get("cells", F.lit(1))).alias("level"))
     else:
         rows = spark.read.schema("word string, level string").option("header", True).csv(path)
     return tiers.one_level(rows.select(F.lower(F.trim("word")).alias("word"), "level"), highest)
