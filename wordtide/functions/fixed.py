@@ -1,53 +1,33 @@
 """Word lists and constants that results depend on."""
 
 # Fixed values, in the order in which they are defined. A phrase listed twice counts twice.
-PARTICLES = """
-up down out in on off away back over through
-around about along across by for with to into
-onto upon after before ahead aside apart together
-""".split()
+PARTICLES = [
+    "up", "down", "out", "in", "on", "off", "away", "back", "over", "through", "around", "about", "along", "across",
+    "by", "for", "with", "to", "into", "onto", "upon", "after", "before", "ahead", "aside", "apart", "together",
+]
 THIRD_WORDS = ["with", "for", "on", "in", "at", "by"]
 PHRASAL_VERBS = [
-    x.strip()
-    for x in """
-give up, look for, turn on, turn off, put on, take off,
-get up, sit down, come in, go out, come back, go back,
-look up, look down, look out, look after, look into,
-find out, figure out, work out, point out, turn out,
-break down, break up, break in, break out, break through,
-bring up, bring in, bring out, bring back, bring about,
-call off, call up, call on, call for, call back,
-come up, come down, come out, come in, come across,
-go on, go off, go through, go over, go along,
-pick up, pick out, pick on, put down, put off,
-put up, put out, put together, take on, take in,
-take over, take up, turn around, turn down, turn up,
-wake up, wake up, stand up, stand by, stand for,
-set up, set out, set off, set about, show up,
-show off, shut down, shut up, shut off, shut in,
-run into, run out, run over, run away, run across,
-make up, make out, make for, make off, make over,
-get on, get off, get in, get out, get back,
-get up, get down, get over, get through, get along,
-keep up, keep on, keep off, keep out, keep away,
-hold on, hold up, hold back, hold out, hold off,
-move on, move in, move out, move over, move along,
-carry on, carry out, carry over, carry off, carry away,
-check in, check out, check up, check on, check off,
-fill in, fill out, fill up, end up, wind up,
-catch up, catch on, catch out,
-deal with, do with, do without, go with, go without,
-come up with, put up with, keep up with,
-give in, give out, give away, give back, give off,
-let in, let out, let down, let up, let go,
-pass away, pass out, pass on, pass by, pass through,
-pull off, pull out, pull over, pull through, pull together,
-push on, push through, push ahead, push forward, push back,
-send off, send out, send away, send back, send in,
-throw away, throw out, throw off, throw up, throw in,
-try on, try out, try for, try back, wear out,
-write down, write up, write out, write off, write back
-""".replace("\n", " ").split(",")
+    "give up", "look for", "turn on", "turn off", "put on", "take off", "get up", "sit down", "come in", "go out",
+    "come back", "go back", "look up", "look down", "look out", "look after", "look into", "find out", "figure out",
+    "work out", "point out", "turn out", "break down", "break up", "break in", "break out", "break through",
+    "bring up", "bring in", "bring out", "bring back", "bring about", "call off", "call up", "call on", "call for",
+    "call back", "come up", "come down", "come out", "come in", "come across", "go on", "go off", "go through",
+    "go over", "go along", "pick up", "pick out", "pick on", "put down", "put off", "put up", "put out",
+    "put together", "take on", "take in", "take over", "take up", "turn around", "turn down", "turn up", "wake up",
+    "wake up", "stand up", "stand by", "stand for", "set up", "set out", "set off", "set about", "show up",
+    "show off", "shut down", "shut up", "shut off", "shut in", "run into", "run out", "run over", "run away",
+    "run across", "make up", "make out", "make for", "make off", "make over", "get on", "get off", "get in",
+    "get out", "get back", "get up", "get down", "get over", "get through", "get along", "keep up", "keep on",
+    "keep off", "keep out", "keep away", "hold on", "hold up", "hold back", "hold out", "hold off", "move on",
+    "move in", "move out", "move over", "move along", "carry on", "carry out", "carry over", "carry off",
+    "carry away", "check in", "check out", "check up", "check on", "check off", "fill in", "fill out", "fill up",
+    "end up", "wind up", "catch up", "catch on", "catch out", "deal with", "do with", "do without", "go with",
+    "go without", "come up with", "put up with", "keep up with", "give in", "give out", "give away", "give back",
+    "give off", "let in", "let out", "let down", "let up", "let go", "pass away", "pass out", "pass on", "pass by",
+    "pass through", "pull off", "pull out", "pull over", "pull through", "pull together", "push on", "push through",
+    "push ahead", "push forward", "push back", "send off", "send out", "send away", "send back", "send in",
+    "throw away", "throw out", "throw off", "throw up", "throw in", "try on", "try out", "try for", "try back",
+    "wear out", "write down", "write up", "write out", "write off", "write back",
 ]
 FRAGMENTS = ["s", "t", "m", "re", "ve", "ll", "d"]
 STOP_WORDS = sorted(set("""

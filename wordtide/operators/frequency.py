@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..functions.python import Tokens, token_slices
 
 
 def doc_words(docs: DataFrame) -> DataFrame:
@@ -26,9 +30,28 @@ def word_counts(words: DataFrame, *keys: str) -> DataFrame:
 
 def doc_counts(docs: DataFrame, singular: bool = True) -> DataFrame:
     """doc_id, source, word, n, english (n in English documents): the one pass over the texts that counts, frequencies and
-    thresholds are derived from."""
-    words = doc_lemmas(docs) if singular else doc_words(docs)
-    return words.groupBy("doc_id", "source", "word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("english"))
+    thresholds are derived from.  Words are counted within their document's row, without a shuffle; a doc_id of several rows has
+    rows of its own for each."""
+    words = text.words("text")
+    words = F.transform(words, text.singular) if singular else words
+
+    def count(batches):
+        for batch in token_slices(batches, 3):
+            tokens = Tokens(batch.column(3))
+            first, _, n = tokens.counted(tokens.starts(1), 1)
+            row = pa.array(tokens.row[first])
+            english = np.where(np.array(pc.fill_null(pc.equal(batch.column(2), "en"), False).to_pylist(), bool)[tokens.row[first]], n, 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), tokens.words.take(pa.array(tokens.code[first])), pa.array(n), pa.array(english)], ["doc_id", "source", "word", "n", "english"])
+
+    given = docs.select("doc_id", "source", F.col("lang").cast("string").alias("lang"), words.alias("words"))
+    kinds = dict(given.dtypes)
+    return given.mapInArrow(count, f"doc_id {kinds['doc_id']}, source {kinds['source']}, word string, n long, english long")
+
+
+def by_document(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, word, n of ``doc_counts``; rows are put together only where a doc_id has several documents."""
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    return counts.select("doc_id", "word", "n") if repeated.isEmpty() else summed(counts, "doc_id")
 
 
 def summed(counts: DataFrame, *keys: str) -> DataFrame:

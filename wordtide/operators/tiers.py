@@ -11,10 +11,11 @@ from ..functions import fixed, text
 def with_dimensions(counts: DataFrame, english: DataFrame, levels: DataFrame, lists: DataFrame) -> DataFrame:
     """(…, word, n) with english_frequency (0), vocabulary_level (N/A), easy and oxford flags.
 
-    The dimensions have one row per word; Spark broadcasts those that are small and joins the rest by word.
+    The dimensions have one row per word; they are joined with each other first, so that the counts meet one table.
     """
     flags = lists.groupBy("word").agg(F.bool_or(F.col("filter_class") == "easy").alias("easy"), F.bool_or(F.col("filter_class") == "oxford").alias("oxford"))
-    out = counts.join(english, "word", "left").join(levels.select("word", F.col("level").alias("vocabulary_level")), "word", "left").join(flags, "word", "left")
+    words = english.join(levels.select("word", F.col("level").alias("vocabulary_level")), "word", "full").join(flags, "word", "full")
+    out = counts.join(words, "word", "left")
     return out.fillna({"english_frequency": 0, "vocabulary_level": "N/A", "easy": False, "oxford": False})
 
 
@@ -118,14 +119,3 @@ def needs_level(rows: DataFrame, min_count: int = fixed.MIN_EPISODE_COUNT) -> Da
     """Low-English words without a level, often enough and on no list: those to ask an annotator about."""
     low = F.col("english_frequency") < F.col("english_threshold")
     return rows.where(low & (F.col("n") >= min_count) & ~F.col("easy") & ~F.col("oxford") & (level_rank(F.col("vocabulary_level")).isNull()))
-
-
-def name_tag(listed: Column, tagged: Column, english: Column) -> Column:
-    """name, fantasy or word: a list wins, then a model's tag, then no frequency at all."""
-    return F.when(listed, "name").when(F.lower(tagged).isin("name", "fantasy"), F.lower(tagged)).when(F.coalesce(english, F.lit(0)) == 0, "name").otherwise("word")
-
-
-def is_simple(word: Column, level: Column, easy: Column, english: Column, limit: int = fixed.SIMPLE_WORD_FREQ) -> Column:
-    """Words too simple to gloss."""
-    lv = F.upper(F.trim(level))
-    return lv.isin("A1", "A2") | easy | ((lv == "N/A") & (english > limit)) | word.rlike(r"(.)\1{2,}") | ((F.length(word) <= 4) & (english > limit))

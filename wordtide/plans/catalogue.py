@@ -86,10 +86,12 @@ S_NOT_TO = "NOT (contains(phrase, ' to ') OR ends_with(phrase, ' to') OR starts_
 S_PHRASAL = rf"""listed_verbs AS (SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in fixed.PHRASAL_VERBS)}) AS z(phrase)),
 dict AS (SELECT phrase, count(*) AS times FROM listed_verbs WHERE {S_NOT_TO} GROUP BY phrase),
 sp AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_ ]| {{2,}}', ' | ', 'g'), ' +'), lambda x: x <> '') AS a FROM documents),
-sg AS (SELECT doc_id, array_to_string(a[i:i + k - 1], ' ') AS phrase FROM (SELECT doc_id, a, k, i FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM sp), (VALUES (2), (3)) AS z(k) WHERE a[i] IN (SELECT string_split(phrase, ' ')[1] FROM listed_verbs) AND i + k - 1 <= len(a))),
+sz AS (SELECT doc_id, u[1] AS x, u[2] AS y, u[3] AS z FROM (SELECT doc_id, unnest(list_zip(a, a[2:], a[3:])) AS u FROM sp)),
+sv AS (SELECT * FROM sz WHERE y IS NOT NULL AND x IN (SELECT string_split(phrase, ' ')[1] FROM listed_verbs)),
+sg AS (SELECT doc_id, x || ' ' || y AS phrase FROM sv UNION ALL SELECT doc_id, x || ' ' || y || ' ' || z AS phrase FROM sv WHERE z IS NOT NULL),
 dc AS (SELECT doc_id, phrase, CAST(sum(times) AS BIGINT) AS n FROM sg JOIN dict USING (phrase) GROUP BY ALL),
 tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS a FROM documents),
-tw AS (SELECT doc_id, a[i] AS x, a[i + 1] AS y, a[i + 2] AS z FROM (SELECT doc_id, a, unnest(range(1, len(a))) AS i FROM tk)),
+tw AS (SELECT * FROM (SELECT doc_id, u[1] AS x, u[2] AS y, u[3] AS z FROM (SELECT doc_id, unnest(list_zip(a, a[2:], a[3:])) AS u FROM tk)) WHERE y IS NOT NULL),
 d2 AS (SELECT doc_id, x || ' ' || y AS phrase, count(*) AS n FROM tw WHERE y IN ({listed(fixed.PARTICLES)}) AND x || ' ' || y NOT IN (SELECT phrase FROM listed_verbs) GROUP BY ALL HAVING {S_NOT_TO}),
 d3 AS (SELECT doc_id, x || ' ' || y || ' ' || z AS phrase, count(*) AS n FROM tw WHERE y IN ({listed(fixed.PARTICLES)}) AND z IN ({listed(fixed.THIRD_WORDS)})
   AND x || ' ' || y NOT IN (SELECT phrase FROM listed_verbs) AND x || ' ' || y || ' ' || z NOT IN (SELECT phrase FROM listed_verbs) GROUP BY ALL),
@@ -122,7 +124,7 @@ def counted(spark, sf_dir, singular: bool = True) -> DataFrame:
 def tier_rows(spark, sf_dir, counts: DataFrame | None = None) -> DataFrame:
     counts = counts or counted(spark, sf_dir)
     levels = counts.select("word").distinct().withColumn("level", level_of("word"))
-    return pipelines.tier_lists(frequency.summed(counts, "doc_id"), frequency.english_counts(counts), levels, list_words(spark, sf_dir), "doc_id", max_english=MOST_ENGLISH)
+    return pipelines.tier_lists(frequency.by_document(counts, table(spark, sf_dir, "documents")), frequency.english_counts(counts), levels, list_words(spark, sf_dir), "doc_id", max_english=MOST_ENGLISH)
 
 
 # ------------------------------------------------------------------ tiers

@@ -17,7 +17,7 @@ from ..sources import files
 def tier_lists(counts: DataFrame, english: DataFrame, levels: DataFrame, lists: DataFrame, *keys: str, **options) -> DataFrame:
     """Tiers of every word of every episode (``keys``) from word counts (keys, word, n): dimensions, thresholds, rules."""
     own = frequency.without(counts, lists.where("filter_class = 'basic'").select("word").distinct())
-    rows = tiers.with_dimensions(frequency.long_enough(own), english, levels, lists)
+    rows = stored(tiers.with_dimensions(frequency.long_enough(own), english, levels, lists))  # read for the thresholds and for the tiers
     limits = frequency.thresholds(rows, *keys)
     return tiers.tiered(rows, limits, *keys, **options)
 
