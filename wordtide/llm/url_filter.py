@@ -22,7 +22,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import asc_lower, met, mixed, stored
+from .shared import asc_lower, met, mixed, slices, stored
 
 #: Bits of the sieve of words; with more words it lets more substrings through to the join.
 SIEVE_BITS = 1 << 25
@@ -83,7 +82,10 @@ def word_sieve(counts: DataFrame) -> np.ndarray:
     def bits(batches):
         for batch in batches:
             words = batch.column(0).to_pylist()
-            at = np.array([substring_hashes(*prefix_hashes(w), len(w))[0] for w in words], np.uint64) % np.uint64(SIEVE_BITS)
+            sums, inverse = prefix_hashes("".join(words))
+            sizes = np.array([len(w) for w in words], np.int64)
+            start = np.cumsum(sizes) - sizes
+            at = mixed((sums[start + sizes] - sums[start]) * inverse[start] + sizes.astype(np.uint64)) % np.uint64(SIEVE_BITS)
             yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(64)).astype(np.int32)), pa.array((np.uint64(1) << at % np.uint64(64)).view(np.int64))], ["at", "bits"])
 
     rows = counts.where("word != ''").select("word").mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # SIEVE_BITS / 64 rows at most
@@ -98,24 +100,28 @@ def segmented(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     A token's substrings of the lengths that words have pass the sieve of all words and meet the words by equality.
     """
     total, sizes = counts.agg(F.sum("n"), F.collect_set(F.length("word"))).first()  # one number for each length of a word
-    total, sizes = float(total or 1), sorted(sizes or [])
+    total, sizes = float(total or 1), np.array(sorted(x for x in sizes or [] if x), np.int64)
     runs = tokens.select("token").distinct()
     sent = runs.sparkSession.sparkContext.broadcast(word_sieve(counts))
 
     def spot(batches):
         sieve = sent.value
         for batch in batches:
-            for k, token in enumerate(batch.column(0).to_pylist()):
-                sums, inverse = prefix_hashes(token)
-                for size in itertools.takewhile(lambda s: s <= len(token), sizes):
-                    if not size:
-                        continue
+            tokens = batch.column(0).to_pylist()
+            lengths = np.array([len(t) for t in tokens], np.int64)
+            for first, last in slices(np.append(0, np.cumsum(lengths))):
+                joined, own = "".join(tokens[first:last]), lengths[first:last]
+                ends, owner = np.cumsum(own), np.repeat(np.arange(first, last), own)
+                start, until = np.repeat(ends - own, own), np.repeat(ends, own)
+                sums, inverse = prefix_hashes(joined)
+                for size in sizes[sizes <= own.max(initial=0)].tolist():
                     h = substring_hashes(sums, inverse, size) % np.uint64(SIEVE_BITS)
-                    at = np.flatnonzero(sieve[h // np.uint64(64)] >> h % np.uint64(64) & np.uint64(1))
+                    held = sieve[h // np.uint64(64)] >> h % np.uint64(64) & np.uint64(1) != 0
+                    at = np.flatnonzero(held & (np.arange(len(h)) + size <= until[: len(h)]))
                     for a in range(0, len(at), most := max(1, 1_000_000 // size)):
                         part = at[a : a + most]
-                        own = pa.array(np.full(len(part), k))
-                        yield pa.RecordBatch.from_arrays([batch.column(1).take(own), batch.column(2).take(own), pa.array(part + 1, pa.int32()), pa.array([token[i : i + size] for i in part.tolist()], pa.string())], ["high", "low", "at", "word"])
+                        of = pa.array(owner[part])
+                        yield pa.RecordBatch.from_arrays([batch.column(1).take(of), batch.column(2).take(of), pa.array(part - start[part] + 1, pa.int32()), pa.array([joined[i : i + size] for i in part.tolist()], pa.string())], ["high", "low", "at", "word"])
 
     named = runs.select("token", F.xxhash64("token").alias("high"), F.xxhash64("token", F.lit("run")).alias("low"))
     spots = stored(named.mapInArrow(spot, "high long, low long, at int, word string"))
