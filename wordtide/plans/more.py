@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, names, text
+from ..functions.scratch import stored
 from ..operators import activity, frequency, phrases, reports, tags, tiers
 from .catalogue import S_CANDIDATES, S_ENGLISH, S_EVENTS, S_LEVEL, S_LISTS, S_TOK, S_TOP, counted, level_of, list_words, listed, ngram_topk, ngrams_filtered, query, table
 
@@ -274,8 +275,14 @@ def merged_word_lists(spark, sf_dir):
 
 @query(f"WITH {S_LISTS} SELECT filter_class, word, CAST(row_number() OVER (PARTITION BY filter_class ORDER BY lower(word)) AS INTEGER) AS place FROM lists")
 def alphabetical_lists(spark, sf_dir):
-    order = W.partitionBy("filter_class").orderBy(F.lower("word"), "word")
-    return list_words(spark, sf_dir).select("filter_class", "word", F.row_number().over(order).alias("place"))
+    """Words with their place in their list: ranges of words are sorted and numbered apart, and start where the ranges before them end."""
+    words = list_words(spark, sf_dir).select("filter_class", "word")
+    ranges = stored(words.repartitionByRange("filter_class", F.lower("word"), "word").withColumn("range", F.spark_partition_id()))
+    sizes = ranges.groupBy("filter_class", "range").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(W.partitionBy("filter_class").orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # a row for each range
+    starts = sizes.select("filter_class", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("filter_class", "range").orderBy(F.lower("word"), "word"))
+    return ranges.withColumn("own", own).join(starts, ["filter_class", "range"]).select("filter_class", "word", (F.col("before") + F.col("own")).cast("int").alias("place"))
 
 
 # ------------------------------------------------------------------ phrases
@@ -428,9 +435,11 @@ def title_agreement(spark, sf_dir):
     return parts(spark, sf_dir, 3).select("p_partkey", text.titles_agree(F.col("p_name"), folder).alias("agrees"))
 
 
-@query(f"WITH {S_TOK}, {S_RANKED}, z AS (SELECT doc_id, word, place FROM r WHERE length(word) = 7) SELECT doc_id, count(*) AS words, string_agg(word, ', ' ORDER BY place) AS batch FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM z) WHERE k <= 20 GROUP BY doc_id")
+@query(f"""WITH {S_TOK}, {S_RANKED}, z AS (SELECT doc_id, word, place, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1) // 20 AS part FROM r WHERE length(word) = 7)
+SELECT doc_id, part, count(*) AS words, string_agg(word, ', ' ORDER BY place) AS batch FROM z GROUP BY doc_id, part""")
 def prompt_batches(spark, sf_dir):
-    """The first batch of twenty words of seven letters that an annotator is asked about, in order of frequency."""
-    few = ranked_words(spark, sf_dir).where(F.length("word") == 7).withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy("place"))).where("k <= 20")
+    """All words of seven letters that an annotator is asked about, in batches of twenty, each document's in order of frequency."""
+    asked = ranked_words(spark, sf_dir).where(F.length("word") == 7)
+    numbered = asked.withColumn("part", F.floor((F.row_number().over(W.partitionBy("doc_id").orderBy("place")) - 1) / 20))
     told = F.array_sort(F.collect_list(F.struct("place", "word")))  # twenty at most
-    return few.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.array_join(F.transform(told, lambda x: x["word"]), ", ").alias("batch"))
+    return numbered.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("words"), F.array_join(F.transform(told, lambda x: x["word"]), ", ").alias("batch"))
