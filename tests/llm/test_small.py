@@ -1,5 +1,6 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -405,3 +406,43 @@ def test_utf8_of_sliced_columns():
     column = pa.array(["ab", None, "é", ""])[1:]
     data, offsets = shared.utf8(column)
     assert bytes(data) == "é".encode() and offsets.tolist() == [0, 0, 2, 2]
+
+
+def test_large_cells_are_parted_into_regions_or_stay_flat(spark):
+    """A cell of two tight groups far apart is split, and a point between them stands in both regions; one of scattered points is not."""
+    place = {1: 0.0, 2: 0.02, 3: 0.05, 4: 0.9, 5: 0.92, 6: 0.97, 7: 0.1}  # on a line, so that distances keep the triangle inequality
+    rows = [("tight", p, s, abs(place[p] - place[s])) for p in place for s in (1, 4)]
+    rows += [("tight", 8, s, d) for s, d in ((1, 0.5), (4, 0.4))]
+    rows += [("loose", p, s, 0.6 + 0.01 * p) for p in range(10, 20) for s in (30, 31, 32)]
+    measured = spark.createDataFrame(rows, "name string, point long, sub long, distance double").select(
+        F.xxhash64("name").alias("cell"), F.lit(0).cast("long").alias("pivot"), "point", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("left"), F.lit(b"").alias("bits"), "distance", F.lit(False).alias("flat"), F.lit(1).alias("visit"), "sub"
+    )
+    out = jaccard_join.voronoi(measured, None, 75).collect()
+    regions = collections.defaultdict(set)
+    for r in out:
+        regions[r["pivot"], r["flat"]].add(r["point"])
+    assert regions[1, False] == {1, 2, 3, 7, 8} and regions[4, False] == {4, 5, 6, 8}
+    assert regions[30, True] == set(range(10, 20)) and len(regions) == 3
+
+
+def test_jaccard_cell_of_scattered_points_stays_flat(spark, monkeypatch):
+    """One text in sixty versions of which few are linked: the cell's windows reach everywhere, and its flat rounds find all links."""
+    rng = random.Random(11)
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "FLAT_LEAF", 6)
+    flat = []
+
+    def counted(measured, sizes, threshold, own=jaccard_join.voronoi):
+        out = own(measured, sizes, threshold)
+        flat.append(out.where("flat").count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "voronoi", counted)
+    data = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(100)]
+        for at in rng.sample(range(100), rng.choice([1, 2, 2, 3])):
+            words[at] = f"own{rng.randrange(8)}"
+        data.append((i, " ".join(words)))
+    got = {tuple(r) for r in jaccard_join.linked_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute_components(data) and flat and max(flat) > 0
