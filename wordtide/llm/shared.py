@@ -99,10 +99,13 @@ def small(batches, rows: int = 512):
 
 
 def kept_by_worker(make, *args):
-    """``make(*args)``, made once in each Python worker and used again by its later tasks."""
+    """``make(*args)``, made once in each Python worker and used again by its later tasks until another one is asked for: a worker
+    that serves several stages holds one."""
     state = sys.modules.setdefault("wordtide_worker_state", types.ModuleType("wordtide_worker_state")).__dict__
     key = (make.__name__, args)
     if key not in state:
+        for old in [k for k in state if isinstance(k, tuple)]:
+            del state[old]
         state[key] = make(*args)
     return state[key]
 
