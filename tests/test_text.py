@@ -95,3 +95,13 @@ def test_python_functions(spark):
     assert got == [0.25, 0.5, 0.0]
     assert one(spark, lambda s: python.message_chunks(s, 5), "ab\ncdefghij\nk") == ["ab\n", "cdefg", "hij\nk"]
     assert one(spark, lambda s: python.message_chunks(s, 5), "") == []
+
+
+def test_base64url_of_long_texts(spark):
+    import base64
+
+    given = [None, "", *("é?>" * k + "x" * (k % 3) for k in range(1, 60)), "a" * 57, "a" * 58]
+    link = text.base64url(F.col("t"))
+    rows = spark.createDataFrame([(x,) for x in given], "t string").select("t", link.alias("link"), text.from_base64url(link).alias("back")).collect()
+    for r in rows:
+        assert r["back"] == r["t"] and r["link"] == (r["t"] if r["t"] is None else base64.urlsafe_b64encode(r["t"].encode()).decode().rstrip("="))
