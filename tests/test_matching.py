@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from wordtide.functions.matching import Phrases
 from wordtide.operators import phrases
@@ -63,3 +64,26 @@ def test_judge_examples_by_the_rarest_token(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "slice(" not in plan  # no n-grams are put together
+
+
+def test_judge_examples_send_few_lines(spark, monkeypatch):
+    """Frequent phrases send their first lines of each task alone, by nested positions with nulls, and no line is lost by cuts or flushes."""
+    lines = [((i // 7, i % 7 if i % 5 else None), f"the cat sat on line {i % 40} again" + " and on" * (i % 3)) for i in range(400)]
+    df = spark.createDataFrame([(a, x) for a, x in lines], "at struct<a:int,b:int>, line string").repartition(4)
+    asked = ["the", "cat sat", "sat the", "on line 7", "a  b", "", "again and on", None]
+    phrases_ = spark.createDataFrame([(p,) for p in asked], "phrase string")
+    want = {}
+    for p in filter(None, asked):
+        first = {}
+        for (a, b), x in lines:
+            if f" {p} " in f" {x} ":
+                key = (a, b is not None, b or 0)
+                first[x] = min(first.get(x, key), key)
+        want |= {(p, i): x for i, x in enumerate(sorted(first, key=lambda x: (first[x], x))[:2], 1)}
+    for listed, held in ((200_000, 100_000), (2, 1)):
+        monkeypatch.setattr(phrases, "MOST_LISTED", listed)
+        monkeypatch.setattr(phrases, "MOST_HELD", held)
+        got = {(r["phrase"], r["place"]): r["line"] for r in phrases.judge_examples(df, phrases_).collect()}
+        assert got == want
+    sent = phrases.first_lines(df.select("at", "line", F.split("line", " ").alias("tokens")), phrases_.where("phrase = 'the'"), 2)
+    assert sent.count() <= 4 * 2
