@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from wordtide.annotate import base
-from wordtide.functions import fixed
+from wordtide.functions import fixed, text
 from wordtide.operators import activity, frequency, phrases, tiers, titles
 from wordtide.plans import catalogue, pipelines
 
@@ -136,3 +136,19 @@ def test_examples_of_two_words_inside_longer_ones(spark):
     asked = spark.createDataFrame([(0, "look for"), (0, "give up"), (1, "look for")], "doc_id long, phrase string")
     got = rows(phrases.phrase_examples(told, asked), "doc_id", "phrase", "place", "sentence")
     assert got == [(0, "look for", 1, "Please look for the key"), (0, "look for", 2, "We look forward to it"), (1, "look for", 1, "I look forward to that")]
+
+
+def test_words_are_ranked_within_their_row(spark):
+    from wordtide.functions.python import singular_form
+
+    words = ["cats", "cat", "is", "bus", "ties", "flies", "boxes", "wolves", "gas", "glass", "s", "wishes", "yes", "vs", "ves", "lives", "dies", "sizes"]
+    df = spark.createDataFrame([(x,) for x in words], "w string")
+    assert [singular_form(x) for x in words] == [r[0] for r in df.select(text.singular(F.col("w"))).collect()]
+    docs = [(1, "x", "en", "b cats a cat b a cat"), (2, "x", "de", ""), (3, "x", "en", None), (4, "x", "en", "z y z")]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")
+    rows = lambda d, k=None: sorted(tuple(r) for r in frequency.ranked_words(d, k).select("doc_id", "place", "word", "n", "first_pos", "total").collect())
+    want = [(1, 1, "cat", 3, 1, 3), (1, 2, "b", 2, 0, 3), (1, 3, "a", 2, 2, 3), (4, 1, "z", 2, 0, 2), (4, 2, "y", 1, 1, 2)]
+    assert rows(df) == want and rows(df, 1) == [x for x in want if x[1] == 1]
+    assert "Exchange" not in frequency.ranked_words(df)._jdf.queryExecution().executedPlan().toString()
+    twice = df.union(spark.createDataFrame([(4, "x", "en", "y y y z")], df.schema))
+    assert [x for x in rows(twice) if x[0] == 4] == [(4, 1, "y", 4, 0, 2), (4, 2, "z", 3, 0, 2)]

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..functions.python import Tokens, token_slices
+from ..functions.python import Tokens, singular_form, token_slices
 
 
 def doc_words(docs: DataFrame) -> DataFrame:
@@ -32,26 +32,58 @@ def doc_counts(docs: DataFrame, singular: bool = True) -> DataFrame:
     """doc_id, source, word, n, english (n in English documents): the one pass over the texts that counts, frequencies and
     thresholds are derived from.  Words are counted within their document's row, without a shuffle; a doc_id of several rows has
     rows of its own for each."""
-    words = text.words("text")
-    words = F.transform(words, text.singular) if singular else words
 
     def count(batches):
         for batch in token_slices(batches, 3):
-            tokens = Tokens(batch.column(3))
+            tokens = Tokens(batch.column(3)).renamed(singular_form) if singular else Tokens(batch.column(3))
             first, _, n = tokens.counted(tokens.starts(1), 1)
             row = pa.array(tokens.row[first])
             english = np.where(np.array(pc.fill_null(pc.equal(batch.column(2), "en"), False).to_pylist(), bool)[tokens.row[first]], n, 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), tokens.words.take(pa.array(tokens.code[first])), pa.array(n), pa.array(english)], ["doc_id", "source", "word", "n", "english"])
 
-    given = docs.select("doc_id", "source", F.col("lang").cast("string").alias("lang"), words.alias("words"))
+    given = docs.select("doc_id", "source", F.col("lang").cast("string").alias("lang"), text.words("text").alias("words"))
     kinds = dict(given.dtypes)
     return given.mapInArrow(count, f"doc_id {kinds['doc_id']}, source {kinds['source']}, word string, n long, english long")
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """Ids of several documents."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+
+
 def by_document(counts: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, word, n of ``doc_counts``; rows are put together only where a doc_id has several documents."""
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    return counts.select("doc_id", "word", "n") if repeated.isEmpty() else summed(counts, "doc_id")
+    return counts.select("doc_id", "word", "n") if repeated_ids(docs).isEmpty() else summed(counts, "doc_id")
+
+
+def ranked_words(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, word, n, first_pos, place, total: singular forms of a document by frequency, ties by first occurrence; ``total`` is their
+    number, ``most`` shows the first places alone.
+
+    Words are counted and ranked within their document's row, without a shuffle; only where a doc_id has several rows, these are put together.
+    """
+
+    def rank(batches, most):
+        for batch in token_slices(batches, 1):
+            tokens = Tokens(batch.column(1)).renamed(singular_form)
+            first, _, n = tokens.counted(tokens.starts(1), 1)
+            order = np.lexsort((first, -n, tokens.row[first]))
+            first, n = first[order], n[order]
+            row = tokens.row[first]
+            opens, sizes = np.searchsorted(row, row), np.bincount(row, minlength=len(batch))[row]
+            place = np.arange(len(row)) - opens + 1
+            shown = np.flatnonzero(place <= most) if most else np.arange(len(row))
+            pos, word = first - np.searchsorted(tokens.row, row), tokens.words.take(pa.array(tokens.code[first[shown]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[shown])), word, *(pa.array(x[shown].astype(t)) for x, t in ((n, np.int64), (pos, np.int64), (place, np.int32), (sizes, np.int64)))], ["doc_id", "word", "n", "first_pos", "place", "total"])
+
+    given = docs.select("doc_id", text.words("text").alias("words"))
+    shape = f"doc_id {dict(given.dtypes)['doc_id']}, word string, n long, first_pos long, place int, total long"
+    if repeated_ids(docs).isEmpty():
+        return given.mapInArrow(lambda batches: rank(batches, most), shape)
+    counts = given.mapInArrow(lambda batches: rank(batches, None), shape).groupBy("doc_id", "word").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
+    own = W.partitionBy("doc_id")
+    out = counts.withColumn("place", F.row_number().over(own.orderBy(F.desc("n"), "first_pos"))).withColumn("total", F.count(F.lit(1)).over(own))
+    return out.where(F.col("place") <= most) if most else out
 
 
 def summed(counts: DataFrame, *keys: str) -> DataFrame:

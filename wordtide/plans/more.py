@@ -235,10 +235,9 @@ def english_refresh(spark, sf_dir):
     return tags.needs_english(rows, "source")
 
 
-def ranked_words(spark, sf_dir) -> DataFrame:
-    """doc_id, word, n, place: a document's words, the most frequent first, ties by first occurrence."""
-    words = frequency.word_counts(frequency.doc_lemmas(table(spark, sf_dir, "documents")), "doc_id")
-    return words.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos"))).drop("first_pos")
+def ranked_words(spark, sf_dir, most: int | None = None) -> DataFrame:
+    """doc_id, word, n, place, total: a document's words, the most frequent first, ties by first occurrence."""
+    return frequency.ranked_words(table(spark, sf_dir, "documents"), most).drop("first_pos")
 
 
 S_RANKED = "r AS (SELECT doc_id, word, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS INTEGER) AS place FROM (SELECT doc_id, word, count(*) AS n, min(pos) AS f FROM lem GROUP BY ALL))"
@@ -246,20 +245,19 @@ S_RANKED = "r AS (SELECT doc_id, word, n, CAST(row_number() OVER (PARTITION BY d
 
 @query(f"WITH {S_TOK}, {S_RANKED} SELECT * FROM r")
 def words_by_frequency(spark, sf_dir):
-    return ranked_words(spark, sf_dir)
+    return ranked_words(spark, sf_dir).drop("total")
 
 
 @query(f"WITH {S_TOK}, {S_RANKED} SELECT doc_id, word, n, place, max(place) OVER w AS total, max(place) OVER w > 25 AS truncated FROM r WINDOW w AS (PARTITION BY doc_id) QUALIFY place <= 25")
 def word_previews(spark, sf_dir):
     """The first 25 words of each document's list, its size and whether it is cut."""
-    out = tags.preview(ranked_words(spark, sf_dir), 25, "doc_id")
-    return out.withColumn("total", F.col("total").cast("int"))
+    return ranked_words(spark, sf_dir, 25).withColumn("total", F.col("total").cast("int")).withColumn("truncated", F.col("total") > 25)
 
 
 @query(f"WITH {S_TOK}, {S_RANKED} SELECT doc_id, place, place || '. *' || word || CASE WHEN n % 2 = 0 THEN ' 📚' ELSE '' END || '* → ' || word || '\\_gloss' AS line FROM r WHERE place <= 15")
 def shown_lines(spark, sf_dir):
     """The lines of the first 15 words; those of an even count are saved."""
-    rows = ranked_words(spark, sf_dir).where("place <= 15")
+    rows = ranked_words(spark, sf_dir, 15)
     return rows.select("doc_id", "place", tags.entry_line(F.col("place"), F.col("word"), F.concat("word", F.lit("_gloss")), F.col("n") % 2 == 0).alias("line"))
 
 
