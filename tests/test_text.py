@@ -105,3 +105,15 @@ def test_base64url_of_long_texts(spark):
     rows = spark.createDataFrame([(x,) for x in given], "t string").select("t", link.alias("link"), text.from_base64url(link).alias("back")).collect()
     for r in rows:
         assert r["back"] == r["t"] and r["link"] == (r["t"] if r["t"] is None else base64.urlsafe_b64encode(r["t"].encode()).decode().rstrip("="))
+
+
+def test_release_names_run_each_step_once(spark):
+    from wordtide.functions import names
+
+    files = ["/z/Fallout.S02E03.720p.WEB-DL.x264-GRP.srt", "the boys and friends season 1 episode 12.srt", "game.of.thrones.s1e2.srt", "my.show.2020.BluRay.srt", "", None]
+    df = spark.createDataFrame([(x,) for x in files], "f string").select(names.release_info(F.col("f")).alias("i"))
+    got = [tuple(r) for r in df.select("i.*").collect()]
+    assert got[0] == ("Fallout", 2, 3) and got[1] == ("Friends", 1, 12) and got[2] == ("Game of Thrones", 1, 2) and got[3] == ("My Show", None, None)
+    assert got[4][0] is None and got[5][0] is None
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("bluray") + plan.count("BluRay") == 1

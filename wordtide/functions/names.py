@@ -73,8 +73,11 @@ def video_info(path: Column) -> Column:
 
 
 def release_info(filename: Column) -> Column:
-    """struct(series, season, episode) of a release's file name."""
-    _, stem = _parts(filename)
+    """struct(series, season, episode) of a release's file name; name and series are bound to variables, so that each step runs once."""
+    return F.transform(F.array(_parts(filename)[1]), _release)[0]
+
+
+def _release(stem: Column) -> Column:
     tags = [r"[Ss](\d+)[Ee](\d+)", r"(?i)season\s*(\d+).*?episode\s*(\d+)"]
     number = lambda i: F.coalesce(*(F.regexp_extract(stem, tag, i).try_cast("int") for tag in tags))
     name = stem
@@ -84,8 +87,8 @@ def release_info(filename: Column) -> Column:
     words = F.filter(F.split(F.translate(name, "._", "  "), " +"), lambda x: x != "")
     name = F.array_join(F.transform(words, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), " ")
     low = F.lower(stem)
-    for known in reversed(fixed.KNOWN_SERIES):
-        name = F.when(name.contains(known) | low.contains(known.lower().replace(" ", ".")), known).otherwise(name)
+    known = F.array(*(F.lit(x) for x in reversed(fixed.KNOWN_SERIES)))
+    name = F.aggregate(known, name, lambda own, x: F.when(own.contains(x) | low.contains(F.replace(F.lower(x), F.lit(" "), F.lit("."))), x).otherwise(own))
     return F.struct(F.nullif(name, F.lit("")).alias("series"), number(1).alias("season"), number(2).alias("episode"))
 
 
