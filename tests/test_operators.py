@@ -152,3 +152,21 @@ def test_words_are_ranked_within_their_row(spark):
     assert "Exchange" not in frequency.ranked_words(df)._jdf.queryExecution().executedPlan().toString()
     twice = df.union(spark.createDataFrame([(4, "x", "en", "y y y z")], df.schema))
     assert [x for x in rows(twice) if x[0] == 4] == [(4, 1, "y", 4, 0, 2), (4, 2, "z", 3, 0, 2)]
+
+
+def test_limits_and_dimensions_without_shuffles_of_frequent_words(spark, monkeypatch):
+    """Limits beside the rows are those of ``thresholds``; dimensions are the same with any number of broadcast words, absent words too."""
+    rows = [(d, f"w{i}", (i * 7 + d) % 11 + 1, (i * i + d) % 5) for d in range(1, 9) for i in range(d * d)] + [(None, "w1", 2, 3), (99, "w0", 4, 0)]
+    df = spark.createDataFrame(rows, "d long, word string, n long, english_frequency long")
+    limits = {r["d"]: (r["series_threshold"], r["english_threshold"]) for r in frequency.thresholds(df, "d").collect() if r["d"] is not None}
+    got = tiers.with_limits(df, "d").collect()
+    assert len(got) == len(rows) - 1 and all((r["series_threshold"], r["english_threshold"]) == limits[r["d"]] for r in got)
+    counts = df.select("d", "word", "n")
+    english = spark.createDataFrame([("w0", 5), ("w2", 7), ("none", 1)], "word string, english_frequency long")
+    lists = spark.createDataFrame([("w0", "easy"), ("w3", "oxford")], "word string, filter_class string")
+    for hot in (1 << 17, 3, 0):
+        monkeypatch.setattr(tiers, "MOST_HOT", hot)
+        out = tiers.with_dimensions(counts, english, catalogue.level_of("word"), lists)
+        assert out.count() == len(rows)
+        told = {(r["word"], r["english_frequency"], r["vocabulary_level"], r["easy"], r["oxford"]) for r in out.where("word < 'w4'").collect()}
+        assert {x for x in told if len(x[0]) == 2} == {("w0", 5, "N/A", True, False), ("w1", 0, "N/A", False, False), ("w2", 7, "N/A", False, False), ("w3", 0, "N/A", False, True)}

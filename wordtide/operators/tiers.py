@@ -6,19 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..functions.scratch import stored
 
+#: Words whose dimensions are broadcast.
+MOST_HOT = 1 << 17
 
-def with_dimensions(counts: DataFrame, english: DataFrame, levels: DataFrame, lists: DataFrame) -> DataFrame:
-    """(…, word, n) with english_frequency (0), vocabulary_level (N/A), easy and oxford flags.
 
-    The dimensions have one row per word; they are joined with each other first, so that the counts meet one table.
+def with_dimensions(counts: DataFrame, english: DataFrame, levels: DataFrame | Column, lists: DataFrame) -> DataFrame:
+    """(…, word, n) with english_frequency (0), vocabulary_level (N/A), easy and oxford flags; ``levels`` is a table or follows from the word.
+
+    The dimensions are joined with each other first. Those of the ``MOST_HOT`` most frequent words at most are broadcast; the rows of
+    the other words alone are shuffled to theirs. ``counts`` is read three times.
     """
     flags = lists.groupBy("word").agg(F.bool_or(F.col("filter_class") == "easy").alias("easy"), F.bool_or(F.col("filter_class") == "oxford").alias("oxford"))
-    words = english.join(levels.select("word", F.col("level").alias("vocabulary_level")), "word", "full").join(flags, "word", "full")
-    out = counts.join(words, "word", "left")
+    sizes = counts.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
+    words = sizes.join(english, "word", "left").join(flags, "word", "left")
+    words = words.withColumn("vocabulary_level", levels) if isinstance(levels, Column) else words.join(levels.select("word", F.col("level").alias("vocabulary_level")), "word", "left")
+    words = stored(words.withColumn("step", F.floor(F.log2("size") * 4)))
+    held, bound = 0, None
+    for r in sorted(words.groupBy("step").count().collect(), reverse=True):  # some hundred at most
+        held += r["count"]
+        if held > MOST_HOT:
+            break
+        bound = r["step"]
+    hot = F.col("step") >= bound if bound is not None else F.lit(False)
+    often, rest = F.broadcast(words.where(hot).drop("size", "step")), words.where(~hot).drop("size", "step")
+    out = counts.join(often, "word").unionByName(counts.join(F.broadcast(words.where(hot).select("word")), "word", "left_anti").join(rest, "word", "left"))
     return out.fillna({"english_frequency": 0, "vocabulary_level": "N/A", "easy": False, "oxford": False})
 
 
+def with_limits(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` of ``with_dimensions`` with their group's series_threshold and english_threshold, as ``frequency.thresholds`` has them.
+
+    A group's rows meet once and are counted by value, so nothing is written or joined again. The place min(2n div 3, n - 1) from 0 is the
+    last that a share just above two thirds reaches, for up to 10**8 rows of a group.
+    """
+    own = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)})"
+    at = lambda value: F.coalesce(F.expr(f"percentile_disc({2 / 3 + 1e-9!r}D) WITHIN GROUP (ORDER BY {value}) {own}").cast("long"), F.lit(1).cast("long"))
+    return rows.dropna(subset=list(keys)).withColumns({"series_threshold": at("n"), "english_threshold": at("CASE WHEN english_frequency > 0 THEN english_frequency END")})
+
+
 def tier_and_reason(min_count: int | None = fixed.MIN_EPISODE_COUNT, max_english: int = fixed.MAX_ENGLISH_FREQ) -> tuple[Column, Column]:
     """The tier of a row, and why tier 5 took it; the first rule that holds decides."""
     level, english = F.upper(F.trim("vocabulary_level")), F.col("english_frequency")
@@ -44,18 +71,18 @@ def tier_and_reason(min_count: int | None = fixed.MIN_EPISODE_COUNT, max_english
     return tier, reason
 
 
-def tiered(rows: DataFrame, limits: DataFrame, *keys: str, **options) -> DataFrame:
-    """``rows`` of ``with_dimensions`` with their group's thresholds, tier and filter_reason."""
+def tiered(rows: DataFrame, **options) -> DataFrame:
+    """``rows`` of ``with_limits`` with tier and filter_reason."""
     tier, reason = tier_and_reason(**options)
-    return rows.join(limits, list(keys)).withColumn("tier", tier).withColumn("filter_reason", reason)
+    return rows.withColumn("tier", tier).withColumn("filter_reason", reason)
 
 
 def kept(rows: DataFrame, excluded: DataFrame, ratings: DataFrame) -> DataFrame:
     """Rows that are written out: no excluded name; in tier 1 none rated ``low``; in tiers 1 to 4 no level below C."""
     low = ratings.where(F.lower("rating") == "low").select(F.lower("word").alias("word"), F.lit(True).alias("low"))
-    names = excluded.select(F.lower("word").alias("word")).distinct()
+    names = stored(excluded.select(F.lower("word").alias("word")).distinct())  # written, so that small ones are known to be small
     level = F.upper(F.trim("vocabulary_level"))
-    out = rows.join(names, "word", "left_anti").join(low.distinct(), "word", "left")
+    out = rows.join(names, "word", "left_anti").join(stored(low.distinct()), "word", "left")
     below = F.col("tier").isin(*fixed.TIERS[:4]) & level.isin("A1", "A2", "B1", "B2")
     return out.where(~((F.col("tier") == fixed.TIERS[0]) & F.coalesce("low", F.lit(False))) & ~below).drop("low")
 
@@ -69,8 +96,9 @@ def rare_split(rows: DataFrame) -> DataFrame:
 
 def tier_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """n_words of every tier of each group, zeros too."""
-    groups = rows.select(*keys).distinct().withColumn("tier", F.explode(F.lit(fixed.TIERS)))
-    return groups.join(rows.groupBy(*keys, "tier").agg(F.count(F.lit(1)).alias("n_words")), [*keys, "tier"], "left").fillna(0, ["n_words"])
+    n = rows.groupBy(*keys).agg(*(F.count_if(F.col("tier") == t).alias(t) for t in fixed.TIERS))
+    one = F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), F.col(t).alias("n_words")) for t in fixed.TIERS))).alias("one")
+    return n.select(*keys, one).select(*keys, "one.*")
 
 
 def level_rank(level: Column) -> Column:

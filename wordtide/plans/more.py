@@ -193,7 +193,7 @@ t AS (SELECT word, vocabulary_level, english_frequency, gloss, CASE WHEN gloss =
 def tagged(spark, sf_dir) -> DataFrame:
     """word, vocabulary_level, english_frequency, gloss, tag of every word: the model's tags follow from a word's length."""
     counts = counted(spark, sf_dir)
-    rows = tiers.with_dimensions(counts.select("word").distinct(), frequency.english_counts(counts), counts.select("word").distinct().withColumn("level", level_of("word")), list_words(spark, sf_dir))
+    rows = tiers.with_dimensions(stored(counts.select("word").distinct()), frequency.english_counts(counts), level_of("word"), list_words(spark, sf_dir))
     n, word, english, level = F.length("word"), F.col("word"), F.col("english_frequency"), F.col("vocabulary_level")
     said = F.when(n % 4 == 0, "normal word").when(n % 4 == 1, "Name/Fantasy Entity").when(n % 4 == 2, "odd")
     gloss = F.when(n % 5 == 0, tags.FAILED).otherwise("x")
