@@ -139,12 +139,15 @@ def segmented(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     return named.join(found, ["high", "low"], "left").select("token", "found").mapInArrow(split, "token string, words array<string>")
 
 
-def viterbi(token: str, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, total: float) -> list[str]:
-    """The split of highest unigram probability, from start, size and count of every known word in ``token``.
+def viterbi(token: str, *found_and_total) -> list[str]:
+    """The split of highest unigram probability, from start, size and count of every known word in ``token`` (three arrays, or one list of
+    triples) and the ``total`` of all counts.
 
     An unknown word of k letters has probability 10**-k / (1 + total / 10), so it is never cut in two and its best start
     is known from the running maximum of best[start] + start * log(10): time grows with the letters and matches only.
     """
+    *found, total = found_and_total
+    starts, sizes, counts = found if len(found) == 3 else np.array(found[0], np.int64).reshape(-1, 3).T
     order = np.lexsort((starts, starts + sizes))
     at, until, chance = starts[order].tolist(), (starts + sizes)[order].tolist(), np.log(counts[order] / total).tolist()
     k, n = 0, len(at)
