@@ -446,3 +446,19 @@ def test_jaccard_cell_of_scattered_points_stays_flat(spark, monkeypatch):
         data.append((i, " ".join(words)))
     got = {tuple(r) for r in jaccard_join.linked_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == brute_components(data) and flat and max(flat) > 0
+
+
+def test_jaccard_signatures_grow_with_their_sets():
+    rng = np.random.default_rng(0)
+    drawn = lambda n: np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    sets = [drawn(n) for n in (3, 1024, 1025, 2500, 3000, 6000)]
+    sets += [np.unique(np.append(s[len(s) // 20 :], drawn(len(s) // 20))) for s in sets]
+    told = jaccard_join.Signatures(pa.array([jaccard_join.signature(s) for s in sets], pa.binary()))
+    x, y = np.nonzero(np.ones((len(sets), len(sets)), bool))
+    apart = told.taken(x).apart(told.taken(y), np.arange(len(x)))
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for i, j, d in zip(x, y, apart, strict=True))  # a lower bound, whatever the lengths
+    n, none = np.array([len(s) for s in sets]), np.full(len(sets), np.nan)
+    rows = [n, n, np.arange(len(sets)), none]
+    found, _ = jaccard_join.near_enough([v[x] for v in rows] + [told.taken(x)], [v[y] for v in rows] + [told.taken(y)], 75)
+    found = set(zip(x[found].tolist(), y[found].tolist(), strict=True))
+    assert {(i, i + 6) for i in range(6)} <= found and not {(3, 4), (4, 3), (3, 10), (9, 4)} & found  # long sets without a common shingle are told apart

@@ -59,7 +59,7 @@ SIEVE_BITS = 22
 LEAF, FLAT_LEAF = 256, 4096
 #: Pairs of each point that a small cell compares in its first visits; the last one takes all that are left.
 VISITS = (1, 8)
-#: Bits of a signature.
+#: Bits of a signature; one of a set of more shingles has the next power of two.
 BITS = 1024
 #: Sub-pivots of a cell; of one that did not split, four times as many in each later round.
 PIVOTS = 8
@@ -183,13 +183,50 @@ def may_link(n: np.ndarray, m: np.ndarray, left: np.ndarray, left_m: np.ndarray,
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """For each of ``BITS`` classes of shingles, whether the set holds an odd number of them."""
-    odd = np.bincount((shingles >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1
+    """For each of ``BITS`` classes of shingles, whether the set holds an odd number of them. A larger set has twice as many
+    classes or more, as a full signature tells nothing: class c of ``BITS`` is c + ``BITS``, c + 2 * ``BITS`` and so on together."""
+    more = max(0, (len(shingles) - 1).bit_length() - BITS.bit_length() + 1)
+    low = shingles >> np.uint64(65 - BITS.bit_length())
+    high = (shingles >> np.uint64(65 - BITS.bit_length() - more)) & np.uint64((1 << more) - 1)
+    odd = np.bincount((low + high * np.uint64(BITS)).astype(np.int64), minlength=BITS << more) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-def signatures(bits: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), BITS // 64)
+class Signatures:
+    """Signatures of rows; those of different lengths are compared in the classes of the shorter one."""
+
+    def __init__(self, bits: pa.Array) -> None:
+        self.rows = [np.frombuffer(b, np.uint64) for b in bits.to_pylist()]
+        self.size = np.array([len(r) for r in self.rows], np.int64)
+        self.at = np.arange(len(self.rows))
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def taken(self, at: np.ndarray) -> Signatures:
+        """The rows ``at``, without a copy."""
+        out = Signatures.__new__(Signatures)
+        out.rows, out.size, out.folded, out.at = self.rows, self.size, self.folded, self.at[at]
+        return out
+
+    def of_size(self, k: np.ndarray, size: int) -> np.ndarray:
+        """Rows ``k``, which have ``size`` numbers or more, in the classes of that size."""
+        if size not in self.folded:
+            wide = np.flatnonzero(self.size >= size)
+            place = np.zeros(len(self.rows), np.int64)
+            place[wide] = np.arange(len(wide))
+            self.folded[size] = place, np.array([np.bitwise_xor.reduce(self.rows[i].reshape(-1, size), 0) for i in wide.tolist()], np.uint64).reshape(-1, size)
+        place, matrix = self.folded[size]
+        return matrix[place[self.at[k]]]
+
+    def apart(self, other: Signatures, k: np.ndarray) -> np.ndarray:
+        """How many bits of each row ``k`` differ from those of the other's."""
+        out, sizes = np.zeros(len(k), np.int64), np.minimum(self.size[self.at[k]], other.size[other.at[k]])
+        for size in np.unique(sizes).tolist():
+            same = np.flatnonzero(sizes == size)
+            step = max(1, 1_600_000 // size)
+            for i in range(0, len(same), step):
+                own = same[i : i + step]
+                out[own] = np.bitwise_count(self.of_size(k[own], size) ^ other.of_size(k[own], size)).sum(1, dtype=np.int64)
+        return out
 
 
 def near_enough(x: list, y: list, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,10 +235,7 @@ def near_enough(x: list, y: list, threshold: int) -> tuple[np.ndarray, np.ndarra
     signatures, as two sets differ in as many shingles as these do in bits at least."""
     (n, left, kind, far, bits), (m, left_m, kind_m, far_m, bits_m) = x, y
     at = np.flatnonzero((kind != kind_m) & ~(np.abs(far - far_m) > 1 - threshold / 100 + 1e-9) & may_link(n, m, left, left_m, threshold))
-    apart = np.zeros(len(at), np.int64)
-    for i in range(0, len(at), 100_000):
-        k = at[i : i + 100_000]
-        apart[i : i + 100_000] = np.bitwise_count(bits[k] ^ bits_m[k]).sum(1, dtype=np.int64)
+    apart = bits.apart(bits_m, at)
     both = n[at] + m[at]
     ok = 100 * (both - apart) >= threshold * (both + apart)
     return at[ok], apart[ok]
@@ -386,16 +420,6 @@ def labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups.select(F.col("node").alias("point"), F.col("component").alias("class")), "point", "left").withColumn("class", F.coalesce("class", "point"))
 
 
-class _Rows:
-    """Rows of an array, taken when asked for."""
-
-    def __init__(self, rows: np.ndarray, at: np.ndarray) -> None:
-        self.rows, self.at = rows, at
-
-    def __getitem__(self, k):
-        return self.rows[self.at[k]]
-
-
 def cell_pairs(told: list, visit: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs of one cell that may be links of two classes; in the first visits only the likeliest ``VISITS``
     of each point, as the links among these leave fewer classes for the last visit, which takes all."""
@@ -404,7 +428,7 @@ def cell_pairs(told: list, visit: int, threshold: int) -> tuple[np.ndarray, np.n
     for first in range(0, size, step):
         x, y = np.nonzero(np.arange(first, min(first + step, size))[:, None] < np.arange(size)[None])
         x += first
-        ok, apart = near_enough([v[x] for v in told[:-1]] + [_Rows(told[-1], x)], [v[y] for v in told[:-1]] + [_Rows(told[-1], y)], threshold)
+        ok, apart = near_enough([v[x] for v in told[:-1]] + [told[-1].taken(x)], [v[y] for v in told[:-1]] + [told[-1].taken(y)], threshold)
         if visit < len(VISITS) and len(ok):
             ok = ok[np.lexsort((apart, x[ok]))]
             start = np.flatnonzero(np.append(True, x[ok][1:] != x[ok][:-1]))
@@ -430,7 +454,7 @@ def visited(rows: DataFrame, threshold: int) -> DataFrame:
             kind = table.column("class").to_numpy()
             if (kind == kind[0]).all():
                 return
-            told = [*(table.column(c).to_numpy() for c in TOLD_BY[:-1]), signatures(table.column("bits"))]
+            told = [*(table.column(c).to_numpy() for c in TOLD_BY[:-1]), Signatures(table.column("bits"))]
             point, visit = table.column("point").to_numpy(), table.column("visit")[0].as_py()
             x, y = cell_pairs(told, visit, threshold)
             if not len(x):
@@ -468,7 +492,7 @@ def pivot_pairs(met_subs: DataFrame, threshold: int) -> DataFrame:
 
     def pair(batches):
         for batch in batches:
-            sides = [[*(batch.column(2 + 5 * i + k).to_numpy() for k in range(4)), signatures(batch.column(6 + 5 * i))] for i in (0, 1)]
+            sides = [[*(batch.column(2 + 5 * i + k).to_numpy() for k in range(4)), Signatures(batch.column(6 + 5 * i))] for i in (0, 1)]
             ok = pa.array(near_enough(*sides, threshold)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["a", "b"])
 
